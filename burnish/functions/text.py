@@ -87,6 +87,11 @@ def null_tokens_to_null(text: Column, tokens=FILE_NULL_TOKENS, folded: bool = Fa
     return F.when(~compared.isin(*tokens), text)
 
 
+def filled(text: Column, fill: str = FILL_VALUE, placeholders=PLACEHOLDERS) -> Column:
+    """``fill`` for null, blank and placeholder cells; other cells as they are."""
+    return F.when(text.isNull() | normal_form(text).isin(*placeholders), fill).otherwise(text)
+
+
 def priority_from_ratio(ratio: Column, medium: float, high: float) -> Column:
     return F.when(ratio >= high, "High").when(ratio >= medium, "Medium").otherwise("Low")
 

@@ -56,9 +56,7 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 def fill_missing(df: DataFrame, fill: str = text.FILL_VALUE, placeholders=text.PLACEHOLDERS) -> DataFrame:
     """Null, blank and placeholder text cells become ``fill``; other types keep their nulls."""
-    return map_text(
-        df, lambda c: F.when(c.isNull() | text.normal_form(c).isin(*placeholders), fill).otherwise(c)
-    )
+    return map_text(df, lambda c: text.filled(c, fill, placeholders))
 
 
 def unique_snake_names(names: list[str]) -> list[str]:

@@ -33,56 +33,57 @@ TRUE_CELLS, FALSE_CELLS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file: (file, lines, encoding, delimiter, multi_line, has_bom).
 
-    All bytes are read once as splittable lines and every line votes, so large files are
-    inspected by many tasks and each task sends a handful of numbers per file. ``encoding`` is
-    UTF-8 if every line is valid UTF-8, else Latin-1. ``delimiter`` is the candidate whose count
-    per line, outside quotes, is the same on most lines (',' if no line has any). ``multi_line``
-    says that a line has an odd number of quotes, so a quoted field may span lines.
+    All bytes are read once as splittable lines and every line votes, so large files are inspected
+    by many tasks and each task sends a handful of numbers per file. ``encoding`` is UTF-8 if every
+    line is valid UTF-8, else Latin-1. ``delimiter`` is the candidate found most often next to a
+    quote; without quotes, the one whose count per line is the same on most lines; else ','.
+    ``multi_line`` says that a line has an odd number of quotes, so a quoted field may span lines.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    unquoted = F.regexp_replace("value", '"[^"]*("|$)', "")
-    counts = [
-        (F.length("unquoted") - F.length(F.translate("unquoted", d, ""))).alias(f"d{i}")
-        for i, d in enumerate(DELIMITERS)
-    ]
+    parted = lines.select(
+        "*",
+        F.replace("value", F.lit('""'), F.lit("")).alias("single_quotes"),
+        F.regexp_replace("value", '"[^"]*("|$)', "").alias("unquoted"),
+    )
+    counts = [(F.length("unquoted") - F.length(F.translate("unquoted", d, ""))) for d in DELIMITERS]
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    votes = lines.withColumn("unquoted", unquoted).select(
+    votes = parted.select(
         "file",
-        *counts,
+        *[c.alias(f"count{i}") for i, c in enumerate(counts)],
+        *[_beside_quotes(d).alias(f"beside{i}") for i, d in enumerate(DELIMITERS)],
         F.is_valid_utf8("value").alias("valid"),
         (quotes % 2 == 1).alias("odd"),
         F.startswith("value", F.lit(BOM)).alias("bom"),
-        (F.length("value") > 0).alias("filled"),
-    )
-    candidates = F.array(
-        *[F.struct(F.lit(-i).alias("order"), F.col(f"d{i}").alias("count")) for i in range(len(DELIMITERS))]
+        (F.length("value") > 0).cast("int").alias("filled"),
+        F.lit(1).alias("lines"),
     )
+    sums = ["filled", "lines"]
     # Lines that look alike combine in each task before anything is shuffled.
-    alike = votes.groupBy("file", *[f"d{i}" for i in range(len(DELIMITERS))]).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count_if("filled").alias("filled"),
-        F.bool_and("valid").alias("valid"),
-        F.bool_or("odd").alias("odd"),
-        F.bool_or("bom").alias("bom"),
+    numbers = range(len(DELIMITERS))
+    alike = votes.groupBy("file", *[f"count{i}" for i in numbers]).agg(
+        *_combined(sums + [f"beside{i}" for i in numbers])
+    )
+    candidates = F.array(
+        *[
+            F.struct(
+                F.lit(-i).alias("order"), F.col(f"count{i}").alias("count"), F.col(f"beside{i}").alias("beside")
+            )
+            for i in numbers
+        ]
     )
     by_count = (
-        alike.select("*", F.explode(candidates).alias("c"))
-        .groupBy("file", "c.order", "c.count")
-        .agg(
-            F.sum("lines").alias("lines"),
-            F.sum("filled").alias("filled"),
-            F.bool_and("valid").alias("valid"),
-            F.bool_or("odd").alias("odd"),
-            F.bool_or("bom").alias("bom"),
-        )
+        alike.select("file", *sums, "valid", "odd", "bom", F.inline(candidates))
+        .groupBy("file", "order", "count")
+        .agg(*_combined([*sums, "beside"]))
     )
-    # Only a count above zero can win; ties go to the larger count, then to the preferred delimiter.
-    rank = F.when(F.col("count") > 0, F.struct("filled", "count", "order"))
-    best = F.max_by("order", rank)
-    of_comma = F.when(F.col("order") == 0, F.col("lines"))
+    usual = F.max(F.when(F.col("count") > 0, F.struct("filled", "count"))).alias("usual")
+    by_candidate = by_count.groupBy("file", "order").agg(*_combined(["lines", "beside"]), usual)
+    # Ties go to the preferred delimiter; a candidate that never occurs cannot win.
+    found = (F.col("beside") > 0) | F.col("usual").isNotNull()
+    best = F.max_by("order", F.when(found, F.struct("beside", "usual", "order")))
     delimiters = F.array(*[F.lit(d) for d in DELIMITERS])
-    return by_count.groupBy("file").agg(
-        F.sum(of_comma).alias("lines"),
+    return by_candidate.groupBy("file").agg(
+        F.max("lines").alias("lines"),
         F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"),
         F.coalesce(F.element_at(delimiters, 1 - best), F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
         F.bool_or("odd").alias("multi_line"),
@@ -90,6 +91,18 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def _beside_quotes(delimiter: str) -> Column:
+    """How often the delimiter stands right before or after a quote, doubled quotes left out."""
+    text = F.col("single_quotes")
+    pairs = [delimiter + '"', '"' + delimiter]
+    return sum(F.length(text) - F.length(F.replace(text, F.lit(p), F.lit(""))) for p in pairs) / 2
+
+
+def _combined(sums: list[str]) -> list[Column]:
+    flags = [F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("odd"), F.bool_or("bom").alias("bom")]
+    return [F.sum(c).alias(c) for c in sums] + flags
+
+
 def file_column_names(header: list[str | None], case_sensitive: bool = True) -> list[str]:
     """Column names of a header line: blanks become 'Unnamed: i', repeats get '.1', '.2'.
 
