@@ -13,6 +13,9 @@ from burnish.functions.text import strip
 
 _END_MARK = "\u0001end of candidate\u0001"
 
+# What any JSON text looks like from outside. Spares the parser, whose refusal costs an exception.
+_OUTSIDE = r'(?s)^(\{.*\}|\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$'
+
 SUGGESTIONS_TYPE = (
     "array<struct<issue_description:string,priority:string,resolution_prompt:string>>"
 )
@@ -24,7 +27,8 @@ def is_strict_json(text: Column) -> Column:
     ``try_parse_json`` alone accepts trailing text; here the candidate must be followed by a
     second array element that we know.
     """
-    wrapped = F.concat(F.lit("["), text, F.lit(',"\\u0001end of candidate\\u0001"]'))
+    shaped = F.when(text.rlike(_OUTSIDE), text)
+    wrapped = F.concat(F.lit("["), shaped, F.lit(',"\\u0001end of candidate\\u0001"]'))
     second = F.try_variant_get(F.try_parse_json(wrapped), "$[1]", "string")
     return F.coalesce(second == _END_MARK, F.lit(False))
 
@@ -73,13 +77,12 @@ def validate_batch(payload: Column, expected_rows: Column) -> Column:
     return F.coalesce(F.json_array_length(payload) == expected_rows, F.lit(False))
 
 
-def validate_analysis(payload: Column) -> Column:
-    """Struct ``(quality_score, suggestions)`` of a valid analysis payload, else null.
+def validate_analysis(parsed: Column) -> Column:
+    """Struct ``(quality_score, suggestions)`` of a valid analysis payload (a variant), else null.
 
     The score must be a whole number from 0 to 100 (number, whole decimal, boolean or digits in
     a string); suggestions must be a list of objects with three string fields; no list means none.
     """
-    parsed = F.try_parse_json(payload)
     score_value = F.try_variant_get(parsed, "$.quality_score", "variant")
     score_text = strip(F.try_variant_get(parsed, "$.quality_score", "string"))
     number = F.when(_kind(score_value) == "BOOLEAN", F.when(score_text == "true", 1.0).otherwise(0.0))

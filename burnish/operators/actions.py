@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,10 +78,12 @@ def normalize_headers(df: DataFrame) -> DataFrame:
 
 
 def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(slot, old_value, new_value) for every spelling that is not its group's canonical one.
+    """(slot, form, new_value) for every normal form that is spelled in more than one way.
 
-    A group is all values with the same stripped lower-case form; its canonical spelling is the
-    most frequent one, ties going to the smallest. ``slot`` is the position in ``columns``.
+    All values with the same stripped lower-case form belong together; the canonical spelling is
+    the most frequent one, ties going to the smallest. ``slot`` is the position in ``columns``.
+    Both groupings combine in each task first, so neither a frequent value nor a form with many
+    spellings loads one task.
     """
     names = columns if columns is not None else [f.name for f in text_fields(df)]
     parts = []
@@ -90,11 +92,12 @@ def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         parts.append(stacked(df, cells, "slot:int,v:string"))
     long = reduce(DataFrame.unionByName, parts)
     counted = long.where(F.col("v").isNotNull()).groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
-    # From here on one row per distinct spelling; the window reads each group in order, row by row.
-    by_form = Window.partitionBy("slot", text.normal_form(F.col("v"))).orderBy(F.col("n").desc(), "v")
+    most_frequent = F.min_by("v", F.struct((-F.col("n")).alias("rare"), "v"))
     return (
-        counted.select("slot", F.col("v").alias("old_value"), F.first("v").over(by_form).alias("new_value"))
-        .where(F.col("old_value") != F.col("new_value"))
+        counted.groupBy("slot", text.normal_form(F.col("v")).alias("form"))
+        .agg(most_frequent.alias("new_value"), F.count(F.lit(1)).alias("spellings"))
+        .where(F.col("spellings") > 1)
+        .drop("spellings")
     )
 
 
@@ -111,10 +114,8 @@ def canonical_case(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     sizes = {row["slot"]: row["bytes"] for row in measured_bytes(mapping).collect()}  # one row per column
     result = df
     for slot, size in sorted(sizes.items()):
-        replacements = mapping.where(F.col("slot") == slot).select(
-            F.col("old_value").alias("_key"), "new_value"
-        )
-        result = attach(result, names[slot], replacements, size, f"_new{slot}")
+        replacements = mapping.where(F.col("slot") == slot).select(F.col("form").alias("_key"), "new_value")
+        result = attach(result, text.normal_form(col(names[slot])), replacements, size, f"_new{slot}")
     changed = {names[slot]: F.col(f"_new{slot}")["new_value"] for slot in sizes}
     return result.select(*[_replaced(changed, c) for c in df.columns])
 

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from burnish.functions.jsontext import extract_json, unwrap_json_list, validate_batch
 from burnish.operators.actions import nan_to_null
-from burnish.operators.columns import col
+from burnish.operators.columns import col, quoted
 from burnish.operators.lookup import SPREAD, hot_values
+from burnish.sources.shared import written
 
 BATCH_SIZE = 20  # fixed value: rows per call
 HOT_BATCHES = 1000  # a batch id with more rows than this many batches may be spread
@@ -77,7 +78,9 @@ def batch_payloads(df: DataFrame, key: str, batch_size: int = BATCH_SIZE) -> Dat
 
 
 def _keyed_rows(df: DataFrame, key: str, batch_size: int) -> DataFrame:
-    batch_id = F.floor(col(key) / batch_size).cast("long")
+    # Whole-number division that rounds down, exact for all keys.
+    number = f"cast({quoted(key)} as bigint)"
+    batch_id = F.expr(f"({number} - pmod({number}, {batch_size}L)) div {batch_size}L")
     # Ids far above the batch size are cut into many batches anyway, so they may be spread.
     hot = hot_values(df.select(batch_id.alias("batch_id")), "batch_id", at_least=HOT_BATCHES * batch_size)
     records = to_json_records(df, [key]).select(batch_id.alias("batch_id"), "record")
@@ -208,9 +211,9 @@ def transform_batches(
     The text may wrap the JSON in prose or fences. It must hold a list with as many items as the
     batch; otherwise the call is repeated up to ``retries`` times with a stricter instruction. A
     batch that still fails keeps its rows unchanged (``on_failure='pass'``) or fails the query
-    ('fail'). Added columns: ``_batch_status`` (ok, passed), ``_attempts``, ``_error`` and
-    ``_unparsed``, the JSON of rows in which a value does not fit ``schema`` (default: the input's
-    schema).
+    ('fail'). Added columns: ``_batch_status`` (ok, passed), ``_attempts``, ``_error``, ``_unparsed``,
+    the JSON of rows in which a value does not fit ``schema`` (default: the input's schema), and
+    ``_extra``, a map of returned keys that ``schema`` does not have (see :func:`extra_columns`).
 
     Batches are cut from each partition as it is read. With ``key``, an integer column, rows with
     the same ``key div batch_size`` form a batch, which makes batches repeatable at the price of
@@ -247,9 +250,30 @@ def _decoded(exploded: DataFrame, schema: T.StructType) -> DataFrame:
     options = {**JSON_OPTIONS, "columnNameOfCorruptRecord": "_unparsed"}
     parsed = F.from_json("record", with_rest, options).alias("_row")
     status = ["_batch_status", "_attempts", "_error"]
-    return exploded.select(parsed, *status).select(
-        *[F.col("_row")[f.name].alias(f.name) for f in schema.fields], *status, F.col("_row")["_unparsed"].alias("_unparsed")
+    known = F.array(*[F.lit(f.name) for f in schema.fields])
+    has_more = F.size(F.array_except(F.json_object_keys("record"), known)) > 0
+    extra = F.map_filter(
+        F.from_json("record", "map<string,string>"), lambda k, _: ~F.array_contains(known, k)
     )
+    return exploded.select(parsed, *status, F.when(has_more, extra).alias("_extra")).select(
+        *[F.col("_row")[f.name].alias(f.name) for f in schema.fields],
+        *status,
+        F.col("_row")["_unparsed"].alias("_unparsed"),
+        "_extra",
+    )
+
+
+def extra_columns(result: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Turn the keys in ``_extra`` into text columns, null where a row has no such key.
+
+    Without ``keys`` they are collected first; the result is written to the shared folder for that,
+    so the transformer is not called again.
+    """
+    if keys is None:
+        result = written(result, "batches")
+        found = result.select(F.explode(F.map_keys("_extra")).alias("key")).distinct()
+        keys = sorted(row["key"] for row in found.collect())  # one row per new column
+    return result.withColumns({k: F.try_element_at("_extra", F.lit(k)) for k in keys}).drop("_extra")
 
 
 def explode_payloads(payloads: DataFrame, schema: T.StructType | str, column: str = "payload") -> DataFrame:

@@ -23,8 +23,12 @@ _LABELS = {
 }
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def text_fields(df: DataFrame) -> list[T.StructField]:

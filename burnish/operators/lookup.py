@@ -1,4 +1,4 @@
-"""Attach replacement values to a table by the value of one text column.
+"""Attach replacement values to a table by the value of a text expression.
 
 The replacements are broadcast only after their size was measured. Larger ones are joined by a
 shuffle in which frequent values and nulls are spread over many tasks.
@@ -6,11 +6,11 @@ shuffle in which frequent values and nulls are spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.operators.columns import col
+from burnish.operators.columns import col, quoted
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_VALUES = 1000  # at most this many values are spread
@@ -35,7 +35,7 @@ def hot_values(df: DataFrame, name: str, at_least: int = 0) -> DataFrame:
 
     The sketch may miss or add a value at the margin; that changes the spread, never the result.
     """
-    top = F.expr(f"approx_top_k(`{name.replace('`', '``')}`, {HOT_VALUES}, {HOT_VALUES * 10})")
+    top = F.expr(f"approx_top_k({quoted(name)}, {HOT_VALUES}, {HOT_VALUES * 10})")
     sketched = df.agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
     return (
         sketched.select("n", F.inline("top"))
@@ -45,12 +45,13 @@ def hot_values(df: DataFrame, name: str, at_least: int = 0) -> DataFrame:
     )
 
 
-def _spread_join(df: DataFrame, name: str, mapping: DataFrame) -> DataFrame:
-    hot = hot_values(df, name)
+def _spread_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Left join on _probe = _key; rows with a hot or null probe go to SPREAD tasks each."""
+    hot = hot_values(df, "_probe")
     task_row = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1
-    spread = F.when(F.col("_hot").isNotNull() | col(name).isNull(), task_row).otherwise(0)
+    spread = F.when(F.col("_hot").isNotNull() | F.col("_probe").isNull(), task_row).otherwise(0)
     left = (
-        df.join(F.broadcast(hot), col(name) == F.col("_hot"), "left")
+        df.join(F.broadcast(hot), F.col("_probe") == F.col("_hot"), "left")
         .withColumn("_salt", spread.cast("int"))
         .drop("_hot")
     )
@@ -62,14 +63,17 @@ def _spread_join(df: DataFrame, name: str, mapping: DataFrame) -> DataFrame:
         .withColumn("_copy", F.explode(copies))
         .drop("_hot")
     )
-    joined = left.join(right, (col(name) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), "left")
-    return joined.drop("_salt", "_copy", "_key")
+    same = (F.col("_probe") == F.col("_key")) & (F.col("_salt") == F.col("_copy"))
+    return left.join(right, same, "left").drop("_salt", "_copy")
 
 
-def attach(df: DataFrame, name: str, mapping: DataFrame, mapping_bytes: int, out: str) -> DataFrame:
-    """Left join of ``mapping(_key, ...)``, unique in ``_key``, as the struct column ``out``."""
+def attach(df: DataFrame, probe: Column, mapping: DataFrame, mapping_bytes: int, out: str) -> DataFrame:
+    """Left join of ``mapping(_key, ...)``, unique in ``_key``, on ``probe`` as the struct column ``out``."""
     values = [F.col(c) for c in mapping.columns if c != "_key"]
     packed = mapping.select("_key", F.struct(*values).alias(out))
+    probed = df.withColumn("_probe", probe)
     if mapping_bytes <= BROADCAST_BYTES:
-        return df.join(F.broadcast(packed), col(name) == F.col("_key"), "left").drop("_key")
-    return _spread_join(df, name, packed)
+        joined = probed.join(F.broadcast(packed), F.col("_probe") == F.col("_key"), "left")
+    else:
+        joined = _spread_join(probed, packed)
+    return joined.drop("_probe", "_key")

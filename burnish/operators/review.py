@@ -42,7 +42,7 @@ def attach_proposals(
         proposals = stored.where(F.col("slot") == slot).select(
             F.col("old_value").alias("_key"), "new_value", "confidence"
         )
-        result = attach(result, names[slot], proposals, size, f"_new{slot}")
+        result = attach(result, col(names[slot]), proposals, size, f"_new{slot}")
 
     def described(slot: int) -> Column:
         found = F.col(f"_new{slot}")

@@ -58,9 +58,15 @@ def merged_score(own: Column, opinion: Column) -> Column:
     return F.when(mean > 100, 100).when(mean < 0, 0).otherwise(mean.cast("int"))
 
 
-def parsed_opinion(raw: Column) -> Column:
-    """Struct (quality_score, suggestions) from a raw response, null if it holds no valid one."""
-    return validate_analysis(unwrap_json_object(extract_json(raw)))
+def with_opinion(df: DataFrame, raw: str, out: str = "opinion") -> DataFrame:
+    """Replace the raw response by struct (quality_score, suggestions), null if it holds no valid one.
+
+    One step per projection, so that every text is searched and parsed once.
+    """
+    found = df.withColumn("_payload", extract_json(F.col(raw))).drop(raw)
+    unwrapped = found.withColumn("_payload", unwrap_json_object(F.col("_payload")))
+    parsed = unwrapped.withColumn("_parsed", F.try_parse_json("_payload"))
+    return parsed.withColumn(out, validate_analysis(F.col("_parsed"))).drop("_payload", "_parsed")
 
 
 def merge_analyses(df: DataFrame, opinion: str = "opinion") -> DataFrame:

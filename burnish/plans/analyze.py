@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from burnish.operators.actions import nan_to_null
 from burnish.operators.profile import profile, sample_rows
 from burnish.operators.quality import suggest
-from burnish.operators.suggestions import merge_analyses, parsed_opinion
+from burnish.operators.suggestions import merge_analyses, with_opinion
 
 SAMPLE_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 
@@ -32,9 +32,8 @@ def sample_json(df: DataFrame, key: list[str] | None = None, portable: bool = Fa
 
 def analyze(df: DataFrame, raw_opinion: str | None = None, edge: str = "both", exact: bool = False) -> DataFrame:
     """One row (quality_score, suggestions), merged with a raw second opinion if it holds a valid one."""
-    own = suggest(df, edge, exact)
-    opinion = parsed_opinion(F.lit(raw_opinion).cast("string"))
-    return merge_analyses(own.withColumn("opinion", opinion))
+    own = suggest(df, edge, exact).withColumn("raw", F.lit(raw_opinion).cast("string"))
+    return merge_analyses(with_opinion(own, "raw"))
 
 
 def opinion_request(df: DataFrame, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

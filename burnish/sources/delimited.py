@@ -12,6 +12,7 @@ from burnish.functions.text import FILE_NULL_TOKENS, is_missing
 from burnish.operators.actions import null_tokens_to_null
 from burnish.operators.columns import col, groups_of, text_fields
 from burnish.operators.kinds import NUMBER_PATTERN
+from burnish.sources.shared import written
 
 # Delimiters looked for, in order of preference, and the two encodings.
 DELIMITERS = (",", ";", "\t", "|")
@@ -152,8 +153,7 @@ def _read_group(
     spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool, on_long_rows: str
 ) -> DataFrame:
     options = _csv_options(sep, encoding, multi_line)
-    first = paths if isinstance(paths, str) else paths[0]
-    header = _read_header(spark, first, options)
+    header = _read_header(spark, paths if isinstance(paths, str) else paths[0], options)
     names = file_column_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
     if not names:
         return spark.createDataFrame([], T.StructType([]))
@@ -171,6 +171,32 @@ def _read_group(
     return checked.drop(_MALFORMED).toDF(*names)
 
 
+def _file_groups(
+    spark: SparkSession, paths: str | list[str], sep: str | None, encoding: str | None, multi_line: bool | None
+) -> dict[tuple[str, str, bool], str | list[str]]:
+    """(delimiter, encoding, multi_line) -> paths; what is given is not looked for."""
+    if None not in (sep, encoding, multi_line):
+        return {(sep, encoding, multi_line): paths}
+    found = inspect_files(spark, paths).select(
+        "file",
+        (F.lit(sep) if sep else F.col("delimiter")).alias("delimiter"),
+        (F.lit(encoding) if encoding else F.col("encoding")).alias("encoding"),
+        (F.col("multi_line") if multi_line is None else F.lit(multi_line)).alias("multi_line"),
+    )
+    kind = ["delimiter", "encoding", "multi_line"]
+    stored = written(found, "files")
+    kinds = stored.select(*kind).distinct().orderBy(*kind).collect()  # at most 16 rows
+    if not kinds:
+        return {(sep or DEFAULT_DELIMITER, encoding or UTF8, bool(multi_line)): paths}
+    if len(kinds) == 1:
+        return {tuple(kinds[0]): paths}
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    # Mixed input only: one path per file, as many as Spark's own file listing holds.
+    for row in stored.orderBy("file").collect():
+        groups.setdefault(tuple(row[k] for k in kind), []).append(row["file"])
+    return groups
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | list[str],
@@ -192,21 +218,7 @@ def read_delimited(
     """
     if on_long_rows not in ("fail", "cut"):
         raise ValueError("on_long_rows must be 'fail' or 'cut'")
-    if None in (sep, encoding, multi_line):
-        # One small record per file, as many as Spark's own file listing holds.
-        found = inspect_files(spark, paths).orderBy("file").collect()
-    else:
-        found = []
-    groups: dict[tuple[str, str, bool], list[str]] = {}
-    for row in found:
-        kind = (
-            sep or row["delimiter"],
-            encoding or row["encoding"],
-            row["multi_line"] if multi_line is None else multi_line,
-        )
-        groups.setdefault(kind, []).append(row["file"])
-    if not found:
-        groups[(sep or DEFAULT_DELIMITER, encoding or UTF8, bool(multi_line))] = [paths] if isinstance(paths, str) else paths
+    groups = _file_groups(spark, paths, sep, encoding, multi_line)
     parts = [_read_group(spark, files, *kind, on_long_rows) for kind, files in groups.items()]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if null_tokens:
@@ -227,15 +239,16 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def _type_counts(df: DataFrame, fields: list[T.StructField], position: dict[str, int]) -> DataFrame:
+    # One class per cell, the cheapest tests first; then only small numbers are counted.
+    classes = [_cell_class(col(f.name)).alias(f"class{i}") for i, f in enumerate(fields)]
     wanted = [F.count(F.lit(1)).alias("n")]
-    for i, field in enumerate(fields):
-        cell = col(field.name)
-        integer = cell.rlike(INTEGER_PATTERN) & F.trim(cell).try_cast("long").isNotNull()
+    for i in range(len(fields)):
+        found = F.col(f"class{i}")
         wanted += [
-            F.count(cell).alias(f"filled{i}"),
-            F.count_if(integer).alias(f"integers{i}"),
-            F.count_if(cell.rlike(FLOAT_PATTERN) | cell.rlike(INFINITY_PATTERN)).alias(f"numbers{i}"),
-            F.count_if(cell.isin(*TRUE_CELLS, *FALSE_CELLS)).alias(f"booleans{i}"),
+            F.count(found).alias(f"filled{i}"),
+            F.count_if(found == _INTEGER).alias(f"integers{i}"),
+            F.count_if(found.isin(_INTEGER, _NUMBER)).alias(f"numbers{i}"),
+            F.count_if(found == _BOOLEAN).alias(f"booleans{i}"),
         ]
     rows = []
     for i, field in enumerate(fields):
@@ -260,7 +273,24 @@ def _type_counts(df: DataFrame, fields: list[T.StructField], position: dict[str,
                 kind.alias("inferred_type"),
             )
         )
-    return df.agg(*wanted).select(F.inline(F.array(*rows)))
+    return df.select(*classes).agg(*wanted).select(F.inline(F.array(*rows)))
+
+
+_TEXT, _NUMBER, _INTEGER, _BOOLEAN = 0, 1, 2, 3
+
+
+def _cell_class(cell: Column) -> Column:
+    """Class of a cell, null for a missing one."""
+    too_big = F.length(cell) >= 19
+    fits = ~too_big | F.trim(cell).try_cast("long").isNotNull()
+    return (
+        F.when(cell.isNull(), F.lit(None).cast("int"))
+        .when(cell.isin(*TRUE_CELLS, *FALSE_CELLS), _BOOLEAN)
+        .when(cell.rlike(INTEGER_PATTERN), F.when(fits, _INTEGER).otherwise(_NUMBER))
+        .when(cell.rlike(FLOAT_PATTERN), _NUMBER)
+        .when(cell.rlike(INFINITY_PATTERN), _NUMBER)
+        .otherwise(_TEXT)
+    )
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:

@@ -242,3 +242,34 @@ SELECT '{{"row_count":' || n || ',"column_count":5,"missing_cell_ratio":' || rou
   || '}},{{"column":"total_price","min":' || a4 || ',"max":' || b4 || '}}]}}' AS profile FROM m, d""".replace("{{", "{").replace("}}", "}"))
 def profile_json(spark, sf_dir):
     return analyze.profile_json(view(spark, sf_dir, "dirty_orders"), ["o_orderkey"])
+
+
+_FOUND = f"""WITH {facts_sql("dirty_orders", ORDERS, ORDERS_TEXT)},
+found AS (SELECT 1 AS ord, printf('%.1f%%', round_even(missing_ratio * 100, 1)) || ' of the cells in ' || n || ' rows and 5 columns are missing.' AS issue, p_missing AS p FROM scored
+  UNION ALL SELECT 2, printf('%.1f%%', round_even(duplicate_ratio * 100, 1)) || ' of the rows are exact duplicates.', p_duplicate FROM scored
+  UNION ALL SELECT 3, 'Some column names are not in snake_case.', p_header FROM scored
+  UNION ALL SELECT 4, 'Some text columns have leading or trailing whitespace.', p_whitespace FROM scored
+  UNION ALL SELECT 5, 'Some text columns use more than one casing for the same value.', p_case FROM scored)"""
+
+
+def _issues(frame):
+    issues = F.transform("suggestions", lambda s: s["issue_description"])
+    return frame.select("quality_score", F.array_join(issues, "|").alias("issues"))
+
+
+@query("suggest", "dirty_orders", _FOUND + """
+SELECT quality_score, (SELECT string_agg(issue, '|' ORDER BY ord) FROM found WHERE p > 0) AS issues FROM scored""")
+def suggest(spark, sf_dir):
+    return _issues(quality.suggest(view(spark, sf_dir, "dirty_orders")))
+
+
+@query("analyze", "dirty_orders", _FOUND + """
+SELECT round_even((quality_score + 51) / 2.0, 0)::INT AS quality_score,
+  'Units are mixed|' || (SELECT string_agg(issue, '|' ORDER BY ord) FROM (SELECT * FROM found WHERE p > 0 ORDER BY ord LIMIT 4)) AS issues FROM scored""")
+def analysis(spark, sf_dir):
+    """Own checks merged with a second opinion."""
+    opinion = (
+        'My view:\n```json\n{"quality_score": 51, "suggestions": [{"issue_description": " Units are mixed ", '
+        '"priority": "Low", "resolution_prompt": "Convert them"}]}\n```'
+    )
+    return _issues(analyze.analyze(view(spark, sf_dir, "dirty_orders"), opinion))

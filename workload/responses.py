@@ -92,8 +92,7 @@ def unwrap_json_object(spark, sf_dir):
 SELECT dataset_id, CASE dataset_id % 8 WHEN 0 THEN 85 WHEN 1 THEN 70 WHEN 3 THEN 85 WHEN 6 THEN 41 END::INT AS quality_score,
   CASE dataset_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 3 THEN 0 WHEN 6 THEN 2 END::INT AS n_suggestions FROM opinions""")
 def validate_payload(spark, sf_dir):
-    opinion = suggestions.parsed_opinion(F.col("raw"))
-    found = view(spark, sf_dir, "opinions").select("dataset_id", opinion.alias("o"))
+    found = suggestions.with_opinion(view(spark, sf_dir, "opinions").select("dataset_id", "raw"), "raw", "o")
     counted = F.when(F.col("o").isNotNull(), F.size("o.suggestions"))
     return found.select("dataset_id", "o.quality_score", counted.alias("n_suggestions"))
 
@@ -125,13 +124,8 @@ def merge_analysis(spark, sf_dir):
             for issue, rank, prompt in _OWN
         ]
     )
-    analyses = view(spark, sf_dir, "opinions").select(
-        "dataset_id",
-        "quality_score",
-        own.alias("suggestions"),
-        suggestions.parsed_opinion(F.col("raw")).alias("opinion"),
-    )
-    merged = suggestions.merge_analyses(analyses)
+    analyses = view(spark, sf_dir, "opinions").withColumn("suggestions", own)
+    merged = suggestions.merge_analyses(suggestions.with_opinion(analyses, "raw"))
     issues = F.transform("suggestions", lambda s: s["issue_description"])
     return merged.select("dataset_id", "quality_score", F.array_join(issues, ";").alias("issues"))
 
@@ -179,14 +173,33 @@ SELECT o_orderkey, o_custkey, OrderStatus, {_UPPER}, total_price, {_STATUS} FROM
 def batch_transform(spark, sf_dir):
     return batches.transform_batches(
         view(spark, sf_dir, "dirty_orders"), unreliable_upper, "upper", key="o_orderkey"
-    )
+    ).drop("_extra")
 
 
 @query("batch_transform_fallback", "dirty_orders", """
 SELECT o_orderkey, o_custkey, OrderStatus, order_priority, total_price, 'passed' AS _batch_status, 2::INT AS _attempts,
   'no JSON in the answer' AS _error, NULL AS _unparsed FROM dirty_orders""")
 def batch_transform_fallback(spark, sf_dir):
-    return batches.transform_batches(view(spark, sf_dir, "dirty_orders"), lambda payload, note: "no", "any")
+    passed = batches.transform_batches(view(spark, sf_dir, "dirty_orders"), lambda payload, note: "no", "any")
+    return passed.drop("_extra")
+
+
+def flag_cheap(payload: str, instruction: str) -> str:
+    """A transformer that adds a key to some rows and drops one from all."""
+    rows = json.loads(payload)
+    for row in rows:
+        del row["o_custkey"]
+        if row["total_price"] is not None and row["total_price"] < 100000:
+            row["cheap"] = "yes"
+    return json.dumps(rows)
+
+
+@query("batch_union_keys", "dirty_orders", """
+SELECT o_orderkey, NULL::BIGINT AS o_custkey, OrderStatus, order_priority, total_price,
+  CASE WHEN total_price < 100000 THEN 'yes' END AS cheap FROM dirty_orders""")
+def batch_union_keys(spark, sf_dir):
+    flagged = batches.transform_batches(view(spark, sf_dir, "dirty_orders"), flag_cheap, "flag")
+    return batches.extra_columns(flagged).drop("_batch_status", "_attempts", "_error", "_unparsed")
 
 
 @query("clean_table", "dirty_orders", f"""
@@ -198,7 +211,7 @@ def clean_table(spark, sf_dir):
     cleaned = clean(
         view(spark, sf_dir, "dirty_orders"), "Remove exact duplicate rows", unreliable_upper, key="o_orderkey"
     )
-    return cleaned.drop("_attempts", "_error", "_unparsed")
+    return cleaned.drop("_attempts", "_error", "_unparsed", "_extra")
 
 
 @query("clean_native", "dirty_orders", """
