@@ -51,17 +51,20 @@ def _kind(value: Column) -> Column:
 
 
 def unwrap_json_list(payload: Column) -> Column:
-    """For an object: its first value that is a list, in document order; else unchanged."""
-    kinds = F.transform(
-        F.map_values(F.from_json(payload, "map<string,variant>")),
-        lambda value: F.coalesce(F.startswith(_kind(value), F.lit("ARRAY<")), F.lit(False)),
-    )
-    position = F.array_position(kinds, True)
-    texts = F.map_values(F.from_json(payload, "map<string,string>"))
-    is_object = F.startswith(strip(payload), F.lit("{"))
-    return F.when(is_object & (position > 0), F.try_element_at(texts, position.cast("int"))).otherwise(
-        payload
-    )
+    """For an object: its first value that is a list, in document order; else unchanged.
+
+    Numbers keep all their digits; keys of objects inside the list come out sorted.
+    """
+    values = F.map_values(F.from_json(payload, "map<string,variant>"))
+    lists = F.filter(values, lambda value: F.startswith(_kind(value), F.lit("ARRAY<")))
+    first = F.when(F.startswith(strip(payload), F.lit("{")), F.to_json(F.try_element_at(lists, F.lit(1))))
+    return F.coalesce(first, payload)
+
+
+def array_items(payload: Column) -> Column:
+    """The items of a JSON array as an array of JSON texts."""
+    items = F.try_variant_get(F.try_parse_json(payload), "$", "array<variant>")
+    return F.transform(items, lambda item: F.to_json(item))
 
 
 def unwrap_json_object(payload: Column, expected_key: str = "suggestions") -> Column:

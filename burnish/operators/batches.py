@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.functions.jsontext import extract_json, unwrap_json_list, validate_batch
+from burnish.functions.jsontext import array_items, extract_json, unwrap_json_list, validate_batch
 from burnish.operators.actions import nan_to_null
 from burnish.operators.columns import col, quoted
 from burnish.operators.lookup import SPREAD, hot_values
@@ -227,7 +227,7 @@ def transform_batches(
     for _ in range(retries):
         state = _checked(state.mapInArrow(_next_call(fn, instruction), _BATCH_SCHEMA))
     passed = F.col("payload").isNull()
-    items = F.when(passed, F.col("rows")).otherwise(F.from_json("payload", "array<string>"))
+    items = F.when(passed, F.col("rows")).otherwise(array_items(F.col("payload")))
     if on_failure == "fail":
         items = F.when(passed, F.raise_error(F.col("failure")).cast("array<string>")).otherwise(items)
     exploded = state.select(

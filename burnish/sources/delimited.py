@@ -32,7 +32,7 @@ TRUE_CELLS, FALSE_CELLS = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
 
 def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file: (file, lines, encoding, delimiter, multi_line, has_bom).
+    """One row per file: (file, lines, encoding, delimiter, multi_line).
 
     All bytes are read once as splittable lines and every line votes, so large files are inspected
     by many tasks and each task sends a handful of numbers per file. ``encoding`` is UTF-8 if every
@@ -54,7 +54,6 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         *[_beside_quotes(d).alias(f"beside{i}") for i, d in enumerate(DELIMITERS)],
         F.is_valid_utf8("value").alias("valid"),
         (quotes % 2 == 1).alias("odd"),
-        F.startswith("value", F.lit(BOM)).alias("bom"),
         (F.length("value") > 0).cast("int").alias("filled"),
         F.lit(1).alias("lines"),
     )
@@ -73,7 +72,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         ]
     )
     by_count = (
-        alike.select("file", *sums, "valid", "odd", "bom", F.inline(candidates))
+        alike.select("file", *sums, "valid", "odd", F.inline(candidates))
         .groupBy("file", "order", "count")
         .agg(*_combined([*sums, "beside"]))
     )
@@ -81,14 +80,13 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     by_candidate = by_count.groupBy("file", "order").agg(*_combined(["lines", "beside"]), usual)
     # Ties go to the preferred delimiter; a candidate that never occurs cannot win.
     found = (F.col("beside") > 0) | F.col("usual").isNotNull()
-    best = F.max_by("order", F.when(found, F.struct("beside", "usual", "order")))
+    best = F.max_by(F.when(found, F.col("order")), F.when(found, F.struct("beside", "usual", "order")))
     delimiters = F.array(*[F.lit(d) for d in DELIMITERS])
     return by_candidate.groupBy("file").agg(
         F.max("lines").alias("lines"),
         F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"),
         F.coalesce(F.element_at(delimiters, 1 - best), F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
         F.bool_or("odd").alias("multi_line"),
-        F.bool_or("bom").alias("has_bom"),
     )
 
 
@@ -100,7 +98,7 @@ def _beside_quotes(delimiter: str) -> Column:
 
 
 def _combined(sums: list[str]) -> list[Column]:
-    flags = [F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("odd"), F.bool_or("bom").alias("bom")]
+    flags = [F.bool_and("valid").alias("valid"), F.bool_or("odd").alias("odd")]
     return [F.sum(c).alias(c) for c in sums] + flags
 
 
@@ -166,7 +164,9 @@ def _read_group(
         return reader.schema(T.StructType(fields)).csv(paths).toDF(*names)
     fields.append(T.StructField(_MALFORMED, T.StringType()))
     rows = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _MALFORMED).csv(paths)
-    message = F.concat(F.lit(f"a row has more than {len(names)} cells: "), F.col(_MALFORMED))
+    # Spark wants a column of the file next to the malformed one, even for a count.
+    start = F.concat(F.coalesce(col(columns[0]), F.lit("")), F.lit(" ..., line: "), F.col(_MALFORMED))
+    message = F.concat(F.lit(f"a row has more than {len(names)} cells: "), start)
     checked = rows.where(F.when(_too_long(len(names), sep), F.raise_error(message).cast("boolean")).otherwise(True))
     return checked.drop(_MALFORMED).toDF(*names)
 
