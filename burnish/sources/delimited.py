@@ -85,7 +85,7 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return by_candidate.groupBy("file").agg(
         F.max("lines").alias("lines"),
         F.when(F.bool_and("valid"), UTF8).otherwise(LATIN1).alias("encoding"),
-        F.coalesce(F.element_at(delimiters, 1 - best), F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
+        F.coalesce(F.try_element_at(delimiters, 1 - best), F.lit(DEFAULT_DELIMITER)).alias("delimiter"),
         F.bool_or("odd").alias("multi_line"),
     )
 
