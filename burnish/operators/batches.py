@@ -84,7 +84,8 @@ def _keyed_rows(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     # Ids far above the batch size are cut into many batches anyway, so they may be spread.
     hot = hot_values(df.select(batch_id.alias("batch_id")), "batch_id", at_least=HOT_BATCHES * batch_size)
     records = to_json_records(df, [key]).select(batch_id.alias("batch_id"), "record")
-    lane = F.when(F.col("_hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)))
+    # The lane is the number of the row's partition: a task that runs again gives the same lanes.
+    lane = F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
     rows = records.join(F.broadcast(hot), F.col("batch_id") == F.col("_hot"), "left").select(
         "batch_id", F.coalesce(lane, F.lit(0)).cast("int").alias("lane"), "record"
     )
@@ -217,7 +218,8 @@ def transform_batches(
 
     Batches are cut from each partition as it is read. With ``key``, an integer column, rows with
     the same ``key div batch_size`` form a batch, which makes batches repeatable at the price of
-    one shuffle. Spark may run a task again, so ``fn`` should give equal answers to equal calls.
+    one shuffle. Spark may run a task again, so ``fn`` should give equal answers to equal calls; if
+    answers depend on which rows share a batch and the input comes out of a shuffle, use ``key``.
     """
     if on_failure not in ("pass", "fail"):
         raise ValueError("on_failure must be 'pass' or 'fail'")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.operators.columns import col, quoted
+from burnish.sources.shared import written
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_VALUES = 1000  # at most this many values are spread
@@ -46,10 +47,14 @@ def hot_values(df: DataFrame, name: str, at_least: int = 0) -> DataFrame:
 
 
 def _spread_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Left join on _probe = _key; rows with a hot or null probe go to SPREAD tasks each."""
-    hot = hot_values(df, "_probe")
-    task_row = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)) + 1
-    spread = F.when(F.col("_hot").isNotNull() | F.col("_probe").isNull(), task_row).otherwise(0)
+    """Left join on _probe = _key; rows with a hot or null probe go to SPREAD tasks each.
+
+    The hot values are written first, because both sides must agree on them. The salt is the number
+    of the row's partition, so a task that runs again after a loss salts its rows the same way.
+    """
+    hot = written(hot_values(df, "_probe"), "hot")
+    lane = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
+    spread = F.when(F.col("_hot").isNotNull() | F.col("_probe").isNull(), lane).otherwise(0)
     left = (
         df.join(F.broadcast(hot), F.col("_probe") == F.col("_hot"), "left")
         .withColumn("_salt", spread.cast("int"))

@@ -54,38 +54,45 @@ def _fingerprint(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
 
 
+_RECORD = "slot:int,k1:bigint,k2:bigint,h:bigint"
+
+
 def _row_record(df: DataFrame) -> Column:
-    # The hash skips nulls, so null positions are hashed as well.
+    """``h`` is the number of missing cells. The hash skips nulls, so null positions are hashed too."""
     values = [comparable(f) for f in df.schema.fields]
     first, second = _fingerprint(*values, *[v.isNull() for v in values])
     return F.struct(
-        F.lit(ROW).alias("slot"), first.alias("k1"), second.alias("k2"), F.lit(0).alias("h"),
-        _missing_in_row(df).alias("missing"), F.lit(False).alias("edge"),
-    )
+        F.lit(ROW).alias("slot"), first.alias("k1"), second.alias("k2"), _missing_in_row(df).alias("h")
+    )
 
 
 def _cell_record(slot: int, name: str, edge: str) -> Column:
+    """``h`` is a 63-bit hash of the spelling, negative if it has edge whitespace, null for null."""
     cell = col(name)
     first, second = _fingerprint(normal_form(cell))
+    spelling = F.shiftrightunsigned(F.xxhash64(cell), 1)
+    signed = F.when(edge_whitespace(cell, edge), F.bitwise_not(spelling)).otherwise(spelling)
     return F.struct(
         F.lit(slot).alias("slot"), first.alias("k1"), second.alias("k2"),
-        F.when(cell.isNotNull(), F.xxhash64(cell)).alias("h"),
-        F.lit(0).alias("missing"), edge_whitespace(cell, edge).alias("edge"),
+        F.when(cell.isNotNull(), signed).alias("h"),
     )
 
 
 def _hashed_groups(df: DataFrame, records: list[Column]) -> DataFrame:
-    long = stacked(df, records, "slot:int,k1:bigint,k2:bigint,h:bigint,missing:bigint,edge:boolean")
-    return (
-        long.where(F.col("h").isNotNull())
+    """Three numbers per group are shuffled; the flags are read off them afterwards."""
+    grouped = (
+        stacked(df, records, _RECORD)
+        .where(F.col("h").isNotNull())
         .groupBy("slot", "k1", "k2")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("missing").alias("missing"),
-            F.bool_or("edge").alias("edge"),
-            (F.min("h") != F.max("h")).alias("varies"),
-        )
-        .drop("k1", "k2")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    )
+    of_rows = F.col("slot") == ROW
+    return grouped.select(
+        "slot",
+        "n",
+        F.when(of_rows, F.col("n") * F.col("low")).otherwise(0).alias("missing"),
+        (F.col("low") < 0).alias("edge"),
+        (F.col("low") != F.col("high")).alias("varies"),
     )
 
 

@@ -46,8 +46,8 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         F.replace("value", F.lit('""'), F.lit("")).alias("single_quotes"),
         F.regexp_replace("value", '"[^"]*("|$)', "").alias("unquoted"),
     )
-    counts = [(F.length("unquoted") - F.length(F.translate("unquoted", d, ""))) for d in DELIMITERS]
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    counts = [_occurrences(F.col("unquoted"), d) for d in DELIMITERS]
+    quotes = _occurrences(F.col("value"), '"')
     votes = parted.select(
         "file",
         *[c.alias(f"count{i}") for i, c in enumerate(counts)],
@@ -93,8 +93,12 @@ def inspect_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def _beside_quotes(delimiter: str) -> Column:
     """How often the delimiter stands right before or after a quote, doubled quotes left out."""
     text = F.col("single_quotes")
-    pairs = [delimiter + '"', '"' + delimiter]
-    return sum(F.length(text) - F.length(F.replace(text, F.lit(p), F.lit(""))) for p in pairs) / 2
+    return _occurrences(text, delimiter + '"') + _occurrences(text, '"' + delimiter)
+
+
+def _occurrences(text: Column, part: str) -> Column:
+    without = F.replace(text, F.lit(part), F.lit(""))
+    return ((F.octet_length(text) - F.octet_length(without)) / len(part)).cast("int")
 
 
 def _combined(sums: list[str]) -> list[Column]:
@@ -143,7 +147,7 @@ def _read_header(spark: SparkSession, path: str | list[str], options: dict[str,
 def _too_long(width: int, sep: str) -> Column:
     """A record Spark marks as malformed that has more cells than the header."""
     unquoted = F.regexp_replace(_MALFORMED, '(?s)"[^"]*("|$)', "")
-    cells = F.length(unquoted) - F.length(F.translate(unquoted, sep, "")) + 1
+    cells = _occurrences(unquoted, sep) + 1
     return F.col(_MALFORMED).isNotNull() & (cells > width)
 
 
