@@ -13,6 +13,9 @@ DATETIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
 MAX_DATE_LENGTH = 60  # with padding
 
+# Every shape below contains one of these; a single search spares other cells the rest.
+_PLAUSIBLE = r"(?i)\d[-/.]\d{1,2}[-/.]\d|[a-z]{3}\s+\d|\d(st|nd|rd|th)?,?\s+[a-z]{3}"
+
 # Shape of the text, then the pattern that reads it. A shape test first keeps one parse per cell.
 DATE_SHAPES = (
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
@@ -53,7 +56,8 @@ def parse_date_text(text: Column, day_first: bool = False) -> Column:
         dates = tuple((s, p.replace("M/d/yyyy", "d/M/yyyy")) for s, p in dates)
         times = tuple((s, p.replace("M/d/yyyy", "d/M/yyyy")) for s, p in times)
     # Longer cells cannot be dates; testing the length first spares long texts the regular expressions.
-    plain = _readable(F.when(F.length(text) <= MAX_DATE_LENGTH, text))
+    candidate = F.when((F.length(text) <= MAX_DATE_LENGTH) & text.rlike(_PLAUSIBLE), text)
+    plain = _readable(candidate)
     spaced = F.regexp_replace(plain, r"(\d)T(\d)", "$1 $2")
     return F.coalesce(
         _first_match(plain, dates, DATE_FORMAT), _first_match(spaced, times, DATETIME_FORMAT)

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnish.functions import text
+from burnish.operators import lookup
 from burnish.operators.columns import col, comparable, groups_of, stacked, text_fields
 from burnish.operators.lookup import attach, measured_bytes
+from burnish.operators.quality import cell_record, fingerprint, record_groups
 from burnish.sources.shared import written
 
+FORM_BYTES = 100  # upper bound of one fingerprint in a broadcast table
+
 
 def map_text(df: DataFrame, change: Callable[[Column], Column], columns: list[str] | None = None) -> DataFrame:
     """Apply an expression to every text column (or the named ones), others untouched."""
@@ -77,21 +81,35 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_snake_names(df.columns))
 
 
+def mixed_forms(df: DataFrame, names: list[str]) -> DataFrame:
+    """(slot, k1, k2): fingerprints of the normal forms that are spelled in more than one way."""
+    records = [cell_record(slot, name, "both") for slot, name in enumerate(names)]
+    parts = [record_groups(df, group) for group in groups_of(records)]
+    return reduce(DataFrame.unionByName, parts).where(F.col("low") != F.col("high")).select("slot", "k1", "k2")
+
+
 def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(slot, form, new_value) for every normal form that is spelled in more than one way.
 
     All values with the same stripped lower-case form belong together; the canonical spelling is
     the most frequent one, ties going to the smallest. ``slot`` is the position in ``columns``.
-    Both groupings combine in each task first, so neither a frequent value nor a form with many
-    spellings loads one task.
+    A first pass over fingerprints finds the forms in question, so texts are shuffled for these
+    only (if the list is too large to broadcast, for all). All groupings combine in each task
+    first, so neither a frequent value nor a form with many spellings loads one task.
     """
     names = columns if columns is not None else [f.name for f in text_fields(df)]
-    parts = []
-    for group in groups_of(list(enumerate(names))):
-        cells = [F.struct(F.lit(i).alias("slot"), col(n).alias("v")) for i, n in group]
-        parts.append(stacked(df, cells, "slot:int,v:string"))
-    long = reduce(DataFrame.unionByName, parts)
-    counted = long.where(F.col("v").isNotNull()).groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    forms = written(mixed_forms(df, names), "forms")
+    found = {row["slot"]: row["count"] for row in forms.groupBy("slot").count().collect()}  # one per column
+    cells = [F.struct(F.lit(i).alias("slot"), col(names[i]).alias("v")) for i in sorted(found)]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "slot int, form string, new_value string")
+    long = reduce(DataFrame.unionByName, [stacked(df, group, "slot:int,v:string") for group in groups_of(cells)])
+    long = long.where(F.col("v").isNotNull())
+    if sum(found.values()) * FORM_BYTES <= lookup.BROADCAST_BYTES:
+        first, second = fingerprint(text.normal_form(F.col("v")))
+        keyed = long.withColumns({"k1": first, "k2": second})
+        long = keyed.join(F.broadcast(forms), ["slot", "k1", "k2"], "left_semi")
+    counted = long.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
     most_frequent = F.min_by("v", F.struct((-F.col("n")).alias("rare"), "v"))
     return (
         counted.groupBy("slot", text.normal_form(F.col("v")).alias("form"))
@@ -104,7 +122,7 @@ def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def canonical_case(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every spelling replaced by its group's canonical one.
 
-    The replacements are computed first (a Spark job), written to the shared folder and measured.
+    The replacements are computed first (Spark jobs), written to the shared folder and measured.
     Columns without variants are not joined at all.
     """
     names = columns if columns is not None else [f.name for f in text_fields(df)]

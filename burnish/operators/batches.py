@@ -12,6 +12,7 @@ from itertools import count, groupby, islice
 from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from burnish.operators.lookup import SPREAD, hot_values
 from burnish.sources.shared import written
 
 BATCH_SIZE = 20  # fixed value: rows per call
+CALLS_PER_PACK = 32  # answers per Arrow batch that leaves a worker
 HOT_BATCHES = 1000  # a batch id with more rows than this many batches may be spread
 RETRY_NOTE = (
     "Return nothing but a JSON array of exactly {n} objects with the same keys as the input. Where "
@@ -141,34 +143,47 @@ def _call(fn: Transformer, rows: list[str], instruction: str) -> tuple[str | Non
         return None, f"{type(error).__name__}: {error}"
 
 
-def _one_row(rows, raw, failure, payload, attempts) -> pa.RecordBatch:
+def _table(calls: list[tuple]) -> pa.RecordBatch:
+    """Arrow batch of (rows, raw, failure, payload, attempts)."""
+    rows, raw, failure, payload, attempts = map(list, zip(*calls, strict=True))
     values = {
-        "rows": [rows], "n": [len(rows)], "raw": [raw], "failure": [failure], "payload": [payload],
-        "attempts": [attempts],
+        "rows": rows, "n": [len(r) for r in rows], "raw": raw, "failure": failure, "payload": payload,
+        "attempts": attempts,
     }
     return pa.RecordBatch.from_pydict(values, schema=_ARROW)
 
 
+def _packed(calls: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Answers leave the worker in packs, as they come."""
+    while pack := list(islice(calls, CALLS_PER_PACK)):
+        yield _table(pack)
+
+
 def _first_call(fn: Transformer, instruction: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rows in _grouped(batches, size):
-            raw, failure = _call(fn, rows, instruction)
-            yield _one_row(rows, raw, failure, None, 1)
+        def calls():
+            for _, _, rows in _grouped(batches, size):
+                raw, failure = _call(fn, rows, instruction)
+                yield rows, raw, failure, None, 1
+
+        yield from _packed(calls())
 
     return run
 
 
 def _next_call(fn: Transformer, instruction: str):
+    def again(item: dict) -> tuple:
+        stricter = f"{instruction}\n\n{RETRY_NOTE.format(n=item['n'])}"
+        raw, failure = _call(fn, item["rows"], stricter)
+        return item["rows"], raw, failure, None, item["attempts"] + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item in batch.to_pylist():
-                rows, raw, failure = item["rows"], item["raw"], item["failure"]
-                payload, attempts = item["payload"], item["attempts"]
-                if payload is None:
-                    stricter = f"{instruction}\n\n{RETRY_NOTE.format(n=len(rows))}"
-                    raw, failure = _call(fn, rows, stricter)
-                    attempts += 1
-                yield _one_row(rows, raw, failure, payload, attempts)
+            open_calls = batch.column("payload").is_null()
+            done = batch.filter(pc.invert(open_calls))
+            if done.num_rows:
+                yield done.cast(_ARROW)
+            yield from _packed(again(item) for item in batch.filter(open_calls).to_pylist())
 
     return run
 

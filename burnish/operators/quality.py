@@ -49,7 +49,7 @@ def _missing_in_row(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, flags)
 
 
-def _fingerprint(*columns: Column) -> tuple[Column, Column]:
+def fingerprint(*columns: Column) -> tuple[Column, Column]:
     """128 bits: two differently seeded 64-bit hashes."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
 
@@ -60,16 +60,16 @@ _RECORD = "slot:int,k1:bigint,k2:bigint,h:bigint"
 def _row_record(df: DataFrame) -> Column:
     """``h`` is the number of missing cells. The hash skips nulls, so null positions are hashed too."""
     values = [comparable(f) for f in df.schema.fields]
-    first, second = _fingerprint(*values, *[v.isNull() for v in values])
+    first, second = fingerprint(*values, *[v.isNull() for v in values])
     return F.struct(
         F.lit(ROW).alias("slot"), first.alias("k1"), second.alias("k2"), _missing_in_row(df).alias("h")
     )
 
 
-def _cell_record(slot: int, name: str, edge: str) -> Column:
+def cell_record(slot: int, name: str, edge: str) -> Column:
     """``h`` is a 63-bit hash of the spelling, negative if it has edge whitespace, null for null."""
     cell = col(name)
-    first, second = _fingerprint(normal_form(cell))
+    first, second = fingerprint(normal_form(cell))
     spelling = F.shiftrightunsigned(F.xxhash64(cell), 1)
     signed = F.when(edge_whitespace(cell, edge), F.bitwise_not(spelling)).otherwise(spelling)
     return F.struct(
@@ -78,16 +78,20 @@ def _cell_record(slot: int, name: str, edge: str) -> Column:
     )
 
 
-def _hashed_groups(df: DataFrame, records: list[Column]) -> DataFrame:
-    """Three numbers per group are shuffled; the flags are read off them afterwards."""
-    grouped = (
+def record_groups(df: DataFrame, records: list[Column]) -> DataFrame:
+    """(slot, k1, k2, n, low, high): equal rows or normal forms, with the range of their ``h``."""
+    return (
         stacked(df, records, _RECORD)
         .where(F.col("h").isNotNull())
         .groupBy("slot", "k1", "k2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     )
+
+
+def _hashed_groups(df: DataFrame, records: list[Column]) -> DataFrame:
+    """Six numbers per group are shuffled; the flags are read off them afterwards."""
     of_rows = F.col("slot") == ROW
-    return grouped.select(
+    return record_groups(df, records).select(
         "slot",
         "n",
         F.when(of_rows, F.col("n") * F.col("low")).otherwise(0).alias("missing"),
@@ -140,7 +144,7 @@ def table_facts(df: DataFrame, edge: str = "both", exact: bool = False, cells: b
         parts += [_exact_cells(df, group, edge) for group in groups_of(slots)]
     else:
         records = [_row_record(df)] if hashed_rows else []
-        records += [_cell_record(slot, name, edge) for slot, name in slots]
+        records += [cell_record(slot, name, edge) for slot, name in slots]
         parts += [_hashed_groups(df, group) for group in groups_of(records)]
     grouped = reduce(DataFrame.unionByName, parts)
     return grouped.groupBy("slot").agg(
