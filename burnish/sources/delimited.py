@@ -217,7 +217,8 @@ def read_delimited(
     What is not given is found by :func:`inspect_files`. Files that differ in delimiter, encoding or
     line breaks in fields are read in groups and united by column name; files without such line
     breaks stay splittable. Short rows are padded with nulls; a row longer than the header fails the
-    query, or is cut with ``on_long_rows='cut'``. Files of a group must have the same header, which
+    query, or is cut with ``on_long_rows='cut'``, which also lets Spark parse only the columns in
+    use. Files of a group must have the same header, which
     is checked unless the header has blank or repeated names.
     """
     if on_long_rows not in ("fail", "cut"):

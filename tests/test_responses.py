@@ -202,6 +202,10 @@ def test_values_that_do_not_fit_and_new_keys_are_kept(spark):
     assert (second.n, second.s, second._unparsed, second._extra) == (2, None, None, {"extra": '{"deep":[1]}'})
     wide = batches.extra_columns(batches.transform_batches(frame, change, "x"))
     assert [r.extra for r in wide.collect()] == [None, '{"deep":[1]}']
+    odd = frame.toDF(" N, (1) ", "s;=")
+    add = lambda payload, note: payload.replace("{", '{"new key": 1, ')
+    named = batches.extra_columns(batches.transform_batches(odd, add, "x"))
+    assert [tuple(r)[:2] + (r["new key"],) for r in named.collect()] == [(1, "a", "1"), (2, "b", "1")]
 
 
 def test_payloads_round_trip_and_hot_ids(spark, monkeypatch):

@@ -59,20 +59,21 @@ def detect_delimiter(spark, sf_dir):
 
 
 @query("detect_encoding", "", f"""
-SELECT written, encoding, (SELECT count(*) FROM conversations) AS rows
+SELECT written, encoding, (SELECT sum(1 + length(text) - length(replace(text, chr(10), ''))) FROM conversations)::BIGINT AS lines
 FROM (VALUES ('{LATIN1}', '{LATIN1}'), ('{UTF8}', '{UTF8}')) v(written, encoding)""")
 def detect_encoding(spark, sf_dir):
-    # One line per row, each with a letter outside ASCII, so that every file shows its encoding.
-    rows = view(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("é "), "role").alias("role"))
+    # Whole texts, each with a letter outside ASCII in front, so that every file shows its encoding.
+    rows = view(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("é "), "text").alias("text"))
     parts = []
     for encoding in (LATIN1, UTF8):
         path = new_path(spark, "csv")
         write_delimited(rows, path, encoding=encoding)
         parts.append(inspect_files(spark, path).withColumn("written", F.lit(encoding)))
+    # Every file has one header line.
     return (
         reduce(DataFrame.unionByName, parts)
         .groupBy("written", "encoding")
-        .agg((F.sum("lines") - F.count(F.lit(1))).alias("rows"))
+        .agg((F.sum("lines") - F.count(F.lit(1))).alias("lines"))
     )
 
 
