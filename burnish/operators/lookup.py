@@ -19,16 +19,18 @@ HOT_SHARE = 0.001  # a value in more than this share of the rows is hot
 SPREAD = 64  # tasks a hot value is spread over
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Upper bound of the in-memory size of a row of numbers and texts."""
+    size = F.lit(64 + 16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(col(field.name)), F.lit(0))
+    return size
+
+
 def measured_bytes(mapping: DataFrame) -> DataFrame:
-    """(slot, bytes): upper bound of the in-memory size of each slot's replacements."""
-    sizes = [
-        F.coalesce(F.octet_length(col(f.name)), F.lit(0)) if isinstance(f.dataType, T.StringType) else F.lit(0)
-        for f in mapping.schema.fields
-    ]
-    row = F.lit(64 + 16 * len(sizes))
-    for size in sizes:
-        row = row + size
-    return mapping.groupBy("slot").agg(F.sum(row).alias("bytes"))
+    """(slot, bytes) of each slot's replacements."""
+    return mapping.groupBy("slot").agg(F.sum(row_bytes(mapping)).alias("bytes"))
 
 
 def hot_values(df: DataFrame, name: str, at_least: int = 0) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.operators import lookup
 from burnish.operators.columns import col
 from burnish.operators.lookup import attach, measured_bytes
+from burnish.operators.quality import fingerprint
 from burnish.sources.shared import written
 
 # Confidence from which a proposal is applied, and below which it is rejected.
@@ -112,15 +117,65 @@ def audit_projection(df: DataFrame, key: list[str], changes: dict[str, Column],
     return df.select(*[col(k) for k in key], F.inline(listed)).withColumn("source", F.lit(source))
 
 
-def audit_log(before: DataFrame, after: DataFrame, key: list[str], source: str = "clean") -> DataFrame:
+def _changed_keys(before: DataFrame, after: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Keys (k0, k1, ...) whose rows are not the same single row on both sides, by fingerprints."""
+
+    def side(df: DataFrame, label: str) -> DataFrame:
+        cells = [col(n).cast("string") for n in names]
+        first, second = fingerprint(*cells, *[c.isNull() for c in cells])
+        keys = [col(k).alias(f"k{i}") for i, k in enumerate(key)]
+        return df.select(*keys, first.alias(f"{label}1"), second.alias(f"{label}2"))
+
+    hashes = ["old1", "old2", "new1", "new2"]
+    grouped = (
+        side(before, "old")
+        .unionByName(side(after, "new"), allowMissingColumns=True)
+        .groupBy(*[f"k{i}" for i in range(len(key))])
+        .agg(
+            F.count("old1").alias("n_old"),
+            F.count("new1").alias("n_new"),
+            *[F.min(h).alias(f"low_{h}") for h in hashes],
+            *[F.max(h).alias(f"high_{h}") for h in hashes],
+        )
+    )
+    same = F.col("n_old") == F.col("n_new")
+    for i in (1, 2):
+        for other in (f"high_old{i}", f"low_new{i}", f"high_new{i}"):
+            same = same & F.col(f"low_old{i}").eqNullSafe(F.col(other))
+    return grouped.where(~same).select(*[f"k{i}" for i in range(len(key))])
+
+
+def _only_changed(
+    before: DataFrame, after: DataFrame, key: list[str], names: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Both tables cut down to the changed keys, if the list of these is small enough to broadcast."""
+    changed = written(_changed_keys(before, after, key, names), "changed")
+    size = changed.agg(F.sum(lookup.row_bytes(changed))).first()[0] or 0
+    if size > lookup.BROADCAST_BYTES:
+        return before, after
+    listed = changed.toDF(*[f"_changed{i}" for i in range(len(key))])
+    matches = [col(k).eqNullSafe(F.col(f"_changed{i}")) for i, k in enumerate(key)]
+    condition = reduce(and_, matches)
+    return tuple(df.join(F.broadcast(listed), condition, "left_semi") for df in (before, after))
+
+
+def audit_log(
+    before: DataFrame, after: DataFrame, key: list[str], source: str = "clean", stored: bool = False
+) -> DataFrame:
     """One row per changed cell: key, change, column, old_value, new_value, source.
 
+    With ``stored``, for tables that give the same rows each time they are read, a first pass over
+    fingerprints finds the changed keys and only their rows are shuffled and compared. Otherwise
+    both tables are read once and compared whole.
+
     Both tables are stacked and grouped by key once, so a key with many copies combines before the
     shuffle and no pairs of copies are formed. ``change`` is ``cell`` for a changed cell, ``added``
     or ``removed`` for a key found on one side only, ``copies`` for a changed number of equal
     copies, and ``ambiguous`` for a key whose copies differ, which cannot be matched one to one.
     """
     names = [c for c in before.columns if c in after.columns and c not in key]
+    if stored:
+        before, after = _only_changed(before, after, key, names)
 
     def side(df: DataFrame, after_side: bool) -> DataFrame:
         row = F.struct(*[col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])

@@ -108,14 +108,20 @@ def test_value_map_review_and_audit(spark, join_way):
     assert rows(log.drop("source")) == rows_of((1, "cell", "job", "ux", "UX"), (2, "cell", "job", "uix", "UI"))
 
 
-def test_audit_of_keys(spark):
-    before = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (3, "d"), (4, None)], "k int, v string")
-    after = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "x"), (5, "e")], "k int, v string")
-    assert rows(review.audit_log(before, after, ["k"]).drop("source")) == rows_of(
+@pytest.mark.parametrize("stored", [False, True])
+def test_audit_of_keys(spark, stored, join_way):
+    before = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (2, "b"), (3, "c"), (3, "d"), (4, None), (6, "f"), (None, "n")], "k int, v string"
+    )
+    after = spark.createDataFrame(
+        [(1, "a"), (2, "b"), (3, "c"), (4, "x"), (5, "e"), (6, "f"), (None, "m")], "k int, v string"
+    )
+    assert rows(review.audit_log(before, after, ["k"], stored=stored).drop("source")) == rows_of(
         (2, "copies", None, "2", "1"),
         (3, "ambiguous", None, "2", "1"),
         (4, "cell", "v", None, "x"),
         (5, "added", None, "0", "1"),
+        (None, "cell", "v", "n", "m"),
     )
     gone = review.audit_log(before.where("k = 1"), before.where("k = 9"), ["k"]).drop("source")
     assert rows(gone) == [(1, "removed", None, "1", "0")]
