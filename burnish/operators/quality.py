@@ -46,7 +46,10 @@ CHECKS = ("missing", "duplicate", "header", "whitespace", "casing")
 
 def _missing_in_row(df: DataFrame) -> Column:
     flags = [is_missing(col(f.name), f.dataType).cast("int") for f in df.schema.fields]
-    return reduce(lambda a, b: a + b, flags)
+    # Added in pairs: a chain of thousands of columns would be too deep an expression.
+    while len(flags) > 1:
+        flags = [reduce(lambda a, b: a + b, flags[i : i + 2]) for i in range(0, len(flags), 2)]
+    return flags[0]
 
 
 def fingerprint(*columns: Column) -> tuple[Column, Column]:

@@ -249,7 +249,7 @@ def audit_log(spark, sf_dir):
 
 
 _SKEWED_AUDIT = """
-SELECT order_id, 'ambiguous' AS change, NULL AS "column", count(*)::VARCHAR AS old_value, count(DISTINCT status)::VARCHAR AS new_value, 'dedup' AS source
+SELECT order_id, 'ambiguous' AS change, NULL::VARCHAR AS "column", count(*)::VARCHAR AS old_value, count(DISTINCT status)::VARCHAR AS new_value, 'dedup' AS source
 FROM skewed_orders GROUP BY order_id HAVING count(DISTINCT status) > 1
 UNION ALL
 SELECT order_id, 'copies', NULL, count(*)::VARCHAR, '1', 'dedup' FROM skewed_orders GROUP BY order_id

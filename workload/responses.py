@@ -164,7 +164,7 @@ def unreliable_upper(payload: str, instruction: str) -> str:
 
 _STATUS = """CASE WHEN o_orderkey // 20 % 7 = 0 THEN 'passed' ELSE 'ok' END AS _batch_status,
   CASE WHEN o_orderkey // 20 % 7 = 0 OR o_orderkey // 20 % 3 = 0 THEN 2 ELSE 1 END::INT AS _attempts,
-  CASE WHEN o_orderkey // 20 % 7 = 0 THEN 'RuntimeError: not available' END AS _error, NULL AS _unparsed"""
+  CASE WHEN o_orderkey // 20 % 7 = 0 THEN 'RuntimeError: not available' END AS _error, NULL::VARCHAR AS _unparsed"""
 _UPPER = "CASE WHEN o_orderkey // 20 % 7 = 0 THEN order_priority ELSE upper(order_priority) || '!' END AS order_priority"
 
 
@@ -178,7 +178,7 @@ def batch_transform(spark, sf_dir):
 
 @query("batch_transform_fallback", "dirty_orders", """
 SELECT o_orderkey, o_custkey, OrderStatus, order_priority, total_price, 'passed' AS _batch_status, 2::INT AS _attempts,
-  'no JSON in the answer' AS _error, NULL AS _unparsed FROM dirty_orders""")
+  'no JSON in the answer' AS _error, NULL::VARCHAR AS _unparsed FROM dirty_orders""")
 def batch_transform_fallback(spark, sf_dir):
     passed = batches.transform_batches(view(spark, sf_dir, "dirty_orders"), lambda payload, note: "no", "any")
     return passed.drop("_extra")
