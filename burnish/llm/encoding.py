@@ -9,7 +9,7 @@ import numpy as np
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 # Texts of these characters only, without a special token's string, are split alike by both libraries.
-PLAIN = re.compile(r"[\x00-\x7F -ɏ‐-…€]*")
+PLAIN = re.compile("[\x00-\x7F\u00A0-\u024F\u2010-\u2026\u20AC]*")
 SPECIAL = "<|"
 
 

@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     Sharing the excess again and again ends at min(cap, level * weight) with one level for all. Sources are
     sorted by cap over weight; the level is set by the first source that is not capped at the level that it
-    and all later ones would share. One row per source, so the unpartitioned windows are over sources only.
+    and all later ones would share, which is the largest such level. One row per source, so the unpartitioned windows are over sources only.
     """
     totals = sizes.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source_key").asc_nulls_last())
@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after)
     levels = weighed.withColumn("level", level)
-    levels = levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
+    levels = levels.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight"))
     return levels.select("source_key", "source_size", target.alias("target"))
 
@@ -138,7 +138,7 @@ levels AS (
     / sum(weight) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
   FROM weighed WINDOW r AS (ORDER BY cap::DOUBLE / weight, source)),
 targets AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN level <= cap::DOUBLE / weight THEN level END) OVER (), 0) * weight) AS target
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(max(CASE WHEN level <= cap::DOUBLE / weight THEN level END) OVER (), 0) * weight) AS target
   FROM levels),
 ordered AS (
   SELECT m.doc_id, m.size, t.source_size, t.target,

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from burnish.llm.common import lower_words
 from burnish.llm.components import components
@@ -123,3 +124,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, one for each; all columns as they are.
+
+    Rows with a null id name no component and stay. Of several rows with the first id one stays.
+    """
+    first = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id")
+    first = first.select(F.col("doc_id").alias("_first_id")).distinct()
+    row = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_order"), F.struct(*docs.columns).alias("_row"))
+    row = row.join(first, F.col("doc_id") == F.col("_first_id"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("_order"))
+    one = row.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
+    return one.union(docs.where("doc_id is null"))
