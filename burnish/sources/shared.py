@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+RUN = uuid.uuid4().hex[:12]  # part of the names of all tables that this process writes
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
@@ -28,11 +33,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/burnish-{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/burnish-{RUN}-{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` computed once into a shared table, so later uses neither repeat nor lose it."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` computed once into a shared table, so later uses neither repeat nor lose it.
+
+    What was shuffled for it is of no more use then, and Spark is told to remove those files at once.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(path) or []:
+        files.delete(found.getPath(), True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` returned and that nothing will read any more."""
+    for table in tables:
+        _delete(table.sparkSession, _paths.pop(table))
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this process, once none of its results will be computed any more."""
+    _delete(spark, f"{shared_folder(spark)}/burnish-{RUN}-*")
