@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,67 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=np.uint64)
+_powers: dict[int, np.ndarray] = {}
+CHUNK = 1 << 22  # bytes that are hashed at a time
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads small differences over all bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    found = _powers.get(base)
+    if found is None or len(found) < n:
+        found = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        found[0] = 1
+        _powers[base] = found = np.multiply.accumulate(found)
+    return found[:n]
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of UTF-8 text starts and ends, in bytes."""
+    space = np.concatenate(([True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(text: str | None, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, in order: a polynomial over its bytes, from running sums over the text.
+
+    Equal words have equal hashes; A-Z count as a-z if ``lower``.
+    """
+    data = text.encode() if text else b""
+    data = data.lower() if lower else data
+    parts = []
+    while data:
+        head, data = data[:CHUNK], data[CHUNK:]
+        if data and not _SPACE[head[-1]]:  # up to the end of the word
+            rest = data.split(None, 1)[0] if not _SPACE[data[0]] else b""
+            head, data = head + rest, data[len(rest) :]
+        starts, ends = word_bounds(head)
+        octets = np.frombuffer(head, dtype=np.uint8)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[octets] * _power(_BASE, len(octets)))))
+        inverse = _power(pow(_BASE, -1, 1 << 64), len(octets) + 1)
+        parts.append(mixed((sums[ends] - sums[starts]) * inverse[starts]))
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` words."""
+    many = max(0, len(words) - n + 1)
+    found = words[:many].copy()
+    for k in range(1, n):
+        found = found * np.uint64(_BASE) ^ words[k : k + many]
+    return mixed(found)
+
+
 def word_count(text: Column) -> Column:
     """The number of ``words`` of a text, 0 for null."""
     bare = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "x")

@@ -15,48 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import lower_words
-from burnish.sources.shared import written
+from burnish.llm.common import mixed, shingle_hashes, word_hashes
+from burnish.sources.shared import forget, written
 
 SHINGLE = 5
 LEAST_WORDS = 50
 SIMILARITY = 0.8
-HASHES = 2  # chance that a passage of similarity 0.8 is proposed by one of them at least: 0.96
+HASHES, ENOUGH = 4, 2  # a passage of similarity 0.8 shares at least two of four min-hashes with chance 0.97
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-CACHED_WORDS = 500_000
 WORD_AND_SPACE = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(tokens: list[bytes], cache: dict) -> np.ndarray:
-    """A 64-bit hash of each five-word shingle, in order."""
-    n = len(tokens) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, dtype=np.uint64)
-    words = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    found = words[:n].copy()
-    for k in range(1, SHINGLE):
-        found = found * np.uint64(0x9E3779B97F4A7C15) ^ words[k : k + n]
-    return _mixed(found)
+def shingles_of(text: str | None) -> np.ndarray:
+    return shingle_hashes(word_hashes(text), SHINGLE)
 
 
 def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -73,12 +47,23 @@ def compact_windows(hashes: np.ndarray, least: int) -> list[tuple[int, int, int]
     return found
 
 
-def _signatures(shingles: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each hash function: the windows as rows (a, c, b), and their signatures."""
-    for seed in SEEDS[:HASHES]:
-        hashes = _mixed(shingles ^ np.uint64(seed))
-        windows = np.array(compact_windows(hashes, least), dtype=np.int64).reshape(-1, 3)
-        yield windows, hashes[windows[:, 1]].view(np.int64)
+def sliding_minima(hashes: np.ndarray, least: int) -> np.ndarray:
+    """The least hash of every ``least`` positions in a row: prefix minima of blocks meet suffix minima.
+
+    These are the signatures of exactly the compact windows with at least ``least`` positions.
+    """
+    n = len(hashes)
+    padded = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[:n] = hashes
+    blocks = padded.reshape(-1, least)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - least + 1], ahead[least - 1 : n])
+
+
+def _hashed(shingles: np.ndarray) -> Iterator[np.ndarray]:
+    """The hashes of the shingles by each of the hash functions."""
+    return (mixed(shingles ^ np.uint64(seed)) for seed in SEEDS[:HASHES])
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -117,17 +102,16 @@ def similar_stretches(shared: np.ndarray, least: int, similarity: float = SIMILA
     return found
 
 
-def _window_rows(least: int):
+def _signature_rows(least: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _WordHashes()
         for batch in batches:
             ids, signatures = [], []
             for doc_id, text in zip(batch["doc_id"].to_numpy(), batch["text"], strict=True):
-                shingles = shingle_hashes(lower_words(text), cache)
+                shingles = shingles_of(text)
                 if len(shingles) < least:
                     continue
-                found = np.unique(np.concatenate([s for _, s in _signatures(shingles, least)]))
-                signatures.append(found)
+                found = np.unique(np.concatenate([sliding_minima(h, least) for h in _hashed(shingles)]))
+                signatures.append(found.view(np.int64))
                 ids.append(np.full(len(found), doc_id, dtype=np.int64))
             if ids:
                 yield pd.DataFrame({"signature": np.concatenate(signatures), "doc_id": np.concatenate(ids)})
@@ -135,26 +119,33 @@ def _window_rows(least: int):
     return rows
 
 
-def _proposed(shingles: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
-    """The positions within windows whose signature is in ``shared``: the intervals of all hashes joined."""
-    steps = np.zeros(len(shingles) + 1, dtype=np.int64)
-    for windows, signatures in _signatures(shingles, least):
-        for a, _, b in windows[np.isin(signatures, shared)]:
-            steps[a] += 1
-            steps[b + 1] -= 1
-    return np.cumsum(steps[:-1]) > 0
+def proposed(shingles: np.ndarray, signatures: np.ndarray, least: int) -> np.ndarray:
+    """The positions where the intervals of shared signatures of at least ENOUGH hash functions meet.
+
+    The interval of a window are its positions less than ``least`` from c: every position of a passage of that
+    length is so near to the least hash of some ``least`` positions of the passage.
+    """
+    votes = np.zeros(len(shingles), dtype=np.int8)
+    for hashes in _hashed(shingles):
+        steps = np.zeros(len(shingles) + 1, dtype=np.int64)
+        shared = np.isin(hashes, signatures)
+        for a, c, b in compact_windows(hashes, least) if shared.any() else []:
+            if shared[c]:
+                steps[max(a, c - least + 1)] += 1
+                steps[min(b, c + least - 1) + 1] -= 1
+        votes += np.cumsum(steps[:-1]) > 0
+    return votes >= ENOUGH
 
 
 def _shingle_rows(least: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _WordHashes()
         for batch in batches:
             ids, found = [], []
             for doc_id, text, signatures in zip(batch["doc_id"].to_numpy(), batch["text"], batch["signatures"], strict=True):
-                shingles = shingle_hashes(lower_words(text), cache)
+                shingles = shingles_of(text)
                 if len(shingles) < least:
                     continue
-                part = np.unique(shingles[_proposed(shingles, np.asarray(signatures), least)])
+                part = np.unique(shingles[proposed(shingles, np.asarray(signatures).view(np.uint64), least)])
                 found.append(part.view(np.int64))
                 ids.append(np.full(len(part), doc_id, dtype=np.int64))
             if ids:
@@ -173,11 +164,10 @@ def _firsts(shingles: np.ndarray, known: np.ndarray, firsts: np.ndarray) -> tupl
 
 def _span_rows(least: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _WordHashes()
         for batch in batches:
             spans = []
             for doc_id, text, known, firsts in zip(*(batch[c] for c in ("doc_id", "text", "shingles", "firsts")), strict=True):
-                shingles = shingle_hashes(lower_words(text), cache).view(np.int64)
+                shingles = shingles_of(text).view(np.int64)
                 shared, first = _firsts(shingles, known, firsts)
                 for start, end in similar_stretches(shared, least):
                     own = first[start:end][shared[start:end]]
@@ -202,12 +192,11 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _cut_rows(least: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _WordHashes()
         for batch in batches:
             texts = []
             for doc_id, text, known, firsts in zip(*(batch[c] for c in ("doc_id", "text", "shingles", "firsts")), strict=True):
                 if known is not None and text is not None:
-                    shingles = shingle_hashes(lower_words(text), cache).view(np.int64)
+                    shingles = shingles_of(text).view(np.int64)
                     shared, first = _firsts(shingles, known, firsts)
                     spans = [(a, b + SHINGLE - 1) for a, b in similar_stretches(shared & (first < doc_id), least)]
                     text = _cut(text, spans) if spans else text
@@ -220,17 +209,20 @@ def _cut_rows(least: int):
 def _known(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The documents with a proposed passage, and each one's shingles that others hold, with the first holders."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    windows = written(docs.mapInPandas(_window_rows(least), "signature long, doc_id long"), "windows")
+    windows = written(docs.mapInPandas(_signature_rows(least), "signature long, doc_id long"), "windows")
     two = (F.min("doc_id") != F.max("doc_id")).alias("two")
     shared = windows.groupBy("signature").agg(two).where("two").select("signature")
-    proposed = windows.join(written(shared, "signatures"), "signature", "left_semi")
-    proposed = proposed.groupBy("doc_id").agg(F.collect_set("signature").alias("signatures"))
-    candidates = written(docs.join(proposed, "doc_id"), "candidates")
+    shared = written(shared, "signatures")
+    found = windows.join(shared, "signature", "left_semi").groupBy("doc_id").agg(F.collect_set("signature").alias("signatures"))
+    found = written(found.where(F.size("signatures") >= ENOUGH), "proposed")
+    forget(windows, shared)
+    candidates = written(docs.join(found, "doc_id"), "candidates")
     shingles = written(candidates.mapInPandas(_shingle_rows(least), "shingle long, doc_id long"), "shingles")
     counted = shingles.groupBy("shingle").agg(F.min("doc_id").alias("first"), two).where("two").select("shingle", "first")
-    known = shingles.join(written(counted, "counted"), "shingle").groupBy("doc_id")
-    known = known.agg(F.collect_set(F.struct("shingle", "first")).alias("known"))
-    known = known.select("doc_id", F.col("known.shingle").alias("shingles"), F.col("known.first").alias("firsts"))
+    counted = written(counted, "counted")
+    known = shingles.join(counted, "shingle").groupBy("doc_id").agg(F.collect_set(F.struct("shingle", "first")).alias("known"))
+    known = written(known.select("doc_id", F.col("known.shingle").alias("shingles"), F.col("known.first").alias("firsts")), "known")
+    forget(found, shingles, counted)
     return candidates, known
 
 

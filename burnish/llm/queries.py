@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from burnish.llm import language, mixing, mtree, packing, passages, simhash, warc
+from burnish.llm import language, licenses, mixing, mtree, packing, passages, quality, simhash, warc
 from burnish.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
 @query
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
@@ -68,6 +73,11 @@ FROM f
 """
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op8_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
