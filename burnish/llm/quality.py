@@ -29,13 +29,13 @@ CAPITALS = bytes(range(65, 91))
 UNIT = 256  # vectors are whole multiples of 1/UNIT, so that sums are exact and runs agree
 NAMES = ("word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "line_length")
 P = len(NAMES)
-FLOORS = np.array([0.05, 0.05, 0.15, 0.08, 0.05, 0.3]) * UNIT  # a statistic that hardly varies counts as varying so much
+FLOORS = np.array([0.08, 0.05, 0.3, 0.2, 0.06, 0.5]) * UNIT  # a statistic that hardly varies counts as varying so much
 HELD = 0.75
 LEAST_ROWS = 60  # smaller groups are pooled by language, then all together
 BLOCK_ROWS = 2000
 STEPS = 10
 STARTS = 3
-CUTOFF = 1 - 1e-6
+CUTOFF = 180.0  # squared distance; statistics of texts have far heavier tails than a chi-square of P = 6
 EDGES = 16  # steps of a squared distance to its double
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -268,6 +268,6 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     away = [F.col("x")[i] - F.col("model")[i] for i in range(P)]
     terms = [(1 if i == j else 2) * away[i] * away[j] * F.col("model")[P + P * i + j] for i, j in PAIRS]
     distance = sum(terms[1:], terms[0]) / F.col("scale")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(cutoff), F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     out = found.select("doc_id", *[f"s.{n}" for n in STATISTICS.names[:5]], "base_failed", distance.alias("distance"))
     return out.withColumn("kept", kept)
