@@ -220,9 +220,11 @@ def _known(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     shingles = written(candidates.mapInPandas(_shingle_rows(least), "shingle long, doc_id long"), "shingles")
     counted = shingles.groupBy("shingle").agg(F.min("doc_id").alias("first"), two).where("two").select("shingle", "first")
     counted = written(counted, "counted")
-    known = shingles.join(counted, "shingle").groupBy("doc_id").agg(F.collect_set(F.struct("shingle", "first")).alias("known"))
+    held = written(shingles.join(counted, "shingle"), "held")
+    forget(found, shingles, counted)  # tables and shuffles of one step go before the next one needs the disk
+    known = held.groupBy("doc_id").agg(F.collect_set(F.struct("shingle", "first")).alias("known"))
     known = written(known.select("doc_id", F.col("known.shingle").alias("shingles"), F.col("known.first").alias("firsts")), "known")
-    forget(found, shingles, counted)
+    forget(held)
     return candidates, known
 
 
