@@ -1,7 +1,8 @@
 """Recover, unwrap and validate JSON in free-text responses, as column expressions.
 
 All functions take and return JSON *text*; null means "no valid payload". Parsing is strict
-(``try_parse_json`` inside a wrapper array), so trailing text, NaN and repeated keys are refused.
+(``try_parse_json`` inside a wrapper array), so trailing text and repeated keys are refused. Bare NaN and
+Infinity become null first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ _END_MARK = "\u0001end of candidate\u0001"
 # What any JSON text looks like from outside. Spares the parser, whose refusal costs an exception.
 _OUTSIDE = r'(?s)^(\{.*\}|\[.*\]|".*"|-?[0-9][0-9.eE+-]*|true|false|null)$'
 
+# A JSON string, a bare NaN or infinity, or what lies between. Possessive, so no text is searched twice.
+_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"|-?(?:NaN|Infinity)|[^"NI-]++|.'
+
+# The parser refuses longer strings, which must not pass for an answer without JSON.
+PARSER_LIMIT = 20_000_000
+
 SUGGESTIONS_TYPE = (
     "array<struct<issue_description:string,priority:string,resolution_prompt:string>>"
 )
@@ -30,7 +37,16 @@ def is_strict_json(text: Column) -> Column:
     shaped = F.when(text.rlike(_OUTSIDE), text)
     wrapped = F.concat(F.lit("["), shaped, F.lit(',"\\u0001end of candidate\\u0001"]'))
     second = F.try_variant_get(F.try_parse_json(wrapped), "$[1]", "string")
-    return F.coalesce(second == _END_MARK, F.lit(False))
+    message = F.lit(f"JSON with a string of more than {PARSER_LIMIT} characters cannot be checked")
+    too_long = second.isNull() & (F.length(shaped) > PARSER_LIMIT) & shaped.rlike(f'"[^"]{{{PARSER_LIMIT},}}')
+    return F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.coalesce(second == _END_MARK, F.lit(False)))
+
+
+def numbers_to_null(text: Column) -> Column:
+    """NaN and Infinity outside of strings replaced by null; other texts as they are."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    plain = F.transform(tokens, lambda t: F.when(t.isin("NaN", "-NaN", "Infinity", "-Infinity"), "null").otherwise(t))
+    return F.when(text.rlike("NaN|Infinity"), F.array_join(plain, "")).otherwise(text)
 
 
 def extract_json(raw: Column) -> Column:
@@ -42,7 +58,7 @@ def extract_json(raw: Column) -> Column:
         F.regexp_extract(raw, r"(?s)(\[.*\])", 1),
         F.regexp_extract(raw, r"(?s)(\{.*\})", 1),
     ]
-    stripped = [strip(candidate) for candidate in candidates]
+    stripped = [numbers_to_null(strip(candidate)) for candidate in candidates]
     return F.coalesce(*[F.when(is_strict_json(text), text) for text in stripped])
 
 

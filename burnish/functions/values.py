@@ -11,7 +11,8 @@ from burnish.functions.text import strip
 DATE_FORMAT = "yyyy-MM-dd"
 DATETIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 
-MAX_DATE_LENGTH = 60  # with padding
+# Dates have few words, so long texts fail this early.
+_FEW_WORDS = r"^[\w:./-]+([\s,]+[\w:./-]+){0,4}[\s,]*$"
 
 # Every shape below contains one of these; a single search spares other cells the rest.
 _PLAUSIBLE = r"(?i)\d[-/.]\d{1,2}[-/.]\d|[a-z]{3}\s+\d|\d(st|nd|rd|th)?,?\s+[a-z]{3}"
@@ -55,8 +56,8 @@ def parse_date_text(text: Column, day_first: bool = False) -> Column:
     if day_first:
         dates = tuple((s, p.replace("M/d/yyyy", "d/M/yyyy")) for s, p in dates)
         times = tuple((s, p.replace("M/d/yyyy", "d/M/yyyy")) for s, p in times)
-    # Longer cells cannot be dates; testing the length first spares long texts the regular expressions.
-    candidate = F.when((F.length(text) <= MAX_DATE_LENGTH) & text.rlike(_PLAUSIBLE), text)
+    stripped = strip(text)
+    candidate = F.when(stripped.rlike(_FEW_WORDS) & stripped.rlike(_PLAUSIBLE), stripped)
     plain = _readable(candidate)
     spaced = F.regexp_replace(plain, r"(\d)T(\d)", "$1 $2")
     return F.coalesce(

@@ -132,7 +132,7 @@ def canonical_case(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     sizes = {row["slot"]: row["bytes"] for row in measured_bytes(mapping).collect()}  # one row per column
     result = df
     for slot, size in sorted(sizes.items()):
-        replacements = mapping.where(F.col("slot") == slot).select(F.col("form").alias("_key"), "new_value")
+        replacements = mapping.where(F.col("slot") == slot).select(F.col("form").alias("_burnish_key"), "new_value")
         result = attach(result, text.normal_form(col(names[slot])), replacements, size, f"_new{slot}")
     changed = {names[slot]: F.col(f"_new{slot}")["new_value"] for slot in sizes}
     return result.select(*[_replaced(changed, c) for c in df.columns])

@@ -16,20 +16,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from burnish.functions.jsontext import array_items, extract_json, unwrap_json_list, validate_batch
 from burnish.operators.actions import nan_to_null
 from burnish.operators.columns import col, quoted
-from burnish.operators.lookup import SPREAD, hot_values
 from burnish.sources.shared import written
 
 BATCH_SIZE = 20  # fixed value: rows per call
 CALLS_PER_PACK = 32  # answers per Arrow batch that leaves a worker
-HOT_BATCHES = 1000  # a batch id with more rows than this many batches may be spread
-RETRY_NOTE = (
-    "Return nothing but a JSON array of exactly {n} objects with the same keys as the input. Where "
-    "the instruction asks for a literal placeholder, write it as a JSON string."
-)
+HOT_BATCHES = 1000  # rows of an id with more batches than this are ranked across tasks; batches are the same
+RETRY_NOTE = "The last answer could not be used. Answer with one JSON list that has {n} items."
 
 # Microseconds and an offset, so passed-through rows come back unchanged.
 JSON_OPTIONS = {
@@ -68,14 +65,14 @@ def to_json_records(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def batch_payloads(df: DataFrame, key: str, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """(batch_id, lane, part, n_rows, payload): JSON arrays of at most ``batch_size`` rows.
+    """(batch_id, part, n_rows, payload): JSON arrays of at most ``batch_size`` rows.
 
-    ``batch_id`` is ``key div batch_size``. A batch id with more rows than that (repeated keys) is
-    split into parts, and into lanes first if it is a large share of the table. Rows with equal ids
-    and lanes meet by a shuffle; each task then reads its rows in order and holds one batch at a time.
+    ``batch_id`` is ``key div batch_size``, null for null keys. The rows of an id, in the order of their
+    JSON, are cut into parts of ``batch_size``; so batches depend neither on the size of the table nor on
+    how it is stored. Each task reads its rows in order and holds one batch at a time.
     """
     return _keyed_rows(df, key, batch_size).mapInArrow(
-        _chunker(batch_size), "batch_id long, lane int, part int, n_rows int, payload string"
+        _chunker(batch_size), "batch_id long, part int, n_rows int, payload string"
     )
 
 
@@ -83,22 +80,42 @@ def _keyed_rows(df: DataFrame, key: str, batch_size: int) -> DataFrame:
     # Whole-number division that rounds down, exact for all keys.
     number = f"cast({quoted(key)} as bigint)"
     batch_id = F.expr(f"({number} - pmod({number}, {batch_size}L)) div {batch_size}L")
-    # Ids far above the batch size are cut into many batches anyway, so they may be spread.
-    hot = hot_values(df.select(batch_id.alias("batch_id")), "batch_id", at_least=HOT_BATCHES * batch_size)
     records = to_json_records(df, [key]).select(batch_id.alias("batch_id"), "record")
-    # The lane is the number of the row's partition: a task that runs again gives the same lanes.
-    lane = F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
-    rows = records.join(F.broadcast(hot), F.col("batch_id") == F.col("_hot"), "left").select(
-        "batch_id", F.coalesce(lane, F.lit(0)).cast("int").alias("lane"), "record"
-    )
-    return rows.repartition("batch_id", "lane").sortWithinPartitions("batch_id", "lane", "record")
+    counts = df.select(batch_id.alias("batch_id")).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    large = written(counts.where(F.col("n") > HOT_BATCHES * batch_size).select("batch_id"), "large-ids")
+    rows = records.withColumn("cut", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        other = large.withColumnRenamed("batch_id", "_large")
+        same = F.col("batch_id").eqNullSafe(F.col("_large"))
+        ranked = _ranked(records.join(other, same, "left_semi"), batch_size)
+        rows = rows.join(other, same, "left_anti").unionByName(ranked)
+    return rows.repartition("batch_id", "cut").sortWithinPartitions("batch_id", "cut", "record")
+
+
+def _ranked(records: DataFrame, batch_size: int) -> DataFrame:
+    """Rows of ids that may fill many tasks, with the number of their batch in ``cut``.
+
+    Ranges of (id, record) are sorted by different tasks. A row's rank is its place in its range plus the
+    rows of its id in the ranges before.
+    """
+    order = ["batch_id", "record"]
+    ordered = records.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(ordered.withColumn("place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("range", F.shiftright("place", 33))
+    starts = placed.groupBy("batch_id", "range").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("batch_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    starts = written(starts.withColumnRenamed("batch_id", "_id").withColumnRenamed("range", "_range"), "starts")
+    same = F.col("batch_id").eqNullSafe(F.col("_id")) & (F.col("range") == F.col("_range"))
+    rank = F.col("before") + F.col("place") - F.col("start")
+    return placed.join(starts, same).select("batch_id", "record", F.floor(rank / batch_size).alias("cut"))
 
 
 def _keyed_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
     for batch in batches:
         records = batch.column("record").to_pylist()
         if "batch_id" in batch.schema.names:
-            ids = zip(batch.column("batch_id").to_pylist(), batch.column("lane").to_pylist(), strict=True)
+            ids = zip(batch.column("batch_id").to_pylist(), batch.column("cut").to_pylist(), strict=True)
         else:
             ids = ((None, None) for _ in records)
         yield from zip(ids, records, strict=True)
@@ -117,12 +134,11 @@ def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[tup
 
 def _chunker(size: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (batch_id, lane), part, rows in _grouped(batches, size):
+        for (batch_id, cut), part, rows in _grouped(batches, size):
             yield pa.RecordBatch.from_pydict(
                 {
                     "batch_id": pa.array([batch_id], pa.int64()),
-                    "lane": pa.array([lane], pa.int32()),
-                    "part": pa.array([part], pa.int32()),
+                    "part": pa.array([cut + part], pa.int32()),
                     "n_rows": pa.array([len(rows)], pa.int32()),
                     "payload": pa.array([_as_array(rows)], pa.string()),
                 }

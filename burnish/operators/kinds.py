@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from burnish.functions.text import strip
 from burnish.functions.values import parse_date_text
 from burnish.operators.columns import col, groups_of, stacked
+from burnish.operators.quality import fingerprint
+from burnish.sources.shared import written
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -19,17 +21,29 @@ DATE_SHARE = 0.95
 NUMBER_SHARE = 0.95
 CATEGORY_SHARE = 0.05
 NAME_LENGTH = 60
+SKETCH_ERROR = 0.02
+SURE = 5 * SKETCH_ERROR
 
 
 def column_kinds(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: counts, lengths and ``kind``.
 
-    empty, identifier (almost all values differ, short, no blanks or fractions), date, float, category_text (few
+    empty, identifier (almost all values differ, no blanks or fractions), date, float, category_text (few
     distinct values), name (short text), text. Distinct values are estimated by a sketch in the
-    same scan; ``exact`` counts 64-bit value hashes, which costs one shuffle.
+    same scan. Where the estimate lies so near to a threshold that its error could change the kind,
+    and for all columns with ``exact``, 128-bit fingerprints are counted, which costs one shuffle.
     """
-    parts = [_kinds(df, group, exact) for group in groups_of(list(enumerate(df.columns)), 32)]
-    return reduce(DataFrame.unionByName, parts)
+    columns = list(enumerate(df.columns))
+    if exact:
+        return reduce(DataFrame.unionByName, [_kinds(df, group, True) for group in groups_of(columns, 32)])
+    sketched = written(reduce(DataFrame.unionByName, [_kinds(df, group, False) for group in groups_of(columns, 32)]), "kinds")
+    filled, estimate = F.col("row_count") - F.col("missing_cells"), F.col("distinct_values")
+    unsure = [(estimate >= filled * share * (1 - SURE)) & (estimate <= filled * share * (1 + SURE)) for share in (IDENTIFIER_SHARE, CATEGORY_SHARE)]
+    open_ = {row["position"] for row in sketched.where(unsure[0] | unsure[1]).select("position").collect()}  # one per column
+    if not open_:
+        return sketched
+    counted = [_kinds(df, group, True) for group in groups_of([c for c in columns if c[0] in open_], 32)]
+    return reduce(DataFrame.unionByName, [sketched.where(~F.col("position").isin(*open_)), *counted])
 
 
 def _kinds(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFrame:
@@ -38,7 +52,7 @@ def _kinds(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFr
     value = strip(F.col("v"))
     measures = long.select(
         "position",
-        F.xxhash64("v").alias("h"),
+        F.struct(*fingerprint(F.col("v"))).alias("h"),
         F.when(F.col("v").isNotNull() & (F.lower(F.col("v")) != "nan"), value).alias("v"),
     )
     facts = [
@@ -61,7 +75,7 @@ def _kinds(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFr
             F.count("h").alias("distinct_values"),
         )
     else:
-        distinct = F.approx_count_distinct(F.when(F.col("v").isNotNull(), F.col("h")), 0.02)
+        distinct = F.approx_count_distinct(F.when(F.col("v").isNotNull(), F.col("h")["col1"]), SKETCH_ERROR)
         combined = measures.groupBy("position").agg(*facts, distinct.alias("distinct_values"))
     filled = F.col("filled")
     name = F.create_map(*[x for i, n in columns for x in (F.lit(i), F.lit(n))])
@@ -72,7 +86,6 @@ def _kinds(df: DataFrame, columns: list[tuple[int, str]], exact: bool) -> DataFr
             (F.col("distinct_values") >= filled * IDENTIFIER_SHARE)
             & (F.col("spaced") == 0)
             & (F.col("fractions") == 0)
-            & (F.col("max_length") <= NAME_LENGTH)
             & (filled == F.col("row_count")),
             "identifier",
         )

@@ -54,11 +54,11 @@ def _spread_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
     The hot values are written first, because both sides must agree on them. The salt is the number
     of the row's partition, so a task that runs again after a loss salts its rows the same way.
     """
-    hot = written(hot_values(df, "_probe"), "hot")
+    hot = written(hot_values(df, "_burnish_probe"), "hot")
     lane = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
-    spread = F.when(F.col("_hot").isNotNull() | F.col("_probe").isNull(), lane).otherwise(0)
+    spread = F.when(F.col("_hot").isNotNull() | F.col("_burnish_probe").isNull(), lane).otherwise(0)
     left = (
-        df.join(F.broadcast(hot), F.col("_probe") == F.col("_hot"), "left")
+        df.join(F.broadcast(hot), F.col("_burnish_probe") == F.col("_hot"), "left")
         .withColumn("_salt", spread.cast("int"))
         .drop("_hot")
     )
@@ -66,21 +66,21 @@ def _spread_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
         F.array(F.lit(0))
     )
     right = (
-        mapping.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+        mapping.join(F.broadcast(hot), F.col("_burnish_key") == F.col("_hot"), "left")
         .withColumn("_copy", F.explode(copies))
         .drop("_hot")
     )
-    same = (F.col("_probe") == F.col("_key")) & (F.col("_salt") == F.col("_copy"))
+    same = (F.col("_burnish_probe") == F.col("_burnish_key")) & (F.col("_salt") == F.col("_copy"))
     return left.join(right, same, "left").drop("_salt", "_copy")
 
 
 def attach(df: DataFrame, probe: Column, mapping: DataFrame, mapping_bytes: int, out: str) -> DataFrame:
-    """Left join of ``mapping(_key, ...)``, unique in ``_key``, on ``probe`` as the struct column ``out``."""
-    values = [F.col(c) for c in mapping.columns if c != "_key"]
-    packed = mapping.select("_key", F.struct(*values).alias(out))
-    probed = df.withColumn("_probe", probe)
+    """Left join of ``mapping(_burnish_key, ...)``, unique in ``_key``, on ``probe`` as the struct column ``out``."""
+    values = [F.col(c) for c in mapping.columns if c != "_burnish_key"]
+    packed = mapping.select("_burnish_key", F.struct(*values).alias(out))
+    probed = df.withColumn("_burnish_probe", probe)
     if mapping_bytes <= BROADCAST_BYTES:
-        joined = probed.join(F.broadcast(packed), F.col("_probe") == F.col("_key"), "left")
+        joined = probed.join(F.broadcast(packed), F.col("_burnish_probe") == F.col("_burnish_key"), "left")
     else:
         joined = _spread_join(probed, packed)
-    return joined.drop("_probe", "_key")
+    return joined.drop("_burnish_probe", "_burnish_key")

@@ -173,15 +173,18 @@ def sample_size(width: int) -> int:
 def sample_rows(df: DataFrame, key: list[str] | None = None, portable: bool = False) -> DataFrame:
     """A uniform, repeatable sample: all rows up to 50, else ``sample_size`` rows.
 
-    Rows are taken in the order of a seeded hash of ``key`` (default: all columns), so the top of
-    that order is all that leaves a task; no count of the table is needed. ``portable`` uses md5
-    of the key's text, which other engines can repeat. Adds the column ``sample_rank``.
+    Rows are taken in the order of a seeded hash of ``key`` and then all columns, so the top of that
+    order is all that leaves a task; no count of the table is needed. ``portable`` uses md5 of the
+    text of ``key`` alone, which other engines can repeat and which must be unique for a uniform
+    sample. Adds the column ``sample_rank``, which the table must not have yet.
     """
+    if "sample_rank" in df.columns:
+        raise ValueError("the table has a column 'sample_rank'; rename it first")
     keys = [col(k) for k in (key or df.columns)]
     if portable:
         order = F.md5(F.concat_ws("|", F.lit(str(SAMPLE_SEED)), *[k.cast("string") for k in keys]))
     else:
-        order = F.xxhash64(F.lit(SAMPLE_SEED), *keys)
+        order = F.xxhash64(F.lit(SAMPLE_SEED), *keys, *[col(c) for c in df.columns if key and c not in key])
     top = df.withColumn("_order", order).orderBy("_order").limit(SAMPLE_ALL + 1)
     # At most 51 rows from here on.
     everything = Window.partitionBy(F.lit(0))

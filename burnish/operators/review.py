@@ -7,6 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.operators import lookup
 from burnish.operators.columns import col
@@ -28,7 +29,8 @@ def attach_proposals(
 
     ``value_map`` is (column, old_value, new_value, confidence) and matches whole cells. Of several
     proposals for a cell the most confident counts (ties: smallest new value). Decisions are
-    accept (>= accept), review (>= review) and reject.
+    accept (>= accept), review (>= review) and reject. Cells of other types are matched by their text;
+    a new value that the column cannot hold is rejected.
     """
     names = df.columns
     position = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
@@ -45,20 +47,21 @@ def attach_proposals(
     result = df
     for slot, size in sorted(sizes.items()):
         proposals = stored.where(F.col("slot") == slot).select(
-            F.col("old_value").alias("_key"), "new_value", "confidence"
+            F.col("old_value").alias("_burnish_key"), "new_value", "confidence"
         )
-        result = attach(result, col(names[slot]), proposals, size, f"_new{slot}")
+        result = attach(result, col(names[slot]).cast("string"), proposals, size, f"_new{slot}")
 
     def described(slot: int) -> Column:
-        found = F.col(f"_new{slot}")
-        decision = F.when(found["confidence"] >= accept, "accept").when(
+        found, kind = F.col(f"_new{slot}"), df.schema[slot].dataType
+        fits = F.lit(True) if kind == T.StringType() else found["new_value"].isNull() | found["new_value"].try_cast(kind).isNotNull()
+        decision = F.when(~fits, "reject").when(found["confidence"] >= accept, "accept").when(
             found["confidence"] >= review, "review"
         )
         return F.when(
             found.isNotNull(),
             F.struct(
                 F.lit(names[slot]).alias("column"),
-                col(names[slot]).alias("old_value"),
+                col(names[slot]).cast("string").alias("old_value"),
                 found["new_value"].alias("new_value"),
                 found["confidence"].alias("confidence"),
                 decision.otherwise("reject").alias("decision"),
@@ -73,15 +76,17 @@ def attach_proposals(
 def apply_accepted(proposed: DataFrame) -> DataFrame:
     """The table with accepted proposals written into the cells."""
     names = [c for c in proposed.columns if c != _PROPOSALS]
-    text = {f.name for f in proposed.schema.fields if f.dataType.simpleString() == "string"}
+    kinds = {f.name: f.dataType for f in proposed.schema.fields}
 
     def cell(name: str) -> Column:
         hits = F.filter(
             _PROPOSALS, lambda p: (p["column"] == name) & (p["decision"] == "accept")
         )
-        return F.when(F.size(hits) > 0, F.try_element_at(hits, F.lit(1))["new_value"]).otherwise(col(name))
+        new = F.try_element_at(hits, F.lit(1))["new_value"]
+        return F.when(F.size(hits) > 0, new.try_cast(kinds[name])).otherwise(col(name))
 
-    return proposed.select(*[cell(c).alias(c) if c in text else col(c) for c in names])
+    simple = [c for c in names if isinstance(kinds[c], T.AtomicType)]
+    return proposed.select(*[cell(c).alias(c) if c in simple else col(c) for c in names])
 
 
 def apply_value_map(df: DataFrame, value_map: DataFrame, accept: float = ACCEPT) -> DataFrame:
@@ -90,6 +95,8 @@ def apply_value_map(df: DataFrame, value_map: DataFrame, accept: float = ACCEPT)
 
 def review_queue(proposed: DataFrame) -> DataFrame:
     """Rows with a proposal that needs a decision, with those proposals in ``review``."""
+    if "review" in proposed.columns:
+        raise ValueError("the table has a column 'review'; rename it first")
     waiting = F.filter(_PROPOSALS, lambda p: p["decision"] == "review")
     return proposed.withColumn("review", waiting).where(F.size("review") > 0).drop(_PROPOSALS)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.operators.columns import col
 from burnish.functions.jsontext import (
     SUGGESTIONS_TYPE,
     extract_json,
@@ -77,7 +78,7 @@ def merge_analyses(df: DataFrame, opinion: str = "opinion") -> DataFrame:
     other = F.col(opinion)
     none = F.array().cast(SUGGESTIONS_TYPE)
     return df.select(
-        *[c for c in df.columns if c not in (opinion, "quality_score", "suggestions")],
+        *[col(c) for c in df.columns if c not in (opinion, "quality_score", "suggestions")],
         F.coalesce(merged_score(F.col("quality_score"), other["quality_score"]), F.col("quality_score")).alias(
             "quality_score"
         ),
@@ -99,4 +100,4 @@ def normalize_suggestions(df: DataFrame) -> DataFrame:
     fields = ("issue_description", "priority", "resolution_prompt")
     struct = normalized(F.struct(*[F.col(f) for f in fields]))
     kept = [c for c in df.columns if c not in fields]
-    return df.select(*kept, struct.alias("_s")).select(*kept, "_s.*")
+    return df.select(*[col(c) for c in kept], struct.alias("_s")).select(*[col(c) for c in kept], "_s.*")

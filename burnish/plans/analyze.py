@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.operators.actions import nan_to_null
+from burnish.operators.columns import col
 from burnish.operators.profile import profile, sample_rows
 from burnish.operators.quality import suggest
 from burnish.operators.suggestions import merge_analyses, with_opinion
@@ -25,7 +26,7 @@ def sample_json(df: DataFrame, key: list[str] | None = None, portable: bool = Fa
     rows = nan_to_null(picked)
     names = df.columns
     options = {"ignoreNullFields": "false", "timestampFormat": SAMPLE_TIME_FORMAT}
-    item = F.struct("sample_rank", F.to_json(F.struct(*names), options).alias("row"))
+    item = F.struct("sample_rank", F.to_json(F.struct(*[col(n) for n in names]), options).alias("row"))
     listed = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["row"])
     return rows.agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("sample"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +146,26 @@ def _read_header(spark: SparkSession, path: str | list[str], options: dict[str,
     return [(c or "").removeprefix(BOM) for c in cells]
 
 
+def _usable(path: str) -> str:
+    """A path as a file's metadata give it, for reading: decoded, with pattern characters escaped."""
+    return re.sub(r"([\\[\]{}*?])", r"\\\1", unquote(path))
+
+
+def _by_header(spark: SparkSession, paths: str | list[str], options: dict[str, str]) -> list[list[str]]:
+    """The files, parted by their first record; the driver gets a row per file if these differ."""
+    lines = spark.read.options(**options).option("header", False).csv(paths)
+    cells = F.array(*[col(c) for c in lines.columns])
+    start = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    found = lines.select(F.col("_metadata.file_path").alias("file"), start.alias("at"), cells.alias("cells"))
+    heads = written(found.groupBy("file").agg(F.min_by("cells", "at").alias("cells")), "headers")
+    if heads.select("cells").distinct().count() < 2:
+        return []
+    parts: dict[tuple, list[str]] = {}
+    for row in heads.orderBy("file").collect():
+        parts.setdefault(tuple(row["cells"]), []).append(_usable(row["file"]))
+    return list(parts.values())
+
+
 def _too_long(width: int, sep: str) -> Column:
     """A record Spark marks as malformed that has more cells than the header."""
     unquoted = F.regexp_replace(_MALFORMED, '(?s)"[^"]*("|$)', "")
@@ -159,8 +181,11 @@ def _read_group(
     names = file_column_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    # With plain names Spark compares the header of every file; else cells go by position.
+    # With plain names Spark compares the header of every file; else files are parted by their headers.
     plain = names == header and _MALFORMED not in names
+    if not plain and len(parts := _by_header(spark, paths, options)) > 1:
+        tables = [_read_group(spark, part, sep, encoding, multi_line, on_long_rows) for part in parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     columns = names if plain else [f"c{i}" for i in range(len(names))]
     fields = [T.StructField(c, T.StringType()) for c in columns]
     reader = spark.read.options(**options).option("header", True).option("enforceSchema", not plain)
@@ -197,7 +222,7 @@ def _file_groups(
     groups: dict[tuple[str, str, bool], list[str]] = {}
     # Mixed input only: one path per file, as many as Spark's own file listing holds.
     for row in stored.orderBy("file").collect():
-        groups.setdefault(tuple(row[k] for k in kind), []).append(row["file"])
+        groups.setdefault(tuple(row[k] for k in kind), []).append(_usable(row["file"]))
     return groups
 
 

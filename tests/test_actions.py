@@ -158,7 +158,7 @@ def test_normalize_suggestions_strips(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert shared.new_path(spark, "test").startswith(f"{folder}/burnish-test-")
+    assert shared.new_path(spark, "test").startswith(f"{folder}/burnish-{shared.RUN}-test-")
     assert shared.written(spark.range(3), "test").count() == 3
 
 

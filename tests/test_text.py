@@ -81,7 +81,7 @@ def test_whitespace_suggestion_gets_the_general_instruction(spark):
     kind = routing.issue_class(F.col("issue"), F.col("prompt"))
     found = frame.select(kind, routing.instruction_for(kind, F.col("issue"))).first()
     assert found[0] == "whitespace"
-    assert "all text fields" in found[1] and "name and city" not in found[1]
+    assert "text cells" in found[1] and "name and city" not in found[1]
 
 
 def test_dedup_intent_column_and_text_agree(spark):

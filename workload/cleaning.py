@@ -206,7 +206,7 @@ proposals AS (SELECT DISTINCT mkt_segment AS old_value, upper(left(mkt_segment,
 def value_map(customers):
     segment = F.col("mkt_segment")
     confidence = F.when(F.ascii(segment) % 3 == 0, 0.5).when(F.ascii(segment) % 3 == 1, 0.99).otherwise(0.8)
-    new_value = F.concat(F.upper(F.left(segment, F.lit(1))), F.substring(segment, 2, 1000))
+    new_value = F.concat(F.upper(F.left(segment, F.lit(1))), F.substring(segment, F.lit(2), F.length(segment)))
     return customers.where(segment == F.lower(segment)).select(
         F.lit("mkt_segment").alias("column"),
         segment.alias("old_value"),

@@ -136,13 +136,25 @@ _ORDER_JSON = """'{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey
 
 
 @query("batch_payloads", "dirty_orders", f"""
-SELECT batch_id, 0::INT AS lane, part::INT AS part, count(*)::INT AS n_rows, '[' || string_agg(record, ',' ORDER BY record) || ']' AS payload FROM (
+SELECT batch_id, part::INT AS part, count(*)::INT AS n_rows, '[' || string_agg(record, ',' ORDER BY record) || ']' AS payload FROM (
   SELECT batch_id, record, (row_number() OVER (PARTITION BY batch_id ORDER BY record) - 1) // 20 AS part
   FROM (SELECT o_orderkey // 20 AS batch_id, {_ORDER_JSON} AS record FROM dirty_orders)) GROUP BY batch_id, part""")
 def batch_payloads(spark, sf_dir):
     return batches.batch_payloads(view(spark, sf_dir, "dirty_orders"), "o_orderkey")
 
 
+@query("batch_payloads_skewed", "", """
+SELECT batch_id, part::INT AS part, count(*)::INT AS n_rows, '[' || string_agg(record, ',' ORDER BY record) || ']' AS payload FROM (
+  SELECT batch_id, record, (row_number() OVER (PARTITION BY batch_id ORDER BY record) - 1) // 20 AS part
+  FROM (SELECT k // 20 AS batch_id, '{"k":' || coalesce(k::VARCHAR, 'null') || ',"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || '}' AS record
+    FROM (SELECT CASE l_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN l_orderkey END AS k, l_orderkey, l_linenumber FROM lineitem))) GROUP BY batch_id, part""")
+def batch_payloads_skewed(spark, sf_dir):
+    """A third of the rows have one key and a third have none."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 3 == 1, F.col("l_orderkey"))
+    items = view(spark, sf_dir, "lineitem").select(key.cast("long").alias("k"), "l_orderkey", "l_linenumber")
+    return batches.batch_payloads(items, "k")
+
+
 @query("explode_payloads", "dirty_orders", "SELECT * FROM dirty_orders")
 def explode_payloads(spark, sf_dir):
     orders = view(spark, sf_dir, "dirty_orders")
