@@ -8,11 +8,10 @@ enough of its words in their places.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,7 @@ def license_words(text: str | None) -> list[bytes]:
     return text.encode().lower().translate(_SEPARATORS).split() if text else []
 
 
+# Every base phrase ends in the word "license".
 _BASE = [(tuple(license_words(p)), label) for p, label in BASE.items()]
 _PARSED = [(label, license_words(text), [license_words(p) for p in phrases]) for label, text, phrases in TEMPLATES]
 _VOCABULARY = frozenset(w for _, words, _ in _PARSED for w in words)
@@ -100,7 +100,12 @@ def covered(words: list[bytes], nth: int, shift: int, idf: dict[bytes, float]) -
 
 def scan(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], idf: dict[bytes, float]) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """The places of base phrases with their labels, and the labels that templates give with their best shares."""
-    base = [(i, label) for i, w in enumerate(words) if w == b"license" for p, label in _BASE for i in [i - len(p) + 1] if i >= 0 and tuple(words[i : i + len(p)]) == p]
+    base = []
+    for last in (i for i, w in enumerate(words) if w == b"license"):
+        for phrase, label in _BASE:
+            first = last - len(phrase) + 1
+            if first >= 0 and tuple(words[first : last + 1]) == phrase:
+                base.append((first, label))
     votes: dict[tuple[int, int], int] = defaultdict(int)
     for at, word in enumerate(words):
         if word in index:
