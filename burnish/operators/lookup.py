@@ -20,11 +20,13 @@ SPREAD = 64  # tasks a hot value is spread over
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """Upper bound of the in-memory size of a row of numbers and texts."""
+    """Upper bound of the in-memory size of a row; nested values count by their JSON, four times."""
     size = F.lit(64 + 16 * len(df.columns))
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             size = size + F.coalesce(F.octet_length(col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = size + 4 * F.coalesce(F.octet_length(F.to_json(F.struct(col(field.name)), {"ignoreNullFields": "false"})), F.lit(0))
     return size
 
 

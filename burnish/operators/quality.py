@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.functions.routing import INSTRUCTIONS
 from burnish.functions.text import (
@@ -27,7 +28,6 @@ from burnish.operators.columns import (
     col,
     comparable,
     groups_of,
-    has_nested_fields,
     stacked,
     text_fields,
 )
@@ -46,6 +46,8 @@ CHECKS = ("missing", "duplicate", "header", "whitespace", "casing")
 
 def _missing_in_row(df: DataFrame) -> Column:
     flags = [is_missing(col(f.name), f.dataType).cast("int") for f in df.schema.fields]
+    if not flags:
+        return F.lit(0)
     # Added in pairs: a chain of thousands of columns would be too deep an expression.
     while len(flags) > 1:
         flags = [reduce(lambda a, b: a + b, flags[i : i + 2]) for i in range(0, len(flags), 2)]
@@ -60,10 +62,18 @@ def fingerprint(*columns: Column) -> tuple[Column, Column]:
 _RECORD = "slot:int,k1:bigint,k2:bigint,h:bigint"
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column for hashing; nested values as JSON, because a hash of them would skip nulls inside."""
+    value = comparable(field)
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}))
+    return value
+
+
 def _row_record(df: DataFrame) -> Column:
     """``h`` is the number of missing cells. The hash skips nulls, so null positions are hashed too."""
-    values = [comparable(f) for f in df.schema.fields]
-    first, second = fingerprint(*values, *[v.isNull() for v in values])
+    values = [_hashable(f) for f in df.schema.fields]
+    first, second = fingerprint(F.lit(ROW), *values, *[v.isNull() for v in values])
     return F.struct(
         F.lit(ROW).alias("slot"), first.alias("k1"), second.alias("k2"), _missing_in_row(df).alias("h")
     )
@@ -137,11 +147,11 @@ def table_facts(df: DataFrame, edge: str = "both", exact: bool = False, cells: b
     ``groups`` counts distinct rows or distinct normal forms; ``varies`` says that some normal form
     is spelled in more than one way. By default rows and values are compared by 128-bit
     fingerprints (a wrong count has odds of about 1e-15 at 1e12 rows), so 24 bytes per distinct
-    row are shuffled and not the row; ``exact=True`` groups by the values themselves. Tables with
-    nested columns always use the exact row comparison. ``cells=False`` leaves the text slots out.
+    row are shuffled and not the row; ``exact=True`` groups by the values themselves. Nested
+    columns are compared by their JSON. ``cells=False`` leaves the text slots out.
     """
     slots = [(i + 1, f.name) for i, f in enumerate(text_fields(df))] if cells else []
-    hashed_rows = not exact and not has_nested_fields(df)
+    hashed_rows = not exact
     parts = [] if hashed_rows else [_exact_rows(df)]
     if exact:
         parts += [_exact_cells(df, group, edge) for group in groups_of(slots)]

@@ -155,15 +155,14 @@ def _changed_keys(before: DataFrame, after: DataFrame, key: list[str], names: li
 def _only_changed(
     before: DataFrame, after: DataFrame, key: list[str], names: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Both tables cut down to the changed keys, if the list of these is small enough to broadcast."""
+    """Both tables cut down to the changed keys, whose list is broadcast if its measured size allows."""
     changed = written(_changed_keys(before, after, key, names), "changed")
     size = changed.agg(F.sum(lookup.row_bytes(changed))).first()[0] or 0
-    if size > lookup.BROADCAST_BYTES:
-        return before, after
     listed = changed.toDF(*[f"_changed{i}" for i in range(len(key))])
     matches = [col(k).eqNullSafe(F.col(f"_changed{i}")) for i, k in enumerate(key)]
     condition = reduce(and_, matches)
-    return tuple(df.join(F.broadcast(listed), condition, "left_semi") for df in (before, after))
+    listed = F.broadcast(listed) if size <= lookup.BROADCAST_BYTES else listed
+    return tuple(df.join(listed, condition, "left_semi") for df in (before, after))
 
 
 def audit_log(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from burnish.functions import text, values
 from burnish.operators import actions, batches, kinds, review
 from burnish.operators.columns import col
+from burnish.plans import propose
 from burnish.sources.shared import written
 from workload.registry import query
 from workload.views import view
@@ -173,8 +176,7 @@ def _kind_sql(source: str, position: int, column: str, dates: str = "0") -> str:
     return f"""SELECT {position}::INT AS position, '{column}' AS "column", count(*) AS row_count, count(*) - count({column}) AS missing_cells,
   count(DISTINCT {column}) AS distinct_values, min(length({cell}))::INT AS min_length, max(length({cell}))::INT AS max_length,
   CASE WHEN count({column}) = 0 THEN 'empty' WHEN {dates} >= count({column}) * 0.95 THEN 'date'
-    WHEN count(DISTINCT {column}) >= count({column}) * 0.98 AND count(*) = count({column}) AND max(length({cell})) <= 60
-      AND NOT bool_or(contains({cell}, ' ')) AND NOT bool_or(regexp_full_match({cell}, '[+-]?[0-9]*\\.[0-9]+')) THEN 'identifier'
+    WHEN count(DISTINCT {column}) >= count({column}) * 0.98 AND count(*) = count({column}) AND NOT bool_or(contains({cell}, ' ')) AND NOT bool_or(regexp_full_match({cell}, '[+-]?[0-9]*\\.[0-9]+')) THEN 'identifier'
     WHEN count(*) FILTER (regexp_matches({cell}, '{number}')) >= count({column}) * 0.95 THEN 'float'
     WHEN count(DISTINCT {column}) <= count({column}) * 0.05 THEN 'category_text'
     WHEN max(length({cell})) <= 60 THEN 'name' ELSE 'text' END AS kind FROM {source}"""
@@ -186,6 +188,16 @@ def column_kinds(spark, sf_dir):
     return kinds.column_kinds(view(spark, sf_dir, "dirty_documents"), exact=True)
 
 
+_BY_DEFAULT = ("position", "column", "row_count", "missing_cells", "min_length", "max_length", "kind")
+
+
+@query("column_kinds_default", "dirty_documents", f"SELECT {', '.join(chr(34) + c + chr(34) for c in _BY_DEFAULT)} FROM (" + " UNION ALL ".join(
+    _kind_sql("dirty_documents", i, c) for i, c in enumerate(["doc_id", "text", "Lang", "source", "n_chars"])) + ")")
+def column_kinds_default(spark, sf_dir):
+    """Without the counts of distinct values, which are estimates where they are far from a threshold."""
+    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents")).select(*_BY_DEFAULT)
+
+
 _ORDER_KIND_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "day"]
 
 
@@ -237,6 +249,35 @@ def review_queue(spark, sf_dir):
     return queue.withColumn("review", F.array_join(described, "; "))
 
 
+@query("apply_value_map_numeric", "", """
+SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey, o_orderpriority FROM orders""")
+def apply_value_map_numeric(spark, sf_dir):
+    """Proposals for a number column: some hold, some cannot be a number and are rejected."""
+    orders = view(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    key = F.col("o_custkey")
+    new_value = F.when(key % 5 == 0, (key + 1000000).cast("string")).otherwise("unknown")
+    proposals = orders.select(
+        F.lit("o_custkey").alias("column"), key.cast("string").alias("old_value"), new_value.alias("new_value"), F.lit(0.99).alias("confidence")
+    ).where(key % 5 < 2).distinct()
+    return review.apply_value_map(orders, proposals)
+
+
+# Segments that a plain function would write in capitals; the short ones with less confidence.
+@query("propose_and_apply", "dirty_customer", """
+SELECT c_custkey, FullName, CASE WHEN length(trim(mkt_segment, {WS})) > 8 THEN upper(trim(mkt_segment, {WS})) ELSE mkt_segment END AS mkt_segment, c_acctbal
+FROM dirty_customer""")
+def propose_and_apply(spark, sf_dir):
+    customers = view(spark, sf_dir, "dirty_customer")
+    proposals = propose.propose_values(customers, _capitals, "Write segments in capitals", kinds=("category_text",))
+    return review.apply_value_map(customers, proposals)
+
+
+def _capitals(payload: str, instruction: str) -> str:
+    """Stands for a model: answers each {"old_value"} with a new value and a confidence."""
+    items = [i["old_value"].strip() for i in json.loads(payload)]
+    return json.dumps([{"old_value": i["old_value"], "new_value": v.upper(), "confidence": 0.99 if len(v) > 8 else 0.9} for i, v in zip(json.loads(payload), items, strict=True)])
+
+
 @query("audit_log", "dirty_customer", _CUSTOMER_CANONICAL + """
 SELECT b.c_custkey, 'cell' AS change, 'mkt_segment' AS "column", b.mkt_segment AS old_value, a.mkt_segment AS new_value, 'casing' AS source
 FROM dirty_customer b JOIN fixed a USING (c_custkey) WHERE b.mkt_segment IS DISTINCT FROM a.mkt_segment

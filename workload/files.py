@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,3 +104,36 @@ def typed_table(spark, sf_dir):
     cells = null_tokens_to_null(view(spark, sf_dir, "text_lineitem"))
     types = {row["column"]: row["inferred_type"] for row in infer_types(cells).collect()}  # one row per column
     return apply_types(cells, types)
+
+
+def _with_header(header: str):
+    def rows(batches):
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    return rows
+
+
+def _write_lines(df: DataFrame, columns: list[str], header: str, path: str) -> None:
+    """Lines of the columns in the given order; every file starts with the header."""
+    lines = df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in columns]).alias("value"))
+    lines.mapInPandas(_with_header(header), "value string").write.text(path)
+
+
+@query("header_names", "", """
+SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::VARCHAR AS "Unnamed: 1", c_mktsegment AS name, c_mktsegment AS "name.1" FROM customer""")
+def header_names(spark, sf_dir):
+    path = new_path(spark, "csv")
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment", "c_mktsegment"]
+    _write_lines(view(spark, sf_dir, "customer"), columns, "c_custkey,,name,name", path)
+    return read_delimited(spark, path)
+
+
+@query("read_mixed_folder", "", """
+SELECT doc_id::VARCHAR AS doc_id, lang AS "Unnamed: 1", source FROM documents""")
+def read_mixed_folder(spark, sf_dir):
+    """Two folders with spaces in their names, whose headers have a blank and come in two orders."""
+    documents, path = view(spark, sf_dir, "documents"), new_path(spark, "csv")
+    _write_lines(documents.where("doc_id % 2 = 0"), ["doc_id", "lang", "source"], "doc_id,,source", f"{path}/even ids")
+    _write_lines(documents.where("doc_id % 2 = 1"), ["source", "lang", "doc_id"], "source,,doc_id", f"{path}/odd ids")
+    return read_delimited(spark, [f"{path}/even ids", f"{path}/odd ids"])
