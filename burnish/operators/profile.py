@@ -138,31 +138,28 @@ def header_issues(df: DataFrame) -> DataFrame:
 def text_samples(df: DataFrame, order_by: list[str] | None = None, limit: int = LISTED_COLUMNS) -> DataFrame:
     """The first examples of each of the first text columns: (position, column, examples).
 
-    With ``order_by`` the examples are the first in that order, found with one small heap per task
-    and column. Without it Spark takes the first ones it meets and stops reading early.
+    With ``order_by`` the examples are the first in that order; one scan serves all columns and each task
+    keeps the first few of each. Without it Spark takes the first ones it meets and stops reading early.
     """
     order = order_by or []
-    parts = []
-    for position, field in enumerate(text_fields(df)[:limit]):
-        value = col(field.name)
-        picked = df.where(value.isNotNull()).select(
-            F.lit(position).alias("position"),
-            F.lit(field.name).alias("column"),
-            value.alias("example"),
-            *[col(k).alias(f"k{i}") for i, k in enumerate(order)],
-        )
-        if order:
-            picked = picked.orderBy(*[f"k{i}" for i in range(len(order))], "example")
-        parts.append(picked.limit(EXAMPLES))
-    if not parts:
+    fields = list(enumerate(text_fields(df)[:limit]))
+    if not fields:
         return df.sparkSession.createDataFrame([], "position int, column string, examples array<string>")
     keys = [f"k{i}" for i in range(len(order))]
+
+    def cell(position: int, name: str) -> Column:
+        found = [F.lit(position).alias("position"), F.lit(name).alias("column"), col(name).alias("example")]
+        return F.struct(*found, *[col(k).alias(f"k{i}") for i, k in enumerate(order)])
+
+    if order:
+        cells = df.select(F.inline(F.array(*[cell(i, f.name) for i, f in fields]))).where("example is not null")
+        first = Window.partitionBy("position").orderBy(*keys, "example")
+        picked = cells.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= EXAMPLES).drop("nth")
+    else:
+        parts = [df.where(col(f.name).isNotNull()).select(F.inline(F.array(cell(i, f.name)))).limit(EXAMPLES) for i, f in fields]
+        picked = reduce(DataFrame.unionByName, parts)
     ranked = F.array_sort(F.collect_list(F.struct(*keys, "example")))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("position", "column")
-        .agg(F.transform(ranked, lambda item: item["example"]).alias("examples"))
-    )
+    return picked.groupBy("position", "column").agg(F.transform(ranked, lambda item: item["example"]).alias("examples"))
 
 
 def sample_size(width: int) -> int:
