@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from burnish.llm.common import held_out
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 24
 HIDDEN, INPUT, ATTENTION = 8, 12, 8
 GRAMS = (3, 4, 5)
 LEAST_DOCUMENTS = 8  # of the sample that hold a word or n-gram, for it to have a row; all others share row 0
@@ -31,8 +30,8 @@ SAMPLE_WINDOWS = {False: 12, True: 120}  # of each of them, evenly spaced, and o
 LOOSE_ROUNDS, STRICT_ROUNDS, BATCH, RATE, TABLE_RATE = 1, 4, 256, 0.01, 0.01
 NEAR_BEST = 1.0  # windows of a toxic document that count as toxic: within so much of its best one
 PREDICTED = 0.3
-CACHED_WORDS = 200_000
-CHUNK = 4096  # windows that run side by side
+CACHED_WORDS = 150_000  # words whose gates a task keeps
+CHUNK = 2048  # windows that run side by side
 _SEPARATORS = bytes(32 if b < 0x80 and not (48 <= b <= 57 or 97 <= b <= 122) else b for b in range(256))
 
 
@@ -45,20 +44,33 @@ def window_starts(n: int) -> list[int]:
     return [*range(0, max(n - WINDOW, 0), STRIDE), max(n - WINDOW, 0)]
 
 
-@lru_cache(maxsize=300_000)
-def _grams(word: bytes) -> tuple[bytes, ...]:
-    """The n-grams of a word with its ends marked."""
-    marked = b"^" + word + b"$"
-    return tuple(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of words with their ends marked, as numbers (their bytes and n), and the word of each, in order."""
+    marked = [b"^" + w + b"$" for w in words]
+    octets = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(m) for m in marked])
+    keys, owners = [], []
+    for n in GRAMS:
+        many = max(0, len(octets) - n + 1)
+        packed = np.full(many, n << 56, dtype=np.uint64)
+        for k in range(n):
+            packed |= octets[k : k + many] << np.uint64(8 * k)
+        inside = owner[:many] == owner[n - 1 : n - 1 + many]
+        keys.append(packed[inside])
+        owners.append(owner[:many][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(keys)[order], owner[order]
 
 
-def _rows_of(documents: list[set[bytes]]) -> dict[bytes, int]:
-    counts = Counter(x for d in documents for x in d)
-    return {x: i for i, x in enumerate(sorted(x for x, n in counts.items() if n >= LEAST_DOCUMENTS), 1)}
+def _frequent(documents: list[np.ndarray]) -> np.ndarray:
+    """What stands in at least LEAST_DOCUMENTS of the documents, sorted."""
+    found, counts = np.unique(np.concatenate([np.unique(d) for d in documents]), return_counts=True)
+    return found[counts >= LEAST_DOCUMENTS]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 @dataclass
@@ -67,50 +79,58 @@ class Network:
 
     weights: dict[str, np.ndarray]
     word_rows: dict[bytes, int]
-    gram_rows: dict[bytes, int]
+    gram_keys: np.ndarray  # sorted; row i + 1 of the table is that of key i
     scale: float = 1.0
     shift: float = 0.0
-    cache: dict[bytes, int] = field(default_factory=dict)
-    table: np.ndarray = field(default_factory=lambda: np.zeros((1, INPUT), dtype=np.float32))  # inputs of cached words
+    cache: dict[bytes, int] = field(default_factory=dict)  # word -> row of ``known``
+    known: dict[str, np.ndarray] = field(default_factory=dict)  # the gates of cached words, by direction
 
     @classmethod
     def start(cls, documents: list[set[bytes]], seed: int = 7) -> Network:
         """Rows for the words and n-grams of ``documents`` and small random weights."""
-        word_rows, gram_rows = _rows_of(documents), _rows_of([{g for w in d for g in _grams(w)} for d in documents])
+        counts = Counter(w for d in documents for w in d)
+        word_rows = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_DOCUMENTS), 1)}
+        filled = [_grams(sorted(d))[0] for d in documents if d]
+        gram_keys = _frequent(filled) if filled else np.empty(0, dtype=np.uint64)
         draw = np.random.default_rng(seed)
         normal = lambda *shape, by: (draw.standard_normal(shape) * by).astype(np.float32)
-        weights = {"words": normal(len(word_rows) + 1, INPUT, by=0.01), "grams": normal(len(gram_rows) + 1, INPUT, by=0.01)}
+        weights = {"words": normal(len(word_rows) + 1, INPUT, by=0.01), "grams": normal(len(gram_keys) + 1, INPUT, by=0.01)}
         for way in "fb":
             weights |= {
                 f"W{way}": normal(INPUT, 3 * HIDDEN, by=INPUT**-0.5), f"U{way}": normal(HIDDEN, 3 * HIDDEN, by=HIDDEN**-0.5),
                 f"c{way}": np.zeros(3 * HIDDEN, np.float32),
             }
         weights |= {"A": normal(2 * HIDDEN, ATTENTION, by=0.3), "a": normal(ATTENTION, by=0.3), "o": normal(2 * HIDDEN, by=0.3), "q": np.zeros(1, np.float32)}
-        return cls(weights, word_rows, gram_rows)
+        return cls(weights, word_rows, gram_keys)
 
     def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input vectors of words, and the table rows they come from (word rows, n-gram rows, starts)."""
-        row = self.gram_rows.get
-        found = [[row(g, 0) for g in _grams(w)] or [0] for w in words]
         word_rows = np.array([self.word_rows.get(w, 0) for w in words], dtype=np.int64)
-        lengths = np.array([len(g) for g in found], dtype=np.int64)
-        gram_rows = np.array([x for g in found for x in g], dtype=np.int64)
+        keys, owner = _grams(words)
+        gram_rows = np.zeros(len(keys), dtype=np.int64)
+        if len(self.gram_keys):
+            at = np.minimum(np.searchsorted(self.gram_keys, keys), len(self.gram_keys) - 1)
+            gram_rows = np.where(self.gram_keys[at] == keys, at + 1, 0)
+        lengths = np.bincount(owner, minlength=len(words))
         starts = np.cumsum(lengths) - lengths
         means = np.add.reduceat(self.weights["grams"][gram_rows], starts, axis=0) / lengths[:, None]
         return (self.weights["words"][word_rows] + means).astype(np.float32), word_rows, gram_rows, lengths
 
-    def forward(self, inputs: np.ndarray, at: np.ndarray, keep: bool = False):
-        """Logits of windows ``at`` (rows of ``inputs``, -1 for none), and with ``keep`` what ``backward`` needs."""
+    def gates(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+        return {way: inputs @ self.weights[f"W{way}"] + self.weights[f"c{way}"] for way in "fb"}
+
+    def forward(self, gates: dict[str, np.ndarray], at: np.ndarray, keep: bool = False):
+        """Logits of windows ``at`` (rows of ``gates``, -1 for none), and with ``keep`` what ``backward`` needs."""
         w, (n, steps) = self.weights, at.shape
         mask = (at >= 0).astype(np.float32)
         full = bool(mask.all())
         states = np.zeros((steps, n, 2 * HIDDEN), dtype=np.float32)
         kept: dict[str, list] = {"f": [], "b": []}
         for k, way in enumerate("fb"):
-            gates = inputs @ w[f"W{way}"] + w[f"c{way}"]
+            own = gates[way]
             h = np.zeros((n, HIDDEN), dtype=np.float32)
             for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-                x, hu = gates[at[:, t]], h @ w[f"U{way}"]
+                x, hu = own[at[:, t]], h @ w[f"U{way}"]
                 zr = _sigmoid(x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
                 z, r, hc = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
                 c = np.tanh(x[:, 2 * HIDDEN :] + r * hc)
@@ -182,17 +202,20 @@ class Network:
         return best
 
     def logits(self, spans: list[list[bytes]]) -> np.ndarray:
-        if len(self.cache) > CACHED_WORDS:
+        words = {w for s in spans for w in s}
+        if not self.known or len(self.cache) + len(words) > CACHED_WORDS:
             self.forget_words()
-        new = list({w for s in spans for w in s} - self.cache.keys())
+            self.known = {way: np.zeros((max(CACHED_WORDS, len(words)) + 1, 3 * HIDDEN), dtype=np.float32) for way in "fb"}
+        new = list(words - self.cache.keys())
         if new:
-            first = len(self.table)
-            self.cache.update((w, first + i) for i, w in enumerate(new))
-            self.table = np.concatenate((self.table, self.inputs(new)[0]))
-        rows, get = np.full((len(spans), WINDOW), -1, dtype=np.int64), self.cache.__getitem__
+            first = 1 + len(self.cache)
+            self.cache.update(zip(new, range(first, first + len(new)), strict=True))
+            for way, rows in self.gates(self.inputs(new)[0]).items():
+                self.known[way][first : first + len(new)] = rows
+        at, get = np.full((len(spans), WINDOW), -1, dtype=np.int64), self.cache.__getitem__
         for i, s in enumerate(spans):
-            rows[i, : len(s)] = list(map(get, s))
-        return self.forward(self.table, rows)
+            at[i, : len(s)] = list(map(get, s))
+        return self.forward(self.known, at)
 
     def logits_of(self, spans: list[list[bytes]]) -> np.ndarray:
         """Logits of many windows with the weights as they are now."""
@@ -200,7 +223,7 @@ class Network:
         return np.concatenate([self.logits(spans[a : a + CHUNK]) for a in range(0, len(spans), CHUNK)])
 
     def forget_words(self) -> None:
-        self.cache, self.table = {}, np.zeros((1, INPUT), dtype=np.float32)
+        self.cache, self.known = {}, {}
 
     def score(self, highest: np.ndarray) -> np.ndarray:
         return _sigmoid(self.scale * highest + self.shift)
@@ -234,13 +257,13 @@ def _round(network: Network, optimiser: _Optimiser, spans: list[list[bytes]], la
     order = draw.permutation(len(spans))
     for a in range(0, len(order), BATCH):
         chosen = order[a : a + BATCH]
-        words = sorted({w for i in chosen for w in spans[i]}) or [b""]
+        words = sorted({w for i in chosen for w in spans[i]}) or [b"none"]
         place = {w: i for i, w in enumerate(words)}
         at = np.full((len(chosen), WINDOW), -1, dtype=np.int64)
         for k, i in enumerate(chosen):
             at[k, : len(spans[i])] = [place[w] for w in spans[i]]
         inputs, word_rows, gram_rows, lengths = network.inputs(words)
-        logits, saved = network.forward(inputs, at, keep=True)
+        logits, saved = network.forward(network.gates(inputs), at, keep=True)
         d_logits = ((_sigmoid(logits) - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
         grads, d_inputs = network.backward(inputs, at, saved, d_logits)
         for name, rows, d in (("words", word_rows, d_inputs), ("grams", gram_rows, np.repeat(d_inputs / lengths[:, None], lengths, axis=0))):

@@ -139,15 +139,15 @@ def test_network_gradients():
     inputs = np.random.default_rng(0).standard_normal((3, toxicity.INPUT))
     at = np.array([[0, 1, 2, 1], [2, 0, -1, -1]])
     weigh = np.array([1.0, -2.0])
-    _, saved = network.forward(inputs, at, keep=True)
+    _, saved = network.forward(network.gates(inputs), at, keep=True)
     grads, d_inputs = network.backward(inputs, at, saved, weigh)
     for name in ("Wf", "Ub", "cb", "A", "a", "o", "Uf"):
         for spot in list(np.ndindex(network.weights[name].shape))[::7]:
             w, e = network.weights[name], 1e-3
             w[spot] += e
-            up = network.forward(inputs, at) @ weigh
+            up = network.forward(network.gates(inputs), at) @ weigh
             w[spot] -= 2 * e
-            down = network.forward(inputs, at) @ weigh
+            down = network.forward(network.gates(inputs), at) @ weigh
             w[spot] += e
             assert abs((up - down) / (2 * e) - grads[name][spot]) < 2e-3, (name, spot)
     assert d_inputs.shape == inputs.shape
