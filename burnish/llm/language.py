@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from burnish.llm.common import held_out
+from burnish.operators.columns import col
 
 UNDETERMINED = "und"
 SAMPLE_DOCUMENTS = 400  # learned from, for each language; about so many are drawn by a hash of their id
@@ -131,6 +132,6 @@ def languages(docs: DataFrame) -> DataFrame:
 
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told by a clear margin, all columns as they are."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id", "lang")
+    row = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), "text", "doc_id", "lang")
     told = row.select("row", prediction(docs).alias("p"))
     return told.where(~F.col("p.rejected")).select("row.*")

@@ -135,7 +135,7 @@ def _scanned(index: dict[bytes, list[tuple[int, int]]], idf: dict[bytes, float])
                 ))
             columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
             table = pd.DataFrame(found, columns=columns).astype({"first_word": "Int64", "last_word": "Int64"})
-            table.insert(0, "doc_id", batch["doc_id"].array)
+            table.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield table
 
     return rows
@@ -149,7 +149,8 @@ def licensed(docs: DataFrame) -> DataFrame:
     templates. ``score`` is the best share of a found template's word weights, BASE_SCORE at least with a base
     phrase, 0 without labels. Null texts are empty. Repeated rows are scanned each; further columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no long beside nulls
     idf = weights(docs)
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.mapInPandas(_scanned(positional_index(idf), idf), schema)
+    schema = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    scanned = docs.mapInPandas(_scanned(positional_index(idf), idf), schema)
+    return scanned.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from burnish.operators.columns import col
 from burnish.sources.shared import written
 
 MOST_EPOCHS = 3
@@ -99,7 +100,7 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, seed: str = "mix") -
     The hot source is sorted with all others by one range shuffle that splits it; only sums of parts are
     added up by source.
     """
-    kept = F.struct(*(keep or docs.columns)).alias("row")
+    kept = F.struct(*[col(c) for c in keep or docs.columns]).alias("row")
     source_key = F.when(F.col("source").isNotNull(), F.col("source").cast("string")).alias("source_key")
     measured = docs.select(
         kept, source_key, F.col("doc_id").alias("tie"), size_of(F.col("text")).alias("size"),

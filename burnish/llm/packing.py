@@ -109,8 +109,9 @@ def packed(
     The driver sees a count for each length, at most ``capacity`` of them. Each task numbers its own pieces
     within their lengths; the counts of tasks are added up by length, and no piece is sorted or windowed.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
-    pieces = docs.select("doc_id", "text").mapInPandas(_piece_rows(capacity, end, vocabulary, ranks, with_ids), schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no long beside nulls
+    pieces = texts.mapInPandas(_piece_rows(capacity, end, vocabulary, ranks, with_ids), schema)
     pieces = written(pieces, "pieces")
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -118,5 +119,6 @@ def packed(
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     ranked = pieces.join(written(bases, "bases"), ["part", "length"])
     ranked = ranked.select(*[c for c in pieces.columns if c not in ("part", "rank")], (F.col("base") + F.col("rank")).alias("rank"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    return ranked.mapInPandas(_slot_rows(plan(histogram, capacity)), schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
+    placed = ranked.mapInPandas(_slot_rows(plan(histogram, capacity)), schema)
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))

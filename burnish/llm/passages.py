@@ -17,8 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnish.llm.common import mixed, shingle_hashes, word_hashes
+from burnish.operators.columns import col
 from burnish.sources.shared import forget, written
 
 SHINGLE = 5
@@ -190,20 +192,19 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _cut_rows(least: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for doc_id, text, known, firsts in zip(*(batch[c] for c in ("doc_id", "text", "shingles", "firsts")), strict=True):
-                if known is not None and text is not None:
-                    shingles = shingles_of(text).view(np.int64)
-                    shared, first = _firsts(shingles, known, firsts)
-                    spans = [(a, b + SHINGLE - 1) for a, b in similar_stretches(shared & (first < doc_id), least)]
-                    text = _cut(text, spans) if spans else text
-                texts.append(text)
-            yield batch.drop(columns=["shingles", "firsts"]).assign(text=texts)
+def _cut_texts(least: int):
+    def texts(ids: pd.Series, texts: pd.Series, shingles: pd.Series, firsts: pd.Series) -> pd.Series:
+        made = []
+        for doc_id, text, known, holders in zip(ids, texts, shingles, firsts, strict=True):
+            if known is not None and text is not None:
+                own = shingles_of(text).view(np.int64)
+                shared, first = _firsts(own, known, holders)
+                spans = [(a, b + SHINGLE - 1) for a, b in similar_stretches(shared & (first < doc_id), least)]
+                text = _cut(text, spans) if spans else text
+            made.append(text)
+        return pd.Series(made, dtype=object)
 
-    return rows
+    return F.pandas_udf(texts, T.StringType())
 
 
 def _known(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -257,6 +258,8 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     """
     least = least_words - SHINGLE + 1
     _, known = _known(docs, least)
-    known = known.select(F.col("doc_id").alias("_known_id"), "shingles", "firsts")
-    joined = docs.join(known, F.col("doc_id") == F.col("_known_id"), "left").drop("_known_id")
-    return joined.mapInPandas(_cut_rows(least), docs.schema)
+    known = known.select(F.col("doc_id").alias("known_id"), "shingles", "firsts")
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), "doc_id", "text")
+    joined = rows.join(known, F.col("doc_id") == F.col("known_id"), "left")
+    new = _cut_texts(least)(F.coalesce("known_id", F.lit(0).cast("long")), "text", "shingles", "firsts").alias("new")
+    return joined.select("row", new).select(*[(F.col("new") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from burnish.llm.common import lower_words
 from burnish.llm.components import components
+from burnish.operators.columns import col
 from burnish.sources.shared import written
 
 BITS, MAX_BITS, SEGMENTS, SHINGLE, SEED = 64, 2, 3, 3, 42
@@ -133,7 +134,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     first = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id")
     first = first.select(F.col("doc_id").alias("_first_id")).distinct()
-    row = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_order"), F.struct(*docs.columns).alias("_row"))
+    row = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_order"), F.struct(*[col(c) for c in docs.columns]).alias("_row"))
     row = row.join(first, F.col("doc_id") == F.col("_first_id"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("_order"))
     one = row.withColumn("_nth", nth).where("_nth = 1").select("_row.*")

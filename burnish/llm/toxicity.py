@@ -363,5 +363,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts are one empty window. Without documents of both labels the score is a constant. Rows that repeat an
     id are scored each, further columns are ignored, an empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInPandas(_scored(learn(docs, labels)), "doc_id long, held_out boolean, score double, predicted int")
+    ids = F.col("doc_id").cast("string").alias("doc_id")  # pandas has no long beside nulls
+    rows = docs.select(ids, "text", held_out(F.col("doc_id")).alias("held_out"))
+    scored = rows.mapInPandas(_scored(learn(docs, labels)), "doc_id string, held_out boolean, score double, predicted int")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -33,11 +33,11 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 UNFIT = re.compile(r"[\x00-\x20\x7f]")
 
 
-def _name(page_id: int | None) -> str:
+def _name(page_id: str | None) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, first: str | None) -> bytes:
     """A response record, or a revisit of the page ``first``, which has the header of the reply but no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if first is None else b"")
@@ -94,7 +94,7 @@ def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page_id, url, payload, digest, first, revisit in zip(
             *(batch[c] for c in ("page_id", "url", "payload", "digest", "first", "revisit")), strict=True
         ):
-            bundle.add(record(None if pd.isna(page_id) else int(page_id), url, payload, digest, int(first) if revisit else None))
+            bundle.add(record(page_id, url, payload, digest, first if revisit else None))
             if bundle.size >= BUNDLE_BYTES:
                 yield pd.DataFrame({"part": [part], "nth": [nth], "data": [bundle.data()]})
                 nth, bundle = nth + 1, _Bundle()
@@ -116,7 +116,8 @@ def write_bundles(pages: DataFrame, path: str) -> None:
     copies = written(copies.select(F.col("digest").alias("copied"), "first"), "copies")
     revisit = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull())
     rows = rows.join(copies, F.col("digest") == F.col("copied"), "left").withColumn("revisit", revisit).drop("copied")
-    bundles = written(rows.mapInPandas(_bundles, "part int, nth int, data binary"), "bundles")
+    texts = {c: F.col(c).cast("string") for c in ("page_id", "first")}  # pandas has no long beside nulls
+    bundles = written(rows.withColumns(texts).mapInPandas(_bundles, "part int, nth int, data binary"), "bundles")
     end = struct.pack("<I", SEEKABLE).decode("latin-1")
     lines = bundles.select(F.col("data").cast("string").alias("value"))
     lines.write.options(lineSep=end, encoding="ISO-8859-1", maxRecordsPerFile=1).text(path)
@@ -173,8 +174,8 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     refers_to = _page(fields["WARC-Refers-To"]) if kind == "revisit" else None
                     found.append((_page(fields["WARC-Record-ID"]), size, digest, kind, refers_to, path, nth, offset, after - offset))
                     offset = after
-            table = pd.DataFrame(found, columns=columns)
-            yield table.astype({"page_id": "Int64", "refers_to": "Int64"})
+            table = dict(zip(columns, map(list, zip(*found, strict=True)), strict=True))
+            yield pd.DataFrame(table | {c: pd.array(table[c], dtype="Int64") for c in ("page_id", "refers_to")})
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id long, size int, signatures string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, sequence_id long, `size.x` int, shingles string"
 
 
 @pytest.fixture

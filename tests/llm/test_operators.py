@@ -18,6 +18,16 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def test_large_ids_beside_nulls(spark):
+    big = (1 << 60) + 1
+    frame = spark.createDataFrame([(big, "a b c"), (None, None)], "doc_id long, text string")
+    nothing = spark.createDataFrame([], "doc_id long, toxic int")
+    for made in (packing.packed(frame), licenses.licensed(frame), toxicity.scores(frame, nothing), simhash.near_duplicates(frame)):
+        assert {r.doc_id for r in made.collect()} == {big, None}
+    pages = frame.selectExpr("doc_id AS page_id", "text AS url", "text AS html")
+    assert {r.page_id for r in warc.archived(pages).collect()} == {big, None}
+
+
 def documents(n=None):
     rows = pq.read_table(f"{SF}/documents.parquet").to_pylist()
     return rows[:n]
