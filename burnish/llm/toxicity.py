@@ -341,7 +341,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
     rates = [SAMPLE[k] / max(1, counts.get(k, 0)) * (1 << 31) for k in (0, 1)]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 31))
     drawn = known.withColumn("spare", draw % CALIBRATED == 0).where(draw < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
-    sample = docs.select("doc_id", "text").where("text is not null").join(drawn, "doc_id")
+    # About sum(SAMPLE) ids at any size of the input, so they are broadcast and no text is shuffled.
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
     return trained(sample.mapInPandas(_sampled, "doc_id long, toxic int, nth int, spare boolean, words string").toPandas())
 
 
