@@ -169,6 +169,12 @@ def test_windows_cover_all_words():
         assert {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))} == set(range(n))
 
 
+def test_windows_hold_phrases_whole():
+    for n in (17, 31, 33, 48, 57, 100, 1000):
+        starts = toxicity.window_starts(n)
+        assert all(any(s <= i and i + 17 <= s + toxicity.WINDOW for s in starts) for i in range(n - 16))
+
+
 def test_toxicity(spark, odd, empty, monkeypatch):
     draw = random.Random(5)
     plain = [f"w{i}" for i in range(60)]
