@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -68,40 +69,25 @@ def _hashed(shingles: np.ndarray) -> Iterator[np.ndarray]:
     return (mixed(shingles ^ np.uint64(seed)) for seed in SEEDS[:HASHES])
 
 
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
-
-
 def similar_stretches(shared: np.ndarray, least: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Maximal stretches (start, end) of at least ``least`` positions that begin and end in shared ones and of
-    whose positions at least ``similarity`` are shared, none in a gap that a single edit cannot explain.
+    whose positions at least ``similarity`` are shared, whatever their gaps.
 
-    One changed word breaks five shingles in a row, so runs are joined over gaps of up to ten (two edits). A
-    chain with too small a share is split at its widest gap.
+    Each such stretch lies in one of those returned, none of which lies in another; they may overlap, where their
+    union has too small a share. Starts and ends rise. With the sums of (shared - similarity) up to each position,
+    a start reaches the last end whose sum is not less.
     """
-    found: list[tuple[int, int]] = []
-
-    def settle(chain: list[tuple[int, int]]) -> None:
-        start, end = chain[0][0], chain[-1][1]
-        if end - start < least:
-            return
-        if sum(b - a for a, b in chain) >= similarity * (end - start):
-            found.append((start, end))
-            return
-        cut = max(range(1, len(chain)), key=lambda i: chain[i][0] - chain[i - 1][1])
-        settle(chain[:cut])
-        settle(chain[cut:])
-
-    chain: list[tuple[int, int]] = []
-    for run in _runs(shared):
-        if chain and run[0] - chain[-1][1] > 2 * SHINGLE:
-            settle(chain)
-            chain = []
-        chain.append(run)
-    if chain:
-        settle(chain)
-    return found
+    parts = Fraction(similarity).limit_denominator(1000)  # whole numbers, so that a share of exactly 0.8 counts
+    sums = np.concatenate(([0], np.cumsum(np.where(shared, parts.denominator, 0) - parts.numerator)))
+    before, after = np.concatenate(([False], shared)), np.concatenate((shared, [False]))
+    starts, ends = np.flatnonzero(after & ~before), np.flatnonzero(before & ~after)
+    if not len(starts):
+        return []
+    highest = np.maximum.accumulate(sums[ends][::-1])  # from the last end backwards
+    reached = ends[len(ends) - 1 - np.searchsorted(highest, sums[starts])]
+    new = np.concatenate(([True], reached[1:] > np.maximum.accumulate(reached)[:-1]))
+    chosen = new & (reached - starts >= least)
+    return list(zip(starts[chosen].tolist(), reached[chosen].tolist(), strict=True))
 
 
 def _signature_rows(least: int):
@@ -171,10 +157,10 @@ def _span_rows(least: int):
             for doc_id, text, known, firsts in zip(*(batch[c] for c in ("doc_id", "text", "shingles", "firsts")), strict=True):
                 shingles = shingles_of(text).view(np.int64)
                 shared, first = _firsts(shingles, known, firsts)
+                owners, which = np.unique(first, return_inverse=True)
                 for start, end in similar_stretches(shared, least):
-                    own = first[start:end][shared[start:end]]
-                    owners, counts = np.unique(own, return_counts=True)
-                    class_id, later = int(owners[counts.argmax()]), int((own < doc_id).sum())
+                    own = which[start:end][shared[start:end]]
+                    class_id, later = int(owners[np.bincount(own).argmax()]), int((owners[own] < doc_id).sum())
                     spans.append((doc_id, start, end - start + SHINGLE - 1, len(own), later, class_id))
             if spans:
                 yield pd.DataFrame(spans, columns=["doc_id", "start_word", "n_words", "n_shared", "n_later", "class_id"])
@@ -236,7 +222,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     white space, A-Z in lower case. At least 0.8 of a passage's five-word shingles (n_shared of n_words - 4)
     stand in the proposed passages of other documents too, n_later of them in documents with smaller ids.
     ``class_id`` is the smallest doc_id that holds most of them: equal for all copies of a passage, and the
-    document's own id where it comes first.
+    document's own id where it comes first. Passages begin and end in shared shingles and are as long as their
+    share allows, whatever stands in between; those of a document may overlap, but none lies in another.
 
     Nothing is paired: a passage in any number of documents costs each of them its own shingles, and counts are
     combined in each task before they are shuffled. Null or short texts have no passages. Rows with a null

@@ -460,6 +460,33 @@ def test_passages(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == 10
 
 
+def test_stretches_are_all_that_are_similar():
+    draw = np.random.default_rng(12)
+    for _ in range(600):
+        n, least = int(draw.integers(0, 36)), int(draw.integers(1, 12))
+        shared = draw.random(n) < draw.choice([0.3, 0.6, 0.75, 0.8, 0.9])
+        valid = [
+            (a, b) for a in range(n) for b in range(a + least, n + 1)
+            if shared[a] and shared[b - 1] and 5 * int(shared[a:b].sum()) >= 4 * (b - a)
+        ]
+        want = [(a, b) for a, b in valid if not any((c, d) != (a, b) and c <= a and b <= d for c, d in valid)]
+        assert passages.similar_stretches(shared, least) == want
+
+
+def test_one_long_edit_keeps_the_passage(spark):
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(7))
+    passage = [word() for _ in range(105)]
+    changed = passage[:49] + [word() for _ in range(7)] + passage[56:]
+    around = [[word() for _ in range(80)] for _ in range(4)]
+    rows = [(1, " ".join(around[0] + passage + around[1])), (2, " ".join(around[2] + changed + around[3]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.repeated_passages(frame).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.n_shared, r.class_id) for r in got} == {(1, 80, 105, 90, 1), (2, 80, 105, 90, 1)}
+    cut = found(passages.without_repeats(frame))
+    assert cut[1]["text"] == rows[0][1] and cut[2]["text"].split() == around[2] + around[3]
+
+
 def test_cut_keeps_the_rest():
     assert passages._cut(" a  b\nc d ", [(1, 3)]) == " a  d "
     assert passages._cut("a b c", [(0, 3)]) == ""
