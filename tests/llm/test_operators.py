@@ -487,6 +487,14 @@ def test_one_long_edit_keeps_the_passage(spark):
     assert cut[1]["text"] == rows[0][1] and cut[2]["text"].split() == around[2] + around[3]
 
 
+def test_thousands_of_templated_lines(spark):
+    assert passages.similar_stretches(np.tile([True] * 6 + [False] * 5, 5000), 46) == []
+    rows = [(i, "\n".join(f"a b c d e f g h i j value{i}x{n}" for n in range(5000))) for i in (1, 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeated_passages(frame).count() == 0
+    assert {r.text for r in passages.without_repeats(frame).collect()} == {text for _, text in rows}
+
+
 def test_cut_keeps_the_rest():
     assert passages._cut(" a  b\nc d ", [(1, 3)]) == " a  d "
     assert passages._cut("a b c", [(0, 3)]) == ""
