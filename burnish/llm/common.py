@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +54,29 @@ def _power(base: int, n: int) -> np.ndarray:
     return found[:n]
 
 
+def _give_back() -> None:
+    """What a Python worker keeps for later goes back to the system: workers wait idle beside each other."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``rows`` over a task's batches, after which the worker keeps no more than it needs."""
+
+    @wraps(rows)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from rows(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of UTF-8 text starts and ends, in bytes."""
     space = np.concatenate(([True], _SPACE[np.frombuffer(data, dtype=np.uint8)], [True]))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from burnish.llm import language, licenses, mixing, mtree, packing, passages, quality, simhash, toxicity, warc
+from burnish.llm import (
+    divergence, language, licenses, lines, mixing, mtree, packing, passages, quality, simhash, spelling, toxicity, warc,
+)
 from burnish.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,5 +98,24 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+@query
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.without_common_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return cut.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+CHECK_SQL["op11_divergence"] = divergence.DIVERGENCE_SQL
+CHECK_SQL["op12_lines"] = lines.LINES_SQL
+CHECK_SQL["op13_spelling"] = spelling.SPELLING_SQL
 CHECK_SQL["op8_mtree"] = TOPK_SQL
 CHECK_SQL["op9_warc"] = WARC_SQL
