@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.operators import lookup
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -20,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def sized(stored: DataFrame) -> DataFrame:
+    """A stored table as a side of a join: broadcast if its measured rows allow, else to be sorted and merged.
+
+    Spark itself would go by the bytes of the compressed files, which say little about the rows.
+    """
+    size = stored.agg(F.sum(lookup.row_bytes(stored))).first()[0] or 0
+    return F.broadcast(stored) if size <= lookup.BROADCAST_BYTES else stored.hint("merge")
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of characters other than ASCII white space, as UTF-8. ``bytes.split`` cuts at x09-x0D and x20 only."""
     return text.encode().split() if text else []

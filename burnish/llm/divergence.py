@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from burnish.llm.common import lean
+from burnish.llm.common import lean, sized
 from burnish.sources.shared import written
 
 LEAST_DOCUMENTS = 10
@@ -210,7 +210,7 @@ def divergences(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_ra
     )
     groups = written(groups, "groups")
 
-    shares = held.join(groups, ["lang", "source"]).select(
+    shares = held.join(sized(groups), ["lang", "source"]).select(
         "lang", "source", "place", "term", "z", _share(F.col("n"), F.col("whole")).alias("p"), _share(F.col("total"), F.col("lang_whole")).alias("q")
     )
     shares = written(shares, "shares")
@@ -234,12 +234,12 @@ def divergences(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_ra
     pairs = written(left.join(right, ["lang", "lane"]).where("place != other").drop("lane"), "source-pairs")
     single = shares.groupBy("lang", "place", "p").agg(F.count(F.lit(1)).alias("times"))
     change = value(F.col("p"), F.col("other_z")) - value(F.col("z"), F.col("other_z"))
-    own = pairs.join(single, ["lang", "place"]).groupBy("lang", "place", "other").agg(F.sum(F.col("times") * change).alias("own"))
+    own = pairs.hint("merge").join(single, ["lang", "place"]).groupBy("lang", "place", "other").agg(F.sum(F.col("times") * change).alias("own"))
     own = written(own, "own")
     partner = own.select("lang", F.col("place").alias("other"), F.col("other").alias("place"), F.col("own").alias("partner"))
     summed = pairs
-    for part in (own, partner, corrected):
-        summed = summed.join(part, ["lang", "place", "other"], "left")
+    for part in (own, partner, corrected):  # as large as the result
+        summed = summed.join(part.hint("merge"), ["lang", "place", "other"], "left")
     base = F.col("v") * value(F.col("z"), F.col("other_z"))
     total = F.aggregate(F.array(base, "own", "partner", "corrected"), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
     ranked = summed.select("lang", "source", F.lit("pair").alias("part"), "item", total.alias("value"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from burnish.llm.common import held_out
+from burnish.llm.common import held_out, lean
 from burnish.operators.columns import col
 
 UNDETERMINED = "und"
@@ -33,6 +33,7 @@ SENTENCE = re.compile(r"[^.\n]+")
 LETTER = re.compile(r"[^\W\d_]")
 
 
+@lean
 def _sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
@@ -90,6 +91,7 @@ def sizes(text: str, encoders: list[zstandard.ZstdCompressor]) -> np.ndarray:
 def _predict(dictionaries: dict[str, bytes], narrow: float):
     names = list(dictionaries)
 
+    @lean
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoders = compressors(dictionaries)
         for texts in batches:

@@ -13,6 +13,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.llm.common import sized
 from burnish.operators import lookup
 from burnish.operators.columns import col
 from burnish.sources.shared import written
@@ -46,12 +47,6 @@ def _line_hashes(text: Column, least_length: int) -> Column:
     return F.transform(split_lines(lowered(text)), hashed)
 
 
-def _semi(df: DataFrame, keys: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """The rows of ``df`` whose ``names`` stand in ``keys``, a stored table that is broadcast if its size allows."""
-    size = keys.agg(F.sum(lookup.row_bytes(keys))).first()[0] or 0
-    return df.join(F.broadcast(keys) if size <= lookup.BROADCAST_BYTES else keys.hint("merge"), list(names), "left_semi")
-
-
 def without_common_lines(
     docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, least_length: int = LEAST_LENGTH
 ) -> DataFrame:
@@ -77,11 +72,11 @@ def without_common_lines(
     often = each.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents)
     often = written(often.select(*HASHES), "often")
     placed = marked.select(*ROW_KEYS, "doc_id", "anonymous", F.posexplode("lines").alias("pos", "h")).where("h is not null")
-    held = written(_semi(placed.select(*ROW_KEYS, "doc_id", "anonymous", "pos", "h.*"), often, HASHES), "held")
+    held = written(placed.select(*ROW_KEYS, "doc_id", "anonymous", "pos", "h.*").join(sized(often), list(HASHES), "left_semi"), "held")
     documents = held.groupBy(*HASHES, "doc_id", "anonymous").agg(F.lit(1).alias("one")).groupBy(*HASHES).agg(F.sum("one").alias("n"))
     common = written(documents.where(F.col("n") >= least_documents).select(*HASHES), "common")
     # Equal rows have equal keys and positions, which combine in each task.
-    dropped = _semi(held, common, HASHES).groupBy(*ROW_KEYS).agg(F.collect_set("pos").alias("places"))
+    dropped = held.join(sized(common), list(HASHES), "left_semi").groupBy(*ROW_KEYS).agg(F.collect_set("pos").alias("places"))
     dropped = written(dropped, "dropped")
     size = dropped.agg(F.sum(F.lit(64) + 4 * F.size("places"))).first()[0] or 0
     places = dropped.toDF("_p1", "_p2", "places")

@@ -7,16 +7,11 @@ the source and sizes summed up to what is left of the target.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from burnish.llm.common import sized
 from burnish.operators.columns import col
 from burnish.sources.shared import written
 
@@ -68,26 +63,6 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source_key", "source_size", target.alias("target"))
 
 
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the part's number and, for each row, the words before it in its part and source; rows come sorted."""
-    part, source, total = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        sizes = batch.column("size").to_numpy()
-        sources = batch.column("source_key").to_pylist()
-        ends = np.cumsum(sizes)
-        before = ends - sizes
-        starts = [0] + [i for i in range(1, len(sources)) if sources[i] != sources[i - 1]] if sources else []
-        for a, b in zip(starts, [*starts[1:], len(sources)], strict=True):
-            total = total if sources[a] == source else 0
-            source, base = sources[a], int(before[a])
-            before[a:b] += total - base
-            total += int(ends[b - 1]) - base
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(before.astype(np.int64))],
-            names=[*batch.schema.names, "part", "before"],
-        )
-
-
 def mixture(docs: DataFrame, keep: list[str] | None = None, seed: str = "mix") -> DataFrame:
     """(row, size, source_size, target, taken) of every row of ``docs(doc_id, text, source, ...)``.
 
@@ -97,32 +72,41 @@ def mixture(docs: DataFrame, keep: list[str] | None = None, seed: str = "mix") -
     within half a document of its target. Null sources are one source, the last; ties go by doc_id, then size.
     Rows that repeat an id draw the same key. An empty table gives no rows, a source without words takes none.
 
-    The hot source is sorted with all others by one range shuffle that splits it; only sums of parts are
-    added up by source.
+    Sums run over narrow rows only: one range shuffle splits the hot source, each part is summed up by itself and
+    parts are added up by source. As the sums before a document only rise, what a source takes in part is all up
+    to one document in the order of the keys; rows are compared with that one where they lie.
     """
     kept = F.struct(*[col(c) for c in keep or docs.columns]).alias("row")
     source_key = F.when(F.col("source").isNotNull(), F.col("source").cast("string")).alias("source_key")
-    measured = docs.select(
-        kept, source_key, F.col("doc_id").alias("tie"), size_of(F.col("text")).alias("size"),
+    tie = F.col("doc_id").cast("long")
+    place = F.struct(
         exponential_key(F.col("doc_id"), quality_of(F.col("text")), seed).alias("key"),
+        tie.isNull().alias("no_id"), tie.alias("tie"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("number"),
     )
-    measured = written(measured, "measured")
-    targets = written(source_targets(measured.select("source_key", "size")), "targets")
-    order = [F.col("source_key").asc_nulls_last(), "key", F.col("tie").asc_nulls_last(), "size"]
-    ordered = measured.repartitionByRange(*order).sortWithinPartitions(*order).drop("key", "tie")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
-    summed = written(ordered.mapInArrow(_running, schema), "running")
-    parts = summed.groupBy("source_key", "part").agg(F.sum("size").alias("size"))
+    measured = written(docs.select(kept, source_key, place.alias("place")), "measured")
+    narrow = measured.select("source_key", "place", F.col("place.size").alias("size"))
+    targets = written(source_targets(narrow), "targets")
+    ordered = narrow.repartitionByRange(F.col("source_key").asc_nulls_last(), "place")
+    ordered = written(ordered.withColumn("part", F.spark_partition_id()), "ordered")
+    before = Window.partitionBy("source_key", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("source_key", "part").agg(F.sum("size").alias("size"))
     earlier = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_key", "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("base"))
-    parts = parts.alias("p").join(targets.alias("t"), F.col("p.source_key").eqNullSafe(F.col("t.source_key")))
-    parts = written(parts.select("p.source_key", "part", "base", "source_size", "target"), "parts")
-    same = F.col("s.source_key").eqNullSafe(F.col("p.source_key")) & (F.col("s.part") == F.col("p.part"))
-    joined = summed.alias("s").join(parts.alias("p"), same)
+    parts = parts.alias("p").join(sized(targets).alias("t"), F.col("p.source_key").eqNullSafe(F.col("t.source_key")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - epochs * F.col("source_size")
-    more = (F.col("base") + F.col("before") + F.col("size") / 2 <= rest).cast("long")
-    return joined.select("row", "size", "source_size", "target", ((epochs + more) * F.col("size")).cast("long").alias("taken"))
+    parts = written(parts.select("p.source_key", "part", "base", "source_size", "target", epochs.alias("epochs"), rest.alias("rest")), "parts")
+    summed = ordered.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    same = F.col("s.source_key").eqNullSafe(F.col("p.source_key")) & (F.col("s.part") == F.col("p.part"))
+    fits = F.col("base") + F.col("before") + F.col("size") / 2 <= F.col("rest")
+    last = F.max(F.when(fits, F.col("place"))).alias("last")
+    facts = ["source_size", "target", "epochs"]
+    cuts = summed.alias("s").join(sized(parts).alias("p"), same).groupBy("s.source_key", *facts).agg(last)
+    cuts = written(cuts.select(F.col("source_key").alias("cut_key"), *facts, "last"), "cuts")
+    joined = measured.join(sized(cuts), F.col("source_key").eqNullSafe(F.col("cut_key")))
+    more = F.coalesce((F.col("place") <= F.col("last")).cast("long"), F.lit(0))
+    size = F.col("place.size")
+    return joined.select("row", size.alias("size"), "source_size", "target", ((F.col("epochs") + more) * size).cast("long").alias("taken"))
 
 
 MIX_SQL = r"""

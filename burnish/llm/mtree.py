@@ -28,11 +28,12 @@ LANES = 64  # groups of pages; each block of queries goes to every lane
 SLACK = 1e-6  # relative; bounds are rounded, scores are exact
 
 PAGE = T.StructType([
-    T.StructField("page", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("vectors", T.BinaryType()),
+    T.StructField("page", T.LongType()), T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("vectors", T.BinaryType()),
     T.StructField("near", T.BinaryType()), T.StructField("leaves", T.BinaryType()), T.StructField("routes", T.BinaryType()),
     T.StructField("centre", T.BinaryType()),
 ])
-HIT = "query_id long, vec_id long, score long"
+HIT = "query_row long, query_id long, vec_id long, score long"
+HIT_COLUMNS = ["query_row", "query_id", "vec_id", "score"]
 
 
 def integers(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -74,8 +75,8 @@ def _cells(pivots: np.ndarray):
 def _page_of(width: int):
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         """One page: leaves around routing vectors that are spread by farthest-first choice."""
-        rows = rows.sort_values("vec_id")
-        v, ids = _matrix(rows["v"], width), rows["vec_id"].to_numpy()
+        rows = rows.sort_values("row")
+        v, ids, numbers = _matrix(rows["v"], width), rows["vec_id"].to_numpy(), rows["row"].to_numpy()
         centre = np.round(v.mean(0))
         chosen = [int(_distances(v, centre[None])[:, 0].argmin())]
         gap = _distances(v, v[chosen])[:, 0]
@@ -86,7 +87,7 @@ def _page_of(width: int):
         apart = _distances(v, routes)
         leaf = apart.argmin(1)
         order = np.argsort(leaf, kind="stable")
-        v, ids, leaf, to_route = v[order], ids[order], leaf[order], apart[np.arange(len(v)), leaf][order]
+        v, ids, numbers, leaf, to_route = v[order], ids[order], numbers[order], leaf[order], apart[np.arange(len(v)), leaf][order]
         norms = (v * v).sum(1)
         starts = np.searchsorted(leaf, np.arange(len(routes) + 1))
         leaves = np.array([
@@ -95,7 +96,7 @@ def _page_of(width: int):
         ])
         near = np.stack([to_route, norms])
         return pd.DataFrame({
-            "page": [rows["page"].iloc[0]], "ids": [ids], "vectors": [v.tobytes()], "near": [near.tobytes()],
+            "page": [rows["page"].iloc[0]], "numbers": [numbers], "ids": [ids], "vectors": [v.tobytes()], "near": [near.tobytes()],
             "leaves": [leaves.tobytes()], "routes": [routes.tobytes()], "centre": [centre.tobytes()],
         })
 
@@ -107,6 +108,7 @@ class _Page:
 
     def __init__(self, row, width: int) -> None:
         self.ids = np.asarray(row.ids, dtype=np.int64)
+        self.numbers = np.asarray(row.numbers, dtype=np.int64)
         self.v = np.frombuffer(row.vectors).reshape(-1, width)
         self.to_route, self.norms = np.frombuffer(row.near).reshape(2, -1)
         self.leaves = np.frombuffer(row.leaves).reshape(-1, 5)
@@ -115,7 +117,7 @@ class _Page:
         self.radius = (self.leaves[:, 4] + self.leaves[:, 2]).max()
 
     def search(self, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query, vector, score) of the at most k best of each query that score ``least`` or more."""
+        """(place of the query, vector, score) of the at most k best of each query that score ``least`` or more."""
         norms = (queries * queries).sum(1)
         slack = SLACK * (norms + self.norms.max() + 1)
         bound = lambda d, top: (norms[:, None] + top - np.maximum(d, 0) ** 2) / 2 + slack[:, None]
@@ -149,10 +151,15 @@ class _Page:
                     hits, scores = hits[keep], scores[keep]
                 if len(hits) == k:
                     floor = max(floor, scores.min())
-            found += [(int(ids[i]), int(self.ids[h]), int(s)) for h, s in zip(hits, scores, strict=True) if s >= least[i]]
+            found += [(int(i), int(self.ids[h]), int(s)) for h, s in zip(hits, scores, strict=True) if s >= least[i]]
         return found
 
 
+def _hits(hits: list[tuple[int, int, int]], rows: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    made = [(int(rows[i]), int(ids[i]), vec_id, score) for i, vec_id, score in hits]
+    return pd.DataFrame(made, columns=HIT_COLUMNS, dtype="int64")
+
+
 def _seeds(width: int, k: int, every: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -160,7 +167,7 @@ def _seeds(width: int, k: int, every: int):
                 page = _Page(row, width)
                 mine = np.flatnonzero(page.ids % every == 0)
                 hits = page.search(page.ids[mine], page.v[mine], np.full(len(mine), -np.inf), k)
-                yield pd.DataFrame(hits, columns=["query_id", "vec_id", "score"], dtype="int64")
+                yield _hits(hits, page.numbers[mine], page.ids[mine])
 
     return rows
 
@@ -171,11 +178,11 @@ def _pairs(width: int, k: int):
             for row in batch.itertuples():
                 page = _Page(row, width)
                 away = np.asarray(row.homes) != row.page
-                ids = np.asarray(row.query_ids)[away]
+                numbers, ids = np.asarray(row.query_rows)[away], np.asarray(row.query_ids)[away]
                 queries = np.frombuffer(b"".join(row.query_vectors)).reshape(-1, width)[away]
                 least = np.asarray(row.floors, dtype=float)[away]
                 hits = page.search(ids, queries, least, k) if len(ids) else []
-                yield pd.DataFrame(hits, columns=["query_id", "vec_id", "score"], dtype="int64")
+                yield _hits(hits, numbers, ids)
 
     return rows
 
@@ -184,9 +191,9 @@ def _query_rows(width: int, every: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ids, v = np.asarray(row.ids), np.frombuffer(row.vectors).reshape(-1, width)
+                ids, numbers, v = np.asarray(row.ids), np.asarray(row.numbers), np.frombuffer(row.vectors).reshape(-1, width)
                 mine = np.flatnonzero(ids % every == 0)
-                yield pd.DataFrame({"query_id": ids[mine], "home": row.page, "vector": [v[i].tobytes() for i in mine]})
+                yield pd.DataFrame({"query_row": numbers[mine], "query_id": ids[mine], "home": row.page, "vector": [v[i].tobytes() for i in mine]})
 
     return rows
 
@@ -196,42 +203,42 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "v
 
     Scores are inner products of floor(1024 * x), exact while they fit 64 bits; ties go to the smaller id. Rows
     with a null id, a null vector, or a component that is null or not finite take no part. Shorter vectors count
-    as ending in zeros. Rows that repeat an id are one candidate or query each with the same id: a query passes
-    over all rows of its own id and its rows are searched as one. No rows, no result.
+    as ending in zeros. Rows that repeat an id are candidates or queries each by itself: a query passes over all
+    rows of its own id, and the hits of all rows of a query are ranked together. No rows, no result.
 
     Each query first searches its own page, which gives it a score to beat. Then blocks of queries meet all
     pages; bounds rule out pages, leaves and vectors. Every task holds one page and one block at a time.
     """
     spark = vectors.sparkSession
-    rows = written(integers(vectors.where(F.col(id_column).isNotNull()), id_column, vector).distinct(), "vectors")
+    rows = written(integers(vectors.where(F.col(id_column).isNotNull()), id_column, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0]
     if not width:  # no rows, or only empty vectors: every score is 0
         width = 1
-    sample = rows.select(F.xxhash64("vec_id").alias("h"), "vec_id", "v").orderBy("h", "vec_id").limit(PIVOTS).toPandas()
+    sample = rows.select(F.xxhash64("row").alias("h"), "row", "v").orderBy("h", "row").limit(PIVOTS).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    celled = rows.mapInPandas(_cells(_matrix(sample["v"], width)), "vec_id long, v array<double>, cell int")
+    celled = rows.mapInPandas(_cells(_matrix(sample["v"], width)), "vec_id long, v array<double>, row long, cell int")
     celled = written(celled, "cells")
     counts = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # at most PIVOTS rows
     parts = F.ceil(F.col("n") / PAGE_ROWS)
-    page = F.col("cell").cast("long") * (1 << 40) + F.pmod(F.xxhash64("vec_id"), parts)
-    paged = celled.join(F.broadcast(counts), "cell").select("vec_id", "v", page.alias("page"))
+    page = F.col("cell").cast("long") * (1 << 40) + F.pmod(F.xxhash64("row"), parts)
+    paged = celled.join(F.broadcast(counts), "cell").select("row", "vec_id", "v", page.alias("page"))
     pages = written(paged.groupBy("page").applyInPandas(_page_of(width), PAGE), "pages")
 
     seeds = written(pages.mapInPandas(_seeds(width, k, every), HIT), "seeds")
-    floors = seeds.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    queries = pages.mapInPandas(_query_rows(width, every), "query_id long, home long, vector binary")
-    queries = written(queries.join(floors, "query_id", "left"), "queries")
+    floors = seeds.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    queries = pages.mapInPandas(_query_rows(width, every), "query_row long, query_id long, home long, vector binary")
+    queries = written(queries.join(floors, "query_row", "left"), "queries")
     blocks = F.lit(1 + queries.count() // QUERIES)
-    blocked = queries.groupBy(F.pmod(F.xxhash64("query_id", F.lit(1)), blocks).alias("block")).agg(
-        F.collect_list(F.struct("query_id", "home", "vector", "floor")).alias("q")
+    blocked = queries.groupBy(F.pmod(F.xxhash64("query_row", F.lit(1)), blocks).alias("block")).agg(
+        F.collect_list(F.struct("query_row", "query_id", "home", "vector", "floor")).alias("q")
     )
     blocked = blocked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.col("q.query_id").alias("query_ids"), F.col("q.home").alias("homes"),
+        F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.col("q.query_row").alias("query_rows"), F.col("q.query_id").alias("query_ids"), F.col("q.home").alias("homes"),
         F.col("q.vector").alias("query_vectors"), F.transform("q.floor", lambda f: F.coalesce(f.cast("double"), F.lit(float("-inf")))).alias("floors"),
     )
     laned = pages.withColumn("lane", F.pmod(F.xxhash64("page"), F.lit(LANES)).cast("int"))
     others = laned.join(blocked, "lane").mapInPandas(_pairs(width, k), HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = seeds.union(others).dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best))
+    hits = seeds.union(others).withColumn("rank", F.row_number().over(best))
     return hits.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from burnish.llm.common import lean, sized
 from burnish.llm.encoding import Encoder
 from burnish.sources.shared import written
 
@@ -59,6 +60,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def _piece_rows(capacity: int, end: int, vocabulary: str | None, ranks: str | None, with_ids: bool):
+    @lean
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(vocabulary, ranks)
         part = TaskContext.get().partitionId()
@@ -85,6 +87,7 @@ def _slot_rows(rows: list[tuple[int, int, int, int, int]]):
     slots = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
     starts = (slots[:, 0] << 44) + slots[:, 1]  # lengths below 2**19, ranks below 2**44
 
+    @lean
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
@@ -117,7 +120,7 @@ def packed(
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(written(bases, "bases"), ["part", "length"])
+    ranked = pieces.join(sized(written(bases, "bases")), ["part", "length"])
     ranked = ranked.select(*[c for c in pieces.columns if c not in ("part", "rank")], (F.col("base") + F.col("rank")).alias("rank"))
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
     placed = ranked.mapInPandas(_slot_rows(plan(histogram, capacity)), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.llm.common import mixed, shingle_hashes, word_hashes
+from burnish.llm.common import lean, mixed, shingle_hashes, word_hashes
 from burnish.operators.columns import col
 from burnish.sources.shared import forget, written
 
@@ -91,6 +91,7 @@ def similar_stretches(shared: np.ndarray, least: int, similarity: float = SIMILA
 
 
 def _signature_rows(least: int):
+    @lean
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, signatures = [], []
@@ -126,6 +127,7 @@ def proposed(shingles: np.ndarray, signatures: np.ndarray, least: int) -> np.nda
 
 
 def _shingle_rows(least: int):
+    @lean
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, found = [], []
@@ -151,6 +153,7 @@ def _firsts(shingles: np.ndarray, known: np.ndarray, firsts: np.ndarray) -> tupl
 
 
 def _span_rows(least: int):
+    @lean
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             spans = []
@@ -179,16 +182,18 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut_texts(least: int):
-    def texts(ids: pd.Series, texts: pd.Series, shingles: pd.Series, firsts: pd.Series) -> pd.Series:
-        made = []
-        for doc_id, text, known, holders in zip(ids, texts, shingles, firsts, strict=True):
-            if known is not None and text is not None:
-                own = shingles_of(text).view(np.int64)
-                shared, first = _firsts(own, known, holders)
-                spans = [(a, b + SHINGLE - 1) for a, b in similar_stretches(shared & (first < doc_id), least)]
-                text = _cut(text, spans) if spans else text
-            made.append(text)
-        return pd.Series(made, dtype=object)
+    @lean
+    def texts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            made = []
+            for doc_id, text, known, holders in zip(*columns, strict=True):
+                if known is not None and text is not None:
+                    own = shingles_of(text).view(np.int64)
+                    shared, first = _firsts(own, known, holders)
+                    spans = [(a, b + SHINGLE - 1) for a, b in similar_stretches(shared & (first < doc_id), least)]
+                    text = _cut(text, spans) if spans else text
+                made.append(text)
+            yield pd.Series(made, dtype=object)
 
     return F.pandas_udf(texts, T.StringType())
 

@@ -9,15 +9,16 @@ each fingerprint, joined on equality. Candidates then pass the chain budgets bef
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from burnish.llm.common import lower_words
+from burnish.llm.common import lean, lower_words, sized
 from burnish.llm.components import components
 from burnish.operators.columns import col
 from burnish.sources.shared import written
@@ -46,8 +47,10 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8"))
+@lean
+def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series(np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8"))
 
 
 def _signed(mask: int) -> int:
@@ -89,14 +92,14 @@ def linked(classes: DataFrame) -> DataFrame:
     keys = written(keys, "keys")
     hot = keys.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_IN_KEY)
     hot = written(hot.select("slot", "key"), "hot")
-    cold = keys.join(hot, ["slot", "key"], "left_anti")
+    cold = keys.join(sized(hot), ["slot", "key"], "left_anti")
     on = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))
     pairs = cold.alias("a").join(cold.alias("b"), on)
     for k in range(SEGMENTS):
         chain = F.array(*[F.lit(_signed(c[k])) for c in chains])
         pairs = pairs.where(_differ(F.get(chain, F.col("a.slot"))) <= (k + 1) * MAX_BITS // SEGMENTS)
     pairs = pairs.where(_differ() <= MAX_BITS).select(F.col("a.first_id").alias("x"), F.col("b.first_id").alias("y"))
-    crowded = keys.join(hot, ["slot", "key"], "left_semi").select("fp", "first_id").distinct()
+    crowded = keys.join(sized(hot), ["slot", "key"], "left_semi").select("fp", "first_id").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << k)) for k in range(BITS)])
     meetings = (
         crowded.select("first_id", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("middle"))
@@ -120,9 +123,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = written(docs.select("doc_id", _fingerprints("text").alias("fp")), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     roots = components(linked(classes.where("first_id is not null")))
-    classes = classes.join(roots, F.col("first_id") == F.col("node"), "left")
+    classes = classes.join(sized(roots), F.col("first_id") == F.col("node"), "left")
     classes = written(classes.select("fp", F.coalesce("root", "first_id").alias("component_id")), "roots")
-    return marked.join(classes, "fp").select(
+    return marked.join(sized(classes), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -130,12 +133,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one for each; all columns as they are.
 
-    Rows with a null id name no component and stay. Of several rows with the first id one stays.
+    Rows with a null id name no component and stay. Of several rows with the first id one stays, by hashes of the
+    text and of the row; these combine in each task, so that an id on very many rows loads no task.
     """
     first = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id")
-    first = first.select(F.col("doc_id").alias("_first_id")).distinct()
-    row = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_order"), F.struct(*[col(c) for c in docs.columns]).alias("_row"))
-    row = row.join(first, F.col("doc_id") == F.col("_first_id"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("_order"))
-    one = row.withColumn("_nth", nth).where("_nth = 1").select("_row.*")
-    return one.union(docs.where("doc_id is null"))
+    first = written(first.groupBy(F.col("doc_id").alias("_first_id")).agg(F.count(F.lit(1)).alias("_rows")), "firsts")
+    same = F.col("doc_id") == F.col("_first_id")
+    single = docs.join(sized(first.where("_rows = 1").select("_first_id")), same, "left_semi")
+    row = F.struct(*[col(c) for c in docs.columns])
+    order = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.to_json(row)).alias("b"))
+    repeated = docs.select("doc_id", row.alias("_row"), order.alias("_order"))
+    repeated = repeated.join(sized(first.where("_rows > 1").select("_first_id")), same, "left_semi")
+    repeated = repeated.groupBy("doc_id").agg(F.min_by("_row", "_order").alias("_row"))
+    return single.union(repeated.select("_row.*")).union(docs.where("doc_id is null"))

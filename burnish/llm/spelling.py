@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burnish.llm.common import lean, mixed
-from burnish.operators import lookup
+from burnish.llm.common import lean, mixed, sized
 from burnish.sources.shared import written
 
 LEAST_LENGTH, LEAST_COUNT = 6, 5
@@ -165,11 +164,6 @@ def _reduced(word):
     return F.translate(word, "".join(map(chr, letters)), "".join(chr(96 + int(_SYMBOL[b])) for b in letters))
 
 
-def _broadcast_if_small(table: DataFrame) -> DataFrame:
-    size = table.agg(F.sum(lookup.row_bytes(table))).first()[0] or 0
-    return F.broadcast(table) if size <= lookup.BROADCAST_BYTES else table.hint("merge")
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, other, other_n) of all ordered pairs of ``words(word, n)`` that differ by exactly one code point."""
     keyed = written(words.select("word", "n", _reduced_keys("word").alias("key")), "reduced")
@@ -177,7 +171,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     vocabulary = written(vocabulary.select("word", "key"), "vocabulary")
     known = written(vocabulary.select(F.col("key").alias("near_key")).distinct(), "reduced-keys")
     spread = vocabulary.select("word").repartition("word")
-    links = spread.mapInArrow(_neighbours, "key long, near_key long").join(_broadcast_if_small(known), "near_key", "left_semi")
+    links = spread.mapInArrow(_neighbours, "key long, near_key long").join(sized(known), "near_key", "left_semi")
     links = written(links, "links")
     left = links.join(keyed.hint("merge"), "key").select("near_key", "word", "n")
     right = keyed.select(F.col("key").alias("near_key"), F.col("word").alias("other"), F.col("n").alias("other_n"))
@@ -189,7 +183,7 @@ def roots_of(forms: DataFrame) -> DataFrame:
     """(word, root) of ``forms(word, form)``, whose chains end: pointers are doubled until all stand at the end."""
     current, open_ = written(forms.select("word", F.col("form").alias("root")), "roots"), 1
     while open_:
-        steps = _broadcast_if_small(current.select(F.col("word").alias("root"), F.col("root").alias("beyond")))
+        steps = sized(current.select(F.col("word").alias("root"), F.col("root").alias("beyond")))
         moved = current.join(steps, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
         moved = written(moved, "roots")
         open_ = moved.where("moved").limit(1).count()

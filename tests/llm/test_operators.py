@@ -373,6 +373,14 @@ def test_licenses(spark, docs, odd, empty):
 # -- 8 top-k
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Every row is a candidate and a query by itself, also where ids repeat."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [3.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 0.0])]
+    got = [tuple(r) for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).orderBy("rank").collect()]
+    unit = 1024 * 1024
+    assert got == [(0, 1, 1, 5 * unit), (0, 2, 1, 5 * unit), (0, 3, 2, 3 * unit), (0, 4, 1, unit)]
+
+
 def test_top_k(spark):
     draw = np.random.default_rng(4)
     base = draw.standard_normal((700, 6)).round(2)
