@@ -23,6 +23,33 @@ def test_unique_columns_are_identifiers(spark, n):
     assert (found["id"], found["h"]) == ("identifier", "identifier") and found["few"] != "identifier"
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_kinds_do_not_depend_on_the_number_of_rows(spark, exact):
+    """The same columns at three sizes: twenty or forty values, skewed ones, a pool of thousands, unique text."""
+    found = []
+    for n in (150, 1500, 60_000):
+        frame = spark.range(n).selectExpr(
+            "concat('segment ', pmod(xxhash64(id), 20)) AS twenty", "concat('v ', pmod(xxhash64(id, 1), 40)) AS forty",
+            "if(id % 10 < 7, 'usual', concat('other ', id)) AS skewed", "concat('n ', pmod(xxhash64(id, 2), 4000)) AS pool",
+            "concat('Person ', id) AS person", "concat(repeat('word ', 30), pmod(id, 3)) AS long_few",
+        )
+        found.append({r.column: r.kind for r in kinds.column_kinds(frame, exact).collect()})
+    assert found[0] == found[1] == found[2] == {
+        "twenty": "category_text", "forty": "category_text", "skewed": "category_text", "pool": "name",
+        "person": "name", "long_few": "category_text",
+    }
+
+
+def test_expected_distinct_is_that_of_all_draws(spark):
+    from itertools import combinations
+
+    cells = "aaabbcdd"
+    want = [len({cells[i] for i in d}) for d in combinations(range(8), 3)]
+    counted = spark.createDataFrame([(0, v, cells.count(v)) for v in set(cells)], "position int, h string, n long")
+    assert kinds.expected_distinct(counted, 3).first().expected == pytest.approx(sum(want) / len(want))
+    assert kinds.expected_distinct(counted, 100).first().expected == pytest.approx(4)
+
+
 def test_proposals_for_other_types(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
     rows = [("id", "1", "999", 0.99), ("id", "2", "abc", 0.99), ("t", "b", "B", 0.99), ("id", "x", "1", 0.99)]

@@ -185,7 +185,7 @@ def _kind_sql(source: str, position: int, column: str, dates: str = "0") -> str:
 @query("column_kinds", "dirty_documents", " UNION ALL ".join(
     _kind_sql("dirty_documents", i, c) for i, c in enumerate(["doc_id", "text", "Lang", "source", "n_chars"])))
 def column_kinds(spark, sf_dir):
-    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents"), exact=True)
+    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents"), exact=True, rule="share")
 
 
 _BY_DEFAULT = ("position", "column", "row_count", "missing_cells", "min_length", "max_length", "kind")
@@ -195,7 +195,7 @@ _BY_DEFAULT = ("position", "column", "row_count", "missing_cells", "min_length",
     _kind_sql("dirty_documents", i, c) for i, c in enumerate(["doc_id", "text", "Lang", "source", "n_chars"])) + ")")
 def column_kinds_default(spark, sf_dir):
     """Without the counts of distinct values, which are estimates where they are far from a threshold."""
-    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents")).select(*_BY_DEFAULT)
+    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents"), rule="share").select(*_BY_DEFAULT)
 
 
 _ORDER_KIND_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "day"]
@@ -205,7 +205,31 @@ _ORDER_KIND_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "day"]
     + " UNION ALL ".join(_kind_sql("days", i, c, "count(*)" if c == "day" else "0") for i, c in enumerate(_ORDER_KIND_COLUMNS)))
 def column_kinds_dates(spark, sf_dir):
     days = view(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return kinds.column_kinds(days.select(*_ORDER_KIND_COLUMNS), exact=True)
+    return kinds.column_kinds(days.select(*_ORDER_KIND_COLUMNS), exact=True, rule="share")
+
+
+def _drawn_kinds_sql(source: str, columns: list[str]) -> str:
+    """The kinds with categories told by what 100 drawn cells are expected to hold, straight from the counts."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS position, {c}::VARCHAR AS v FROM {source} WHERE {c} IS NOT NULL" for i, c in enumerate(columns))
+    return f"""SELECT k.* EXCLUDE (kind, distinct_values), CASE WHEN kind NOT IN ('category_text', 'name', 'text') THEN kind
+    WHEN expected <= 0.5 * least(100, cells) + 1e-9 THEN 'category_text' WHEN max_length <= 60 THEN 'name' ELSE 'text' END AS kind
+  FROM ({" UNION ALL ".join(_kind_sql(source, i, c) for i, c in enumerate(columns))}) k LEFT JOIN (
+    SELECT position, any_value(cells) AS cells, sum(1 - list_reduce(list_prepend(1.0::DOUBLE,
+      list_transform(range(least(100, cells)::BIGINT), lambda i: greatest(cells - n - i, 0)::DOUBLE / (cells - i)::DOUBLE)), lambda a, b: a * b)) AS expected
+    FROM (SELECT position, v, count(*) AS n, sum(count(*)) OVER (PARTITION BY position)::BIGINT AS cells FROM ({cells}) GROUP BY position, v)
+    GROUP BY position) e ON k.position = e.position"""
+
+
+@query("column_kinds_drawn", "dirty_documents", _drawn_kinds_sql("dirty_documents", ["doc_id", "text", "Lang", "source", "n_chars"]))
+def column_kinds_drawn(spark, sf_dir):
+    """The rule that does not depend on the number of rows; counts of distinct values are estimates and left out."""
+    return kinds.column_kinds(view(spark, sf_dir, "dirty_documents")).drop("distinct_values")
+
+
+@query("column_kinds_drawn_customer", "dirty_customer", _drawn_kinds_sql("dirty_customer", ["c_custkey", "FullName", "mkt_segment"]))
+def column_kinds_drawn_customer(spark, sf_dir):
+    customers = view(spark, sf_dir, "dirty_customer").select("c_custkey", "FullName", "mkt_segment")
+    return kinds.column_kinds(customers, exact=True).drop("distinct_values")
 
 
 # One proposal per lower-case segment: accept, review and reject.
