@@ -14,6 +14,7 @@ from burnish.functions.text import FILE_NULL_TOKENS, is_missing
 from burnish.operators.actions import null_tokens_to_null
 from burnish.operators.columns import col, groups_of, text_fields
 from burnish.operators.kinds import NUMBER_PATTERN
+from burnish.sources.quoted import larger_than_a_split, records
 from burnish.sources.shared import written
 
 # Delimiters looked for, in order of preference, and the two encodings.
@@ -173,9 +174,46 @@ def _too_long(width: int, sep: str) -> Column:
     return F.col(_MALFORMED).isNotNull() & (cells > width)
 
 
+def _header_cells(spark: SparkSession, header: str, options: dict[str, str]) -> list[str]:
+    first = spark.read.options(**options).csv(spark.sparkContext.parallelize([header], 1)).first()
+    return [c or "" for c in first] if first else []
+
+
+def _read_by_blocks(spark: SparkSession, paths: str | list[str], sep: str, encoding: str, on_long_rows: str) -> DataFrame:
+    """Files with line breaks in fields, cut into records by many tasks; those of different headers united by name."""
+    options = _csv_options(sep, "UTF-8", False)
+    found = records(spark, paths, sep, encoding)
+    heads = written(found.where("header").select("file", F.col("record").alias("head")), "headers")
+    headers = [row["head"] for row in heads.select("head").distinct().orderBy("head").collect()]  # one row per different header
+    case_sensitive = spark.conf.get("spark.sql.caseSensitive") == "true"
+    tables = []
+    for header in headers:
+        rows = found.where("NOT header")
+        if len(headers) > 1:
+            rows = rows.join(heads.where(F.col("head") == header).select("file").hint("broadcast"), "file", "left_semi")
+        names = file_column_names(_header_cells(spark, header, options), case_sensitive)
+        schema = ", ".join([*(f"c{i} STRING" for i in range(len(names))), f"{_MALFORMED} STRING"])
+        cells = rows.select(F.from_csv("record", schema, options | {"columnNameOfCorruptRecord": _MALFORMED}).alias("cells")).select("cells.*")
+        checked = cells if on_long_rows == "cut" else _without_long_rows(cells, len(names), sep)
+        tables.append(checked.drop(_MALFORMED).toDF(*names))
+    if not tables:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def _without_long_rows(rows: DataFrame, width: int, sep: str) -> DataFrame:
+    """``rows``, whose first column stands beside the malformed record, or an error for a record that is too long."""
+    # Spark wants a column of the file next to the malformed one, even for a count.
+    start = F.concat(F.coalesce(col(rows.columns[0]), F.lit("")), F.lit(" ..., line: "), F.col(_MALFORMED))
+    message = F.concat(F.lit(f"a row has more than {width} cells: "), start)
+    return rows.where(F.when(_too_long(width, sep), F.raise_error(message).cast("boolean")).otherwise(True))
+
+
 def _read_group(
-    spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool, on_long_rows: str
+    spark: SparkSession, paths: str | list[str], sep: str, encoding: str, multi_line: bool, on_long_rows: str, by_blocks: bool | None
 ) -> DataFrame:
+    if multi_line and (larger_than_a_split(spark, paths) if by_blocks is None else by_blocks):
+        return _read_by_blocks(spark, paths, sep, encoding, on_long_rows)
     options = _csv_options(sep, encoding, multi_line)
     header = _read_header(spark, paths if isinstance(paths, str) else paths[0], options)
     names = file_column_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
@@ -184,7 +222,7 @@ def _read_group(
     # With plain names Spark compares the header of every file; else files are parted by their headers.
     plain = names == header and _MALFORMED not in names
     if not plain and len(parts := _by_header(spark, paths, options)) > 1:
-        tables = [_read_group(spark, part, sep, encoding, multi_line, on_long_rows) for part in parts]
+        tables = [_read_group(spark, part, sep, encoding, multi_line, on_long_rows, False) for part in parts]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     columns = names if plain else [f"c{i}" for i in range(len(names))]
     fields = [T.StructField(c, T.StringType()) for c in columns]
@@ -193,11 +231,7 @@ def _read_group(
         return reader.schema(T.StructType(fields)).csv(paths).toDF(*names)
     fields.append(T.StructField(_MALFORMED, T.StringType()))
     rows = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", _MALFORMED).csv(paths)
-    # Spark wants a column of the file next to the malformed one, even for a count.
-    start = F.concat(F.coalesce(col(columns[0]), F.lit("")), F.lit(" ..., line: "), F.col(_MALFORMED))
-    message = F.concat(F.lit(f"a row has more than {len(names)} cells: "), start)
-    checked = rows.where(F.when(_too_long(len(names), sep), F.raise_error(message).cast("boolean")).otherwise(True))
-    return checked.drop(_MALFORMED).toDF(*names)
+    return _without_long_rows(rows, len(names), sep).drop(_MALFORMED).toDF(*names)
 
 
 def _file_groups(
@@ -233,6 +267,7 @@ def read_delimited(
     encoding: str | None = None,
     *,
     multi_line: bool | None = None,
+    by_blocks: bool | None = None,
     null_tokens: tuple[str, ...] | None = FILE_NULL_TOKENS,
     on_long_rows: str = "fail",
     infer: bool = False,
@@ -241,7 +276,8 @@ def read_delimited(
 
     What is not given is found by :func:`inspect_files`. Files that differ in delimiter, encoding or
     line breaks in fields are read in groups and united by column name; files without such line
-    breaks stay splittable. Short rows are padded with nulls; a row longer than the header fails the
+    breaks stay splittable. Files with line breaks or odd quotes are cut into records block by block
+    (:func:`burnish.sources.quoted.records`) where one is larger than a split, or with ``by_blocks``. Short rows are padded with nulls; a row longer than the header fails the
     query, or is cut with ``on_long_rows='cut'``, which also lets Spark parse only the columns in
     use. Files of a group must have the same header, which
     is checked unless the header has blank or repeated names.
@@ -249,7 +285,7 @@ def read_delimited(
     if on_long_rows not in ("fail", "cut"):
         raise ValueError("on_long_rows must be 'fail' or 'cut'")
     groups = _file_groups(spark, paths, sep, encoding, multi_line)
-    parts = [_read_group(spark, files, *kind, on_long_rows) for kind, files in groups.items()]
+    parts = [_read_group(spark, files, *kind, on_long_rows, by_blocks) for kind, files in groups.items()]
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if null_tokens:
         table = null_tokens_to_null(table, null_tokens)

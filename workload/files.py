@@ -137,3 +137,15 @@ def read_mixed_folder(spark, sf_dir):
     _write_lines(documents.where("doc_id % 2 = 0"), ["doc_id", "lang", "source"], "doc_id,,source", f"{path}/even ids")
     _write_lines(documents.where("doc_id % 2 = 1"), ["source", "lang", "doc_id"], "source,,doc_id", f"{path}/odd ids")
     return read_delimited(spark, [f"{path}/even ids", f"{path}/odd ids"])
+
+
+@query("read_quoted_blocks", "", """
+SELECT doc_id::VARCHAR AS doc_id, doc_id || '" disc' AS size, lang, source, text, n_chars::VARCHAR AS n_chars FROM documents""")
+def read_quoted_blocks(spark, sf_dir):
+    """Whole texts in quoted fields after a stray quote on every line, cut into records block by block."""
+    path, documents = new_path(spark, "csv"), view(spark, sf_dir, "documents")
+    size = F.concat(F.col("doc_id").cast("string"), F.lit('" disc'))
+    text = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = documents.select("doc_id", size.alias("size"), "lang", "source", text.alias("text"), "n_chars")
+    _write_lines(rows, rows.columns, ",".join(rows.columns), path)
+    return read_delimited(spark, path, ",", UTF8, multi_line=True, by_blocks=True, null_tokens=None)
