@@ -21,6 +21,9 @@ REVIEW = 0.75
 
 _PROPOSALS = "_proposals"
 
+RANGE_ROWS = (65536, 256, 16)  # rows of the ranges that audit_log compares, about
+_ORDERED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType)
+
 
 def attach_proposals(
     df: DataFrame, value_map: DataFrame, accept: float = ACCEPT, review: float = REVIEW
@@ -124,32 +127,79 @@ def audit_projection(df: DataFrame, key: list[str], changes: dict[str, Column],
     return df.select(*[col(k) for k in key], F.inline(listed)).withColumn("source", F.lit(source))
 
 
-def _changed_keys(before: DataFrame, after: DataFrame, key: list[str], names: list[str]) -> DataFrame:
-    """Keys (k0, k1, ...) whose rows are not the same single row on both sides, by fingerprints."""
+def _digests(before: DataFrame, after: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """(k0, k1, ..., place, sign, h1, h2) of all rows: 1 for old and -1 for new ones, and a fingerprint of the cells.
 
-    def side(df: DataFrame, label: str) -> DataFrame:
+    ``place`` orders the rows: a single whole number, date or time by its value, other keys by a hash.
+    """
+    ordered = len(key) == 1 and isinstance(before.schema[key[0]].dataType, _ORDERED)
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
         cells = [col(n).cast("string") for n in names]
         first, second = fingerprint(*cells, *[c.isNull() for c in cells])
+        number = col(key[0])
+        number = F.unix_micros(number.cast("timestamp")) if isinstance(df.schema[key[0]].dataType, (T.DateType, T.TimestampType)) else number.cast("long")
+        place = number if ordered else F.xxhash64(*[col(k).cast("string") for k in key])
         keys = [col(k).alias(f"k{i}") for i, k in enumerate(key)]
-        return df.select(*keys, first.alias(f"{label}1"), second.alias(f"{label}2"))
+        return df.select(*keys, F.coalesce(place, F.lit(0)).alias("place"), F.lit(sign).alias("sign"), first.alias("h1"), second.alias("h2"))
 
-    hashes = ["old1", "old2", "new1", "new2"]
-    grouped = (
-        side(before, "old")
-        .unionByName(side(after, "new"), allowMissingColumns=True)
-        .groupBy(*[f"k{i}" for i in range(len(key))])
-        .agg(
-            F.count("old1").alias("n_old"),
-            F.count("new1").alias("n_new"),
-            *[F.min(h).alias(f"low_{h}") for h in hashes],
-            *[F.max(h).alias(f"high_{h}") for h in hashes],
-        )
-    )
-    same = F.col("n_old") == F.col("n_new")
-    for i in (1, 2):
-        for other in (f"high_old{i}", f"low_new{i}", f"high_new{i}"):
-            same = same & F.col(f"low_old{i}").eqNullSafe(F.col(other))
-    return grouped.where(~same).select(*[f"k{i}" for i in range(len(key))])
+    return side(before, 1).unionByName(side(after, -1))
+
+
+def _signed_sums(*hashes: Column) -> list[Column]:
+    """s0, s1, ...: the count and the sums of 20 bits of the hashes each, which 10^12 rows cannot overflow."""
+    parts = [F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << 20) - 1).cast("long")) for h in hashes for at in (40, 20, 0)]
+    sign = F.col("sign").cast("long")
+    return [F.sum(p).alias(f"s{i}") for i, p in enumerate([sign, *(sign * p for p in parts)])]
+
+
+def _differing_rows(digests: DataFrame) -> DataFrame:
+    """The digests in the smallest ranges of places whose rows differ between the sides.
+
+    A range's fingerprint is the sum over its rows, old ones plus and new ones minus, so equal ranges give zero.
+    Ranges are compared from large to small, the smaller ones only inside of those that differ. Tasks add up
+    their rows first: a table whose files hold ranges of the key sends a record for each range. Where they
+    hold rows from everywhere, small ranges would send as much as rows do, and only the large ones are compared.
+    """
+    whole = digests.agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("low"), F.max("place").alias("high")).first()
+    if not whole.n:
+        return digests
+    # The key takes part, so that cells that move from one key to another are seen.
+    keys = [c for c in digests.columns if c.startswith("k")]
+    mixed = F.xxhash64(*keys, "h1", "h2")
+    sums = _signed_sums(mixed)
+    again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(len(sums))]
+    differ = F.expr(" OR ".join(f"s{i} != 0" for i in range(len(sums))))
+    current = digests
+    for rows in RANGE_ROWS:
+        shift = max(0, ((whole.high - whole.low + 1) * rows // whole.n).bit_length() - 1)
+        node = F.shiftright("place", min(shift, 63))
+        if current is digests:
+            tasks = written(digests.groupBy(node.alias("node"), F.spark_partition_id().alias("task")).agg(*sums), "ranges")
+            spread = tasks.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("node").alias("nodes"), F.countDistinct("task").alias("tasks")).first()
+            found = tasks.groupBy("node").agg(*again)
+        else:
+            found = current.groupBy(node.alias("node")).agg(*sums)
+        found = written(found.where(differ).select("node"), "differing")
+        current = digests.join(_sized(found), node == F.col("node"), "left_semi")
+        if spread.records > 2 * (spread.nodes + spread.tasks):
+            break
+    return current
+
+
+def _sized(stored: DataFrame) -> DataFrame:
+    """A stored table for a join, broadcast if its measured size allows."""
+    size = stored.agg(F.sum(lookup.row_bytes(stored))).first()[0] or 0
+    return F.broadcast(stored) if size <= lookup.BROADCAST_BYTES else stored.hint("merge")
+
+
+def _changed_keys(before: DataFrame, after: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Keys (k0, k1, ...) whose rows are not the same on both sides, by fingerprints."""
+    digests = written(_digests(before, after, key, names), "digests")
+    keys = [f"k{i}" for i in range(len(key))]
+    sums = _signed_sums(F.col("h1"), F.col("h2"))
+    grouped = _differing_rows(digests).groupBy(*keys).agg(*sums)
+    return grouped.where(" OR ".join(f"s{i} != 0" for i in range(len(sums)))).select(*keys)
 
 
 def _only_changed(
@@ -157,11 +207,9 @@ def _only_changed(
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables cut down to the changed keys, whose list is broadcast if its measured size allows."""
     changed = written(_changed_keys(before, after, key, names), "changed")
-    size = changed.agg(F.sum(lookup.row_bytes(changed))).first()[0] or 0
-    listed = changed.toDF(*[f"_changed{i}" for i in range(len(key))])
+    listed = _sized(changed.toDF(*[f"_changed{i}" for i in range(len(key))]))
     matches = [col(k).eqNullSafe(F.col(f"_changed{i}")) for i, k in enumerate(key)]
     condition = reduce(and_, matches)
-    listed = F.broadcast(listed) if size <= lookup.BROADCAST_BYTES else listed
     return tuple(df.join(listed, condition, "left_semi") for df in (before, after))
 
 
@@ -170,18 +218,21 @@ def audit_log(
 ) -> DataFrame:
     """One row per changed cell: key, change, column, old_value, new_value, source.
 
-    With ``stored``, for tables that give the same rows each time they are read, a first pass over
-    fingerprints finds the changed keys and only their rows are shuffled and compared. Otherwise
-    both tables are read once and compared whole.
+    Tables that are not ``stored``, that is, might not give the same rows each time they are read, are written
+    to the shared folder first. Then fingerprints of ranges of the key are compared from large to small ranges
+    (:func:`_differing_rows`), and only rows of changed keys are shuffled and compared. A key whose rows are the
+    same on both sides has not changed, also if they differ among each other.
 
-    Both tables are stacked and grouped by key once, so a key with many copies combines before the
+    What is left of both tables is stacked and grouped by key once, so a key with many copies combines before the
     shuffle and no pairs of copies are formed. ``change`` is ``cell`` for a changed cell, ``added``
     or ``removed`` for a key found on one side only, ``copies`` for a changed number of equal
     copies, and ``ambiguous`` for a key whose copies differ, which cannot be matched one to one.
     """
     names = [c for c in before.columns if c in after.columns and c not in key]
-    if stored:
-        before, after = _only_changed(before, after, key, names)
+    if not stored:
+        wanted = [col(c) for c in dict.fromkeys([*key, *names])]
+        before, after = written(before.select(*wanted), "before"), written(after.select(*wanted), "after")
+    before, after = _only_changed(before, after, key, names)
 
     def side(df: DataFrame, after_side: bool) -> DataFrame:
         row = F.struct(*[col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
