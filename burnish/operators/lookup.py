@@ -16,7 +16,7 @@ from burnish.sources.shared import written
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_VALUES = 1000  # at most this many values are spread
 HOT_SHARE = 0.001  # a value in more than this share of the rows is hot
-SPREAD = 64  # tasks a hot value is spread over
+LANES = 32  # lanes of a hot value for each even task that its rows would fill; more are more even
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -50,30 +50,44 @@ def hot_values(df: DataFrame, name: str, at_least: int = 0) -> DataFrame:
     )
 
 
+def lanes_of(df: DataFrame, name: str) -> DataFrame:
+    """(_hot, _lanes): how many lanes each frequent value of a column, null too, is spread over.
+
+    A lane holds about a LANES-th of what an even task of the shuffle would, whatever the value's share of the
+    rows is, so that tasks come out even.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.expr(f"approx_top_k({quoted(name)}, {HOT_VALUES}, {HOT_VALUES * 10})")
+    counted = df.agg(top.alias("top"), F.count(F.lit(1)).alias("n"), F.count_if(col(name).isNull()).alias("nulls"))
+    nulls = F.array(F.struct(F.lit(None).cast(df.schema[name].dataType).alias("item"), F.col("nulls").alias("count")))
+    values = F.filter("top", lambda x: x["item"].isNotNull())
+    every = counted.select("n", F.inline(F.concat(values, nulls)))
+    lanes = F.ceil(F.col("count") * tasks * LANES / F.col("n")).cast("int")
+    return every.where(F.col("count") > F.col("n") * HOT_SHARE).select(F.col("item").alias("_hot"), lanes.alias("_lanes"))
+
+
 def _spread_join(df: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Left join on _probe = _key; rows with a hot or null probe go to SPREAD tasks each.
+    """Left join on _probe = _key; rows with a hot or null probe go to as many lanes as their number asks for.
 
-    The hot values are written first, because both sides must agree on them. The salt is the number
-    of the row's partition, so a task that runs again after a loss salts its rows the same way.
+    The lanes are written first, because both sides must agree on them. A row's lane comes from the number of its
+    partition and its cells, so a task that runs again after a loss deals its rows the same way, in any order.
     """
-    hot = written(hot_values(df, "_burnish_probe"), "hot")
-    lane = F.pmod(F.spark_partition_id(), F.lit(SPREAD)) + 1
-    spread = F.when(F.col("_hot").isNotNull() | F.col("_burnish_probe").isNull(), lane).otherwise(0)
+    hot = written(lanes_of(df, "_burnish_probe"), "hot")
+    cells = [col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    lane = F.pmod(F.xxhash64(F.spark_partition_id(), *cells), F.col("_lanes")) + 1
     left = (
-        df.join(F.broadcast(hot), F.col("_burnish_probe") == F.col("_hot"), "left")
-        .withColumn("_salt", spread.cast("int"))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(
-        F.array(F.lit(0))
+        df.join(F.broadcast(hot), F.col("_burnish_probe").eqNullSafe(F.col("_hot")), "left")
+        .withColumn("_salt", F.when(F.col("_lanes").isNotNull(), lane).otherwise(0).cast("int"))
+        .drop("_hot", "_lanes")
     )
+    copies = F.when(F.col("_lanes").isNotNull(), F.sequence(F.lit(1), F.col("_lanes"))).otherwise(F.array(F.lit(0)))
     right = (
         mapping.join(F.broadcast(hot), F.col("_burnish_key") == F.col("_hot"), "left")
         .withColumn("_copy", F.explode(copies))
-        .drop("_hot")
+        .drop("_hot", "_lanes")
     )
     same = (F.col("_burnish_probe") == F.col("_burnish_key")) & (F.col("_salt") == F.col("_copy"))
-    return left.join(right, same, "left").drop("_salt", "_copy")
+    return left.join(right.hint("merge"), same, "left").drop("_salt", "_copy")
 
 
 def attach(df: DataFrame, probe: Column, mapping: DataFrame, mapping_bytes: int, out: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnish.functions.values import normalize_date
-from burnish.operators import kinds, profile, review
+from burnish.operators import kinds, lookup, profile, review
 from burnish.plans import analyze
 from burnish.sources.delimited import read_delimited
 
@@ -78,3 +78,27 @@ def test_headers_with_blanks_in_two_orders(spark, tmp_path):
     (tmp_path / "c 3.csv").write_text("x;y\n7;9\n")
     rows = read_delimited(spark, str(tmp_path)).select("x", "y").collect()
     assert sorted(tuple(r) for r in rows) == [("1", "3"), ("10", "30"), ("7", "9")]
+
+
+@pytest.mark.parametrize("share", [0.33, 0.9])
+def test_a_hot_key_is_spread_evenly(spark, share):
+    """A value and null with a large part of the rows: tasks of the join come out even, copies of rows included."""
+    n = 60_000
+    cell = f"CASE WHEN id < {n * share / 2} THEN 'hot' WHEN id < {n * share} THEN NULL ELSE concat('v', id) END"
+    frame = spark.range(n).selectExpr(f"{cell} AS v", "id DIV 4 AS twice")
+    mapping = spark.range(n).selectExpr("concat('v', id) AS _burnish_key", "id AS new").union(spark.createDataFrame([("hot", -1)], "a string, b long"))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        spark.conf.set(names[0], "12")
+        spark.conf.set(names[1], "false")
+        joined = lookup.attach(frame, F.col("v"), mapping, lookup.BROADCAST_BYTES + 1, "found")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        facts = joined.agg(F.count(F.lit(1)), F.count_if(F.col("found.new") == -1), F.count("found.new")).first()
+    finally:
+        for x, value in zip(names, before, strict=True):
+            spark.conf.set(x, value)
+    hot = sum(1 for i in range(n) if i < n * share / 2)
+    nulls = sum(1 for i in range(n) if n * share / 2 <= i < n * share)
+    assert tuple(facts) == (n, hot, n - nulls)
+    assert len(sizes) == 12 and max(sizes) < 1.8 * n / 12

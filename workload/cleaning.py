@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from burnish.functions import text, values
-from burnish.operators import actions, batches, kinds, review
+from burnish.operators import actions, batches, kinds, lookup, review
 from burnish.operators.columns import col
 from burnish.plans import propose
 from burnish.sources.shared import written
@@ -260,6 +260,18 @@ def apply_value_map(spark, sf_dir):
     return review.apply_value_map(customers, value_map(customers))
 
 
+@query("attach_skewed", "skewed_orders", """
+SELECT s.order_id, s.status, p.priority FROM skewed_orders s LEFT JOIN (
+  SELECT o_orderkey::VARCHAR AS key, o_orderpriority AS priority FROM orders WHERE o_orderkey % 2 = 0) p ON s.order_id::VARCHAR = p.key""")
+def attach_skewed(spark, sf_dir):
+    """A third of the rows has one key; joined the way that is taken where the replacements are too large to broadcast."""
+    keyed = F.col("o_orderkey").cast("string").alias("_burnish_key")
+    mapping = view(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(keyed, F.col("o_orderpriority").alias("priority"))
+    rows = view(spark, sf_dir, "skewed_orders")
+    joined = lookup.attach(rows, F.col("order_id").cast("string"), mapping, lookup.BROADCAST_BYTES + 1, "found")
+    return joined.select("order_id", "status", "found.priority")
+
+
 @query("review_queue", "dirty_customer", f"""
 WITH {_PROPOSALS_SQL}
 SELECT c_custkey, FullName, mkt_segment, c_acctbal, 'mkt_segment: ' || old_value || ' -> ' || new_value AS review
