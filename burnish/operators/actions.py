@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from burnish.functions import text
 from burnish.operators import lookup
+from burnish.operators.bloom import bloom_filter, may_be_in
 from burnish.operators.columns import col, comparable, groups_of, stacked, text_fields
 from burnish.operators.lookup import attach, measured_bytes
 from burnish.operators.quality import cell_record, fingerprint, record_groups
@@ -94,7 +95,7 @@ def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     All values with the same stripped lower-case form belong together; the canonical spelling is
     the most frequent one, ties going to the smallest. ``slot`` is the position in ``columns``.
     A first pass over fingerprints finds the forms in question, so texts are shuffled for these
-    only (if the list is too large to broadcast, for all). All groupings combine in each task
+    only (if the list is too large to broadcast, for those that pass a Bloom filter of it). All groupings combine in each task
     first, so neither a frequent value nor a form with many spellings loads one task.
     """
     names = columns if columns is not None else [f.name for f in text_fields(df)]
@@ -105,10 +106,15 @@ def canonical_map(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "slot int, form string, new_value string")
     long = reduce(DataFrame.unionByName, [stacked(df, group, "slot:int,v:string") for group in groups_of(cells)])
     long = long.where(F.col("v").isNotNull())
+    first, second = fingerprint(text.normal_form(F.col("v")))
+    keyed = long.withColumns({"k1": first, "k2": second})
     if sum(found.values()) * FORM_BYTES <= lookup.BROADCAST_BYTES:
-        first, second = fingerprint(text.normal_form(F.col("v")))
-        keyed = long.withColumns({"k1": first, "k2": second})
         long = keyed.join(F.broadcast(forms), ["slot", "k1", "k2"], "left_semi")
+    else:
+        slotted = ["h1", "h2"]
+        hashes = {h: F.xxhash64("slot", k) for h, k in zip(slotted, ("k1", "k2"), strict=True)}
+        filtered = bloom_filter(forms.withColumns(hashes), sum(found.values()), slotted)
+        long = may_be_in(keyed.withColumns(hashes), slotted, *filtered)
     counted = long.groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
     most_frequent = F.min_by("v", F.struct((-F.col("n")).alias("rare"), "v"))
     return (

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnish.functions.values import normalize_date
-from burnish.operators import kinds, lookup, profile, review
+from burnish.operators import actions, bloom, kinds, lookup, profile, review
 from burnish.plans import analyze
 from burnish.sources.delimited import read_delimited
 
@@ -102,3 +102,32 @@ def test_a_hot_key_is_spread_evenly(spark, share):
     nulls = sum(1 for i in range(n) if n * share / 2 <= i < n * share)
     assert tuple(facts) == (n, hot, n - nulls)
     assert len(sizes) == 12 and max(sizes) < 1.8 * n / 12
+
+
+@pytest.mark.parametrize("most_bits", [1 << 29, 1 << 15])
+def test_bloom_filter_loses_none(spark, most_bits):
+    """All keys pass; of others few, or more where the filter may not grow."""
+    hashed = spark.range(50_000).select("id", F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    keys = hashed.where("id % 25 = 0")
+    made, n_bits = bloom.bloom_filter(keys, 2000, ["h1", "h2"], most_bits)
+    passed = [r.id for r in bloom.may_be_in(hashed, ["h1", "h2"], made, n_bits).collect()]
+    assert len(set(passed)) == len(passed) and {i for i in range(0, 50_000, 25)} <= set(passed)
+    assert len(passed) < 2000 + 48_000 * 0.03 and made.count() * bloom.PAGE_BITS >= n_bits
+    assert made.selectExpr("max(octet_length(bits)) AS n").first().n == bloom.PAGE_BITS // 8
+
+
+def test_texts_are_shuffled_for_candidate_forms_only(spark, monkeypatch):
+    """Past the size of a broadcast the mixed forms still cut down what is grouped; the answer is the same."""
+    rows = spark.range(20_000).selectExpr("if(id % 100 = 0, if(id % 200 = 0, 'Blue ', 'blue'), concat('Own ', id)) AS c")
+    want = sorted(map(tuple, actions.canonical_map(rows).collect()))
+    seen = []
+
+    def kept(df, *args):
+        found = bloom.may_be_in(df, *args)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(actions, "may_be_in", kept)
+    assert sorted(map(tuple, actions.canonical_map(rows).collect())) == want and want[0][1] == "blue"
+    assert 200 <= seen[0] < 1200
