@@ -70,41 +70,59 @@ def _hashable(field: T.StructField) -> Column:
     return value
 
 
-def _row_record(df: DataFrame) -> Column:
-    """``h`` is the number of missing cells. The hash skips nulls, so null positions are hashed too."""
+def _row_fingerprint(df: DataFrame) -> tuple[Column, Column]:
+    """The hash skips nulls, so null positions are hashed too."""
     values = [_hashable(f) for f in df.schema.fields]
-    first, second = fingerprint(F.lit(ROW), *values, *[v.isNull() for v in values])
-    return F.struct(
-        F.lit(ROW).alias("slot"), first.alias("k1"), second.alias("k2"), _missing_in_row(df).alias("h")
-    )
+    return fingerprint(F.lit(ROW), *values, *[v.isNull() for v in values])
 
 
-def cell_record(slot: int, name: str, edge: str) -> Column:
-    """``h`` is a 63-bit hash of the spelling, negative if it has edge whitespace, null for null."""
-    cell = col(name)
-    first, second = fingerprint(normal_form(cell))
+def _spelling(cell: Column, edge: str) -> Column:
+    """A 63-bit hash of the spelling, negative if it has edge whitespace, null for null."""
     spelling = F.shiftrightunsigned(F.xxhash64(cell), 1)
     signed = F.when(edge_whitespace(cell, edge), F.bitwise_not(spelling)).otherwise(spelling)
-    return F.struct(
-        F.lit(slot).alias("slot"), first.alias("k1"), second.alias("k2"),
-        F.when(cell.isNotNull(), signed).alias("h"),
+    return F.when(cell.isNotNull(), signed)
+
+
+def _all_records(df: DataFrame, names: list[str], edge: str) -> DataFrame:
+    """(slot, k1, k2, h) of each row, ``h`` being its number of missing cells, and of each cell of ``names``.
+
+    The cells go through one expression behind the generator, so that plans grow by a name for each column.
+    """
+    first, second = _row_fingerprint(df)
+    cells = F.array(F.lit(None).cast("string"), *[col(n) for n in names])
+    long = df.select(first.alias("r1"), second.alias("r2"), _missing_in_row(df).alias("missing"), F.posexplode(cells).alias("slot", "v"))
+    of_row, cell = F.col("slot") == ROW, F.col("v")
+    k1, k2 = fingerprint(normal_form(cell))
+    return long.select(
+        "slot", F.when(of_row, F.col("r1")).otherwise(k1).alias("k1"), F.when(of_row, F.col("r2")).otherwise(k2).alias("k2"),
+        F.when(of_row, F.col("missing").cast("long")).otherwise(_spelling(cell, edge)).alias("h"),
     )
 
 
+def cell_record(slot: int, name: str, edge: str) -> Column:
+    cell = col(name)
+    first, second = fingerprint(normal_form(cell))
+    return F.struct(F.lit(slot).alias("slot"), first.alias("k1"), second.alias("k2"), _spelling(cell, edge).alias("h"))
+
+
 def record_groups(df: DataFrame, records: list[Column]) -> DataFrame:
     """(slot, k1, k2, n, low, high): equal rows or normal forms, with the range of their ``h``."""
+    return _grouped(stacked(df, records, _RECORD))
+
+
+def _grouped(records: DataFrame) -> DataFrame:
     return (
-        stacked(df, records, _RECORD)
+        records
         .where(F.col("h").isNotNull())
         .groupBy("slot", "k1", "k2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
     )
 
 
-def _hashed_groups(df: DataFrame, records: list[Column]) -> DataFrame:
+def _hashed_groups(df: DataFrame, names: list[str], edge: str) -> DataFrame:
     """Six numbers per group are shuffled; the flags are read off them afterwards."""
     of_rows = F.col("slot") == ROW
-    return record_groups(df, records).select(
+    return _grouped(_all_records(df, names, edge)).select(
         "slot",
         "n",
         F.when(of_rows, F.col("n") * F.col("low")).otherwise(0).alias("missing"),
@@ -151,14 +169,10 @@ def table_facts(df: DataFrame, edge: str = "both", exact: bool = False, cells: b
     columns are compared by their JSON. ``cells=False`` leaves the text slots out.
     """
     slots = [(i + 1, f.name) for i, f in enumerate(text_fields(df))] if cells else []
-    hashed_rows = not exact
-    parts = [] if hashed_rows else [_exact_rows(df)]
     if exact:
-        parts += [_exact_cells(df, group, edge) for group in groups_of(slots)]
+        parts = [_exact_rows(df)] + [_exact_cells(df, group, edge) for group in groups_of(slots)]
     else:
-        records = [_row_record(df)] if hashed_rows else []
-        records += [cell_record(slot, name, edge) for slot, name in slots]
-        parts += [_hashed_groups(df, group) for group in groups_of(records)]
+        parts = [_hashed_groups(df, [name for _, name in slots], edge)]
     grouped = reduce(DataFrame.unionByName, parts)
     return grouped.groupBy("slot").agg(
         F.sum("n").alias("n"),
