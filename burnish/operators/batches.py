@@ -26,6 +26,7 @@ from burnish.sources.shared import written
 BATCH_SIZE = 20  # fixed value: rows per call
 CALLS_PER_PACK = 32  # answers per Arrow batch that leaves a worker
 HOT_BATCHES = 1000  # rows of an id with more batches than this are ranked across tasks; batches are the same
+MOST_EXTRA = 500  # returned keys that become columns of their own
 RETRY_NOTE = "The last answer could not be used. Answer with one JSON list that has {n} items."
 
 # Microseconds and an offset, so passed-through rows come back unchanged.
@@ -296,17 +297,27 @@ def _decoded(exploded: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def extra_columns(result: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def extra_columns(result: DataFrame, keys: list[str] | None = None, most: int = MOST_EXTRA) -> DataFrame:
     """Turn the keys in ``_extra`` into text columns, null where a row has no such key.
 
-    Without ``keys`` they are collected first; the result is written to the shared folder for that,
-    so the transformer is not called again.
+    Without ``keys`` they are found first; the result is written to the shared folder for that, so the
+    transformer is not called again. If there are more than ``most`` different keys, as a transformer may invent
+    them, the frequent ones become columns and all others stay in ``_extra``, so nothing is lost. A sketch of
+    10 * ``most`` keys tells which keys are frequent for certain, at most ``most`` of them. The driver gets
+    at most ``most`` + 1 keys.
     """
-    if keys is None:
-        result = written(result, "batches")
-        found = result.select(F.explode(F.map_keys("_extra")).alias("key")).distinct()
-        keys = sorted(row["key"] for row in found.collect())  # one row per new column
-    return result.withColumns({k: F.try_element_at("_extra", F.lit(k)) for k in keys}).drop("_extra")
+    if keys is not None:
+        return result.withColumns({k: F.try_element_at("_extra", F.lit(k)) for k in keys}).drop("_extra")
+    result = written(result, "batches")
+    each = result.select(F.explode(F.map_keys("_extra")).alias("key"))
+    some = [row["key"] for row in each.distinct().limit(most + 1).collect()]
+    if len(some) <= most:
+        return extra_columns(result, sorted(some))
+    top = each.agg(F.expr(f"approx_top_k(key, {most}, {10 * most})").alias("top")).select(F.inline("top")).collect()
+    keys = sorted(row["item"] for row in top)
+    made = result.withColumns({k: F.try_element_at("_extra", F.lit(k)) for k in keys})
+    rest = F.map_filter("_extra", lambda k, _: ~k.isin(*keys) if keys else F.lit(True))
+    return made.withColumn("_extra", F.when(F.size(rest) > 0, rest))
 
 
 def explode_payloads(payloads: DataFrame, schema: T.StructType | str, column: str = "payload") -> DataFrame:

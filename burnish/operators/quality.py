@@ -119,10 +119,15 @@ def _grouped(records: DataFrame) -> DataFrame:
     )
 
 
-def _hashed_groups(df: DataFrame, names: list[str], edge: str) -> DataFrame:
+def record_counts(df: DataFrame, names: list[str], edge: str) -> DataFrame:
+    """(slot, k1, k2, n, low, high) of rows and of the cells of ``names``; such counts of parts of a table add up."""
+    return _grouped(_all_records(df, names, edge))
+
+
+def _flagged(counts: DataFrame) -> DataFrame:
     """Six numbers per group are shuffled; the flags are read off them afterwards."""
     of_rows = F.col("slot") == ROW
-    return _grouped(_all_records(df, names, edge)).select(
+    return counts.select(
         "slot",
         "n",
         F.when(of_rows, F.col("n") * F.col("low")).otherwise(0).alias("missing"),
@@ -159,20 +164,23 @@ def _exact_cells(df: DataFrame, slots: list[tuple[int, str]], edge: str) -> Data
     )
 
 
-def table_facts(df: DataFrame, edge: str = "both", exact: bool = False, cells: bool = True) -> DataFrame:
+def table_facts(df: DataFrame, edge: str = "both", exact: bool = False, cells: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """One row per slot: (slot, n, groups, missing, edge, varies); slot 0 is the whole row.
 
     ``groups`` counts distinct rows or distinct normal forms; ``varies`` says that some normal form
     is spelled in more than one way. By default rows and values are compared by 128-bit
     fingerprints (a wrong count has odds of about 1e-15 at 1e12 rows), so 24 bytes per distinct
     row are shuffled and not the row; ``exact=True`` groups by the values themselves. Nested
-    columns are compared by their JSON. ``cells=False`` leaves the text slots out.
+    columns are compared by their JSON. ``cells=False`` leaves the text slots out. With ``counts``, what
+    :func:`record_counts` gave for all parts of the table, ``df`` itself is not read.
     """
     slots = [(i + 1, f.name) for i, f in enumerate(text_fields(df))] if cells else []
-    if exact:
+    if counts is not None:
+        parts = [_flagged(counts)]
+    elif exact:
         parts = [_exact_rows(df)] + [_exact_cells(df, group, edge) for group in groups_of(slots)]
     else:
-        parts = [_hashed_groups(df, [name for _, name in slots], edge)]
+        parts = [_flagged(record_counts(df, [name for _, name in slots], edge))]
     grouped = reduce(DataFrame.unionByName, parts)
     return grouped.groupBy("slot").agg(
         F.sum("n").alias("n"),
@@ -190,12 +198,12 @@ def _columns_where(flag: str, names: list[str]) -> Column:
     return F.transform(slots, lambda slot: F.element_at(F.array(*[F.lit(n) for n in names]), slot))
 
 
-def quality_report(df: DataFrame, edge: str = "both", exact: bool = False) -> DataFrame:
+def quality_report(df: DataFrame, edge: str = "both", exact: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """One row with counts, ratios, offending columns, penalties and ``quality_score``."""
     names = [f.name for f in text_fields(df)]
     headers = [name for name in df.columns if header_issue(name)]
     of_rows = F.col("slot") == ROW
-    totals = table_facts(df, edge, exact).agg(
+    totals = table_facts(df, edge, exact, counts=counts).agg(
         F.coalesce(F.max(F.when(of_rows, F.col("n"))), F.lit(0)).alias("row_count"),
         F.coalesce(F.max(F.when(of_rows, F.col("missing"))), F.lit(0)).alias("missing_cells"),
         F.coalesce(F.max(F.when(of_rows, F.col("n") - F.col("groups"))), F.lit(0)).alias("duplicate_rows"),
@@ -231,9 +239,9 @@ def quality_report(df: DataFrame, edge: str = "both", exact: bool = False) -> Da
     return scored.withColumn("quality_score", score.cast("int"))
 
 
-def quality_score(df: DataFrame, edge: str = "both", exact: bool = False) -> DataFrame:
+def quality_score(df: DataFrame, edge: str = "both", exact: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """One row: (row_count, missing_ratio, duplicate_ratio, n_header, n_whitespace, n_case, quality_score)."""
-    return quality_report(df, edge, exact).select(
+    return quality_report(df, edge, exact, counts).select(
         "row_count",
         "missing_ratio",
         "duplicate_ratio",

@@ -61,6 +61,17 @@ def _delete(spark: SparkSession, pattern: str) -> None:
         files.delete(found.getPath(), True)
 
 
+def complete_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of a pattern that a job wrote to its end, in the order of their names."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(found.getPath().getParent().toString() for found in files.globStatus(done) or [])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Remove tables that ``written`` returned and that nothing will read any more."""
     for table in tables:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from burnish.functions.text import priority_from_ratio, snake_case
 from burnish.operators import profile, quality
-from burnish.plans import analyze
+from burnish.plans import analyze, growing
+from burnish.sources.shared import new_path
 from workload.checksql import facts_sql, score_sql
 from workload.registry import query
 from workload.views import view
@@ -25,6 +26,16 @@ def quality_score(spark, sf_dir):
     return quality.quality_score(view(spark, sf_dir, "dirty_orders"))
 
 
+@query("quality_score_growing", "dirty_orders", score_sql("dirty_orders", ORDERS, ORDERS_TEXT))
+def quality_score_growing(spark, sf_dir):
+    """The score after each of three appends; the last one comes from stored counts and the newest files."""
+    folder, store, orders = new_path(spark, "growing"), new_path(spark, "counts"), view(spark, sf_dir, "dirty_orders")
+    for part in range(3):
+        orders.where(F.col("o_orderkey") % 3 == part).write.mode("append").parquet(folder)
+        score = growing.quality_score(spark, folder, store)
+    return score
+
+
 @query("quality_score_exact", "dirty_orders", score_sql("dirty_orders", ORDERS, ORDERS_TEXT))
 def quality_score_exact(spark, sf_dir):
     return quality.quality_score(view(spark, sf_dir, "dirty_orders"), exact=True)
