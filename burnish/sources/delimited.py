@@ -152,19 +152,14 @@ def _usable(path: str) -> str:
     return re.sub(r"([\\[\]{}*?])", r"\\\1", unquote(path))
 
 
-def _by_header(spark: SparkSession, paths: str | list[str], options: dict[str, str]) -> list[list[str]]:
-    """The files, parted by their first record; the driver gets a row per file if these differ."""
+def _headers_differ(spark: SparkSession, paths: str | list[str], options: dict[str, str]) -> bool:
+    """Whether the files begin with different records; two of them at most reach the driver."""
     lines = spark.read.options(**options).option("header", False).csv(paths)
     cells = F.array(*[col(c) for c in lines.columns])
     start = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     found = lines.select(F.col("_metadata.file_path").alias("file"), start.alias("at"), cells.alias("cells"))
-    heads = written(found.groupBy("file").agg(F.min_by("cells", "at").alias("cells")), "headers")
-    if heads.select("cells").distinct().count() < 2:
-        return []
-    parts: dict[tuple, list[str]] = {}
-    for row in heads.orderBy("file").collect():
-        parts.setdefault(tuple(row["cells"]), []).append(_usable(row["file"]))
-    return list(parts.values())
+    heads = found.groupBy("file").agg(F.min_by("cells", "at").alias("cells"))
+    return len(heads.select("cells").distinct().limit(2).collect()) > 1
 
 
 def _too_long(width: int, sep: str) -> Column:
@@ -179,10 +174,15 @@ def _header_cells(spark: SparkSession, header: str, options: dict[str, str]) ->
     return [c or "" for c in first] if first else []
 
 
-def _read_by_blocks(spark: SparkSession, paths: str | list[str], sep: str, encoding: str, on_long_rows: str) -> DataFrame:
-    """Files with line breaks in fields, cut into records by many tasks; those of different headers united by name."""
+def _read_by_blocks(spark: SparkSession, paths: str | list[str], sep: str, encoding: str, on_long_rows: str, blank_lines: bool = True) -> DataFrame:
+    """Files cut into records by many tasks, also at line breaks in fields; those of different headers united by name.
+
+    The driver sees each different header, not the files that have it. Lines of white space only are rows, as in
+    Spark's reader of files with line breaks in fields, or left out without ``blank_lines``, as in the other one.
+    """
     options = _csv_options(sep, "UTF-8", False)
     found = records(spark, paths, sep, encoding)
+    found = found if blank_lines else found.where(F.col("header") | (F.trim("record") != ""))
     heads = written(found.where("header").select("file", F.col("record").alias("head")), "headers")
     headers = [row["head"] for row in heads.select("head").distinct().orderBy("head").collect()]  # one row per different header
     case_sensitive = spark.conf.get("spark.sql.caseSensitive") == "true"
@@ -219,11 +219,10 @@ def _read_group(
     names = file_column_names(header, spark.conf.get("spark.sql.caseSensitive") == "true")
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    # With plain names Spark compares the header of every file; else files are parted by their headers.
+    # With plain names Spark compares the header of every file; else records are parted by the headers of their files.
     plain = names == header and _MALFORMED not in names
-    if not plain and len(parts := _by_header(spark, paths, options)) > 1:
-        tables = [_read_group(spark, part, sep, encoding, multi_line, on_long_rows, False) for part in parts]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if not plain and _headers_differ(spark, paths, options):
+        return _read_by_blocks(spark, paths, sep, encoding, on_long_rows, blank_lines=multi_line)
     columns = names if plain else [f"c{i}" for i in range(len(names))]
     fields = [T.StructField(c, T.StringType()) for c in columns]
     reader = spark.read.options(**options).option("header", True).option("enforceSchema", not plain)

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 RUN = uuid.uuid4().hex[:12]  # part of the names of all tables that this process writes
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: weakref.WeakKeyDictionary[SparkSession, tuple[int, str]] = weakref.WeakKeyDictionary()
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -36,6 +41,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/burnish-{RUN}-{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The setting that removes shuffle files is on while any thread of the session writes."""
+    with _lock:
+        writers, before = _writers.get(spark, (0, spark.conf.get(_CLEANUP, "false")))
+        _writers[spark] = writers + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            writers, before = _writers.pop(spark)
+            if writers > 1:
+                _writers[spark] = writers - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` computed once into a shared table, so later uses neither repeat nor lose it.
 
@@ -43,12 +66,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table

@@ -131,3 +131,30 @@ def test_texts_are_shuffled_for_candidate_forms_only(spark, monkeypatch):
     monkeypatch.setattr(actions, "may_be_in", kept)
     assert sorted(map(tuple, actions.canonical_map(rows).collect())) == want and want[0][1] == "blue"
     assert 200 <= seen[0] < 1200
+
+
+def test_many_files_of_three_headers(spark, tmp_path):
+    """Files are parted by their headers on the executors; blank lines go as they do in one reader."""
+    heads = [["a", "", "b"], ["b", "", "a"], ["", "a", "c,c"]]
+    for i in range(60):
+        head = heads[i % 3]
+        cells = [{"a": f"a{i}", "b": f"b{i}", "": f"u{i}", "c,c": f"c{i}"}[h] for h in head]
+        quoted = [f'"{h}"' if "," in h else h for h in head]
+        (tmp_path / f"{i}.csv").write_text(",".join(quoted) + "\n   \n" + ",".join(cells) + "\n\n")
+    rows = read_delimited(spark, str(tmp_path), ",", "UTF-8", multi_line=False)
+    assert set(rows.columns) == {"a", "b", "c,c", "Unnamed: 0", "Unnamed: 1"}
+    got = {(r["a"], r["b"], r["c,c"], r["Unnamed: 0"], r["Unnamed: 1"]) for r in rows.collect()}
+    assert got == {
+        (f"a{i}", None, f"c{i}", f"u{i}", None) if i % 3 == 2 else (f"a{i}", f"b{i}", None, None, f"u{i}") for i in range(60)
+    }
+
+
+def test_writes_of_two_threads_leave_the_setting(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from burnish.sources import shared
+
+    before = spark.conf.get(shared._CLEANUP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda i: shared.written(spark.range(50 + i).repartition(2), "threads").count(), range(8)))
+    assert made == [50 + i for i in range(8)] and spark.conf.get(shared._CLEANUP, "false") == before
