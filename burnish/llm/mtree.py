@@ -24,7 +24,7 @@ SCALE = 1024
 PIVOTS = 64  # a sample that shapes the pages; results do not depend on it
 PAGE_ROWS, LEAF_ROWS = 1024, 32  # vectors of a page and of a leaf, about
 QUERIES = 256  # queries of a block
-LANES = 64  # groups of pages; each block of queries goes to every lane
+LANE_PAGES = 16  # pages of a lane, about; each block of queries goes to every lane
 SLACK = 1e-6  # relative; bounds are rounded, scores are exact
 
 PAGE = T.StructType([
@@ -228,17 +228,18 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_column: str = "v
     seeds = written(pages.mapInPandas(_seeds(width, k, every), HIT), "seeds")
     floors = seeds.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     queries = pages.mapInPandas(_query_rows(width, every), "query_row long, query_id long, home long, vector binary")
-    queries = written(queries.join(floors, "query_row", "left"), "queries")
+    queries = written(queries.hint("merge").join(floors, "query_row", "left"), "queries")
     blocks = F.lit(1 + queries.count() // QUERIES)
     blocked = queries.groupBy(F.pmod(F.xxhash64("query_row", F.lit(1)), blocks).alias("block")).agg(
         F.collect_list(F.struct("query_row", "query_id", "home", "vector", "floor")).alias("q")
     )
+    lanes = 1 + pages.count() // LANE_PAGES
     blocked = blocked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane"), F.col("q.query_row").alias("query_rows"), F.col("q.query_id").alias("query_ids"), F.col("q.home").alias("homes"),
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("q.query_row").alias("query_rows"), F.col("q.query_id").alias("query_ids"), F.col("q.home").alias("homes"),
         F.col("q.vector").alias("query_vectors"), F.transform("q.floor", lambda f: F.coalesce(f.cast("double"), F.lit(float("-inf")))).alias("floors"),
     )
-    laned = pages.withColumn("lane", F.pmod(F.xxhash64("page"), F.lit(LANES)).cast("int"))
-    others = laned.join(blocked, "lane").mapInPandas(_pairs(width, k), HIT)
+    laned = pages.withColumn("lane", F.pmod(F.xxhash64("page"), F.lit(lanes)).cast("int"))
+    others = laned.hint("merge").join(blocked, "lane").mapInPandas(_pairs(width, k), HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = seeds.union(others).withColumn("rank", F.row_number().over(best))
     return hits.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

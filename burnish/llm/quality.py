@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -33,7 +34,7 @@ FLOORS = np.array([0.08, 0.05, 0.3, 0.2, 0.06, 0.5]) * UNIT  # a statistic that
 HELD = 0.75
 LEAST_ROWS = 60  # smaller groups are pooled by language, then all together
 BLOCK_ROWS = 2000
-STEPS = 10
+GAIN = 1e-4  # a start goes on while a step lowers its log determinant by more than this
 STARTS = 3
 CUTOFF = 180.0  # squared distance; statistics of texts have far heavier tails than a chi-square of P = 6
 EDGES = 16  # steps of a squared distance to its double
@@ -213,7 +214,8 @@ def estimates(vectors: DataFrame) -> DataFrame:
     ``model`` is the centre, the inverse scatter and its log determinant; dividing squared distances by
     ``scale`` makes their median that of a chi-square. All rows count in every step. Vectors of a group travel
     in blocks of about BLOCK_ROWS, so a hot group is many blocks; sums of blocks are added up by bins of the
-    distance, which is all that a group needs in one place.
+    distance, which is all that a group needs in one place. A group takes steps until none of its starts gains, and what counts is
+    the estimate of the least determinant that any of its steps had.
     """
     lanes = F.ceil(F.col("g_rows") / BLOCK_ROWS)
     blocks = vectors.groupBy("g", F.pmod(F.xxhash64("key"), lanes).alias("lane")).agg(F.flatten(F.collect_list("x")).alias("flat"))
@@ -225,20 +227,24 @@ def estimates(vectors: DataFrame) -> DataFrame:
     signs = _added(blocks.join(begin, "g").mapInPandas(_signs, SUMS), "g", "start")
     signs = signs.groupBy("g").agg(F.collect_list(F.struct("start", "n", "sums")).alias("sums"))
     models = begin.join(signs, "g").select("g", _first_models("centre", "spread", "sums").alias("models"))
-    models, seen = written(models, "models"), None
-    for _ in range(STEPS):
-        bins = _added(blocks.join(models, "g").mapInPandas(_binned, SUMS), "g", "start", "bin")
-        bins = bins.groupBy("g").agg(F.collect_list(F.struct("start", "bin", "n", "sums")).alias("bins"))
-        after = written(bins.select("g", _next_models("bins").alias("models")), "models")
-        forget(models)
-        models = after
-        state = models.agg(F.bit_xor(F.xxhash64("g", F.transform("models", lambda m: F.round(m[P + P * P], 6)))).alias("h")).first().h
-        if state == seen:
-            break
-        seen = state
+    # Each start keeps its estimate of the least determinant: steps over binned distances may also raise it.
+    nothing = F.transform("models", lambda m: F.struct(F.lit(float("inf")).alias("d"), m.alias("m")))
+    open_ = written(models.select("g", "models", nothing.alias("low")), "models")
+    done: list[DataFrame] = []
     last = P + P * P
-    best = F.array_min(F.transform("models", lambda m: F.struct(m[last].alias("d"), m.alias("m")))).getField("m")
-    best = models.select("g", best.alias("model"))
+    while not open_.isEmpty():
+        bins = _added(blocks.join(open_.select("g", "models"), "g").mapInPandas(_binned, SUMS), "g", "start", "bin")
+        bins = bins.groupBy("g").agg(F.collect_list(F.struct("start", "bin", "n", "sums")).alias("bins"))
+        after = bins.select("g", _next_models("bins").alias("models")).join(open_.select("g", "low"), "g")
+        now = F.transform("models", lambda m: F.struct(m[last].alias("d"), m.alias("m")))
+        gains = F.exists(F.arrays_zip(now.alias("now"), F.col("low").alias("low")), lambda x: x["now"]["d"] < x["low"]["d"] - GAIN)
+        lower = F.transform(F.arrays_zip(now.alias("now"), F.col("low").alias("low")), lambda x: F.least(x["now"], x["low"]))
+        stepped = written(after.select("g", "models", lower.alias("low"), gains.alias("gains")), "models")
+        forget(open_)
+        done.append(stepped.where(~F.col("gains")).select("g", "low"))
+        open_ = written(stepped.where("gains").select("g", "models", "low"), "models")
+    settled = reduce(DataFrame.unionByName, done) if done else open_.select("g", "low")
+    best = written(settled.select("g", F.array_min("low").getField("m").alias("model")), "best")
     bins = blocks.join(best.select("g", F.array("model").alias("models")), "g").mapInPandas(_binned, SUMS)
     bins = bins.groupBy("g", "bin").agg(F.sum("n").alias("n"))
     up_to = F.sum("n").over(Window.partitionBy("g").orderBy("bin"))

@@ -124,9 +124,74 @@ def test_quality_odd(odd, empty):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in rows)
 
 
+def test_estimates_of_groups_that_cycle_stop(spark):
+    """Steps end for every group, also where binned distances never settle; the least determinant is kept."""
+    draw = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        x = np.round(draw.normal([1.6, 0, 0, 0, 0.3, 4], draw.uniform(0.01, 1.2, 6), (60 + 40 * g, 6)) * quality.UNIT).astype(int)
+        rows += [(f"g{g}", len(x), i, v.tolist()) for i, v in enumerate(x)]
+    made = quality.estimates(spark.createDataFrame(rows, "g string, g_rows long, key long, x array<long>")).collect()
+    assert len(made) == 12 and all(np.isfinite(r.model).all() and r.scale > 0 for r in made)
+
+
+def test_verdicts_are_those_of_a_plain_estimate(spark):
+    """Kept and rejected by exact concentration steps over all rows of a group, from many random starts."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("etaoinshrdlu", k=draw.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(draw.randrange(8, 14))).capitalize() + "."
+    junk = [lambda: "# $$ %% || " * 3 + line(), lambda: line().upper() + " <&> *** ### ", lambda: "a b c $ " * 2 + line()]
+    texts = ["\n".join(line() for _ in range(draw.randrange(8, 20))) for _ in range(300)]
+    texts += ["\n".join(draw.choice(junk)() for _ in range(14)) for _ in range(40)] + ["too short", None]
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = found(quality.judged(frame))
+    vectors = frame.withColumn("s", quality._statistics("text")).select("doc_id", quality.vector().alias("x")).collect()
+    use = [r.doc_id for r in vectors if not got[r.doc_id]["base_failed"]]
+    x = np.array([r.x for r in vectors if not got[r.doc_id]["base_failed"]], dtype=float)
+    best, centre, inverse = math.inf, None, None
+    numbers = np.random.default_rng(3)
+    for _ in range(60):
+        own = numbers.choice(len(x), 10, replace=False)
+        for _ in range(30):
+            scatter = np.cov(x[own].T, bias=True) + np.diag(quality.FLOORS**2)
+            away = x - x[own].mean(0)
+            squared = np.einsum("ni,ij,nj->n", away, np.linalg.inv(scatter), away)
+            own = np.argsort(squared)[: math.ceil(quality.HELD * len(x))]
+        scatter = np.cov(x[own].T, bias=True) + np.diag(quality.FLOORS**2)
+        if np.linalg.slogdet(scatter)[1] < best:
+            best, centre, inverse = np.linalg.slogdet(scatter)[1], x[own].mean(0), np.linalg.inv(scatter)
+    away = x - centre
+    squared = np.einsum("ni,ij,nj->n", away, inverse, away)
+    squared *= quality.chi_square(0.5) / np.median(squared)
+    sure = [(i, d <= quality.CUTOFF) for i, d in zip(use, squared, strict=True) if not 0.8 < d / quality.CUTOFF < 1.25]
+    assert len(sure) > 0.9 * len(use) and {k for _, k in sure} == {True, False}
+    assert [got[i]["kept"] for i, _ in sure] == [k for _, k in sure]
+    assert not got[len(texts) - 1]["kept"] and not got[len(texts) - 2]["kept"]
+
+
 # -- 2 language
 
 
+def test_language_is_the_smallest_by_hand(spark, docs):
+    """Every text compressed with each learned dictionary, one by one: the smallest wins, narrow margins reject."""
+    dictionaries = language.learn(docs)
+    rows = found(language.languages(docs))
+    for d in documents(120):
+        letters = any(c.isalpha() for c in d["text"] or "")
+        by = {}
+        for lang, content in dictionaries.items():
+            encoder = language.compressors({lang: content})[0]
+            data = (d["text"] or "").lower().encode()
+            by[lang] = sum(len(encoder.compress(data[i : i + language.BLOCK])) for i in range(0, len(data), language.BLOCK))
+        order = sorted(by.values())
+        got = rows[d["doc_id"]]
+        if not letters:
+            assert (got["lang_pred"], got["rejected"]) == ("und", True)
+            continue
+        assert by[got["lang_pred"]] == order[0]
+        assert got["rejected"] == (order[1] - order[0] < max(1, language.NARROW * order[1]))
+
+
 def test_language(spark, docs, odd, empty):
     rows = found(language.languages(docs))
     truth = {d["doc_id"]: d["lang"] for d in documents()}
