@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from burnish.functions import text, values
 from burnish.operators import actions, batches, kinds, lookup, review
 from burnish.operators.columns import col
-from burnish.plans import propose
+from burnish.plans import artifacts, propose
 from burnish.sources.shared import written
 from workload.registry import query
 from workload.views import view
@@ -358,3 +358,34 @@ def audit_projection(spark, sf_dir):
     orders = view(spark, sf_dir, "dirty_orders")
     changes = {c: text.filled(col(c)) for c in ("OrderStatus", "order_priority")}
     return review.audit_projection(orders, ["o_orderkey"], changes, "missing")
+
+
+_TIDY_SEGMENTS = """
+WITH tidy AS (SELECT c_custkey, FullName AS fullname, mkt_segment AS old, trim(mkt_segment, {WS}) AS new, c_acctbal FROM dirty_customer)
+"""
+
+
+def _artifacts(spark, sf_dir):
+    return artifacts.clean_with_artifacts(view(spark, sf_dir, "dirty_customer"), ["c_custkey"], _capitals, "Write segments in capitals", ("category_text",))
+
+
+@query("clean_artifacts_table", "dirty_customer", _TIDY_SEGMENTS + """
+SELECT c_custkey, fullname, CASE WHEN length(new) > 8 THEN upper(new) ELSE new END AS mkt_segment, c_acctbal FROM tidy""")
+def clean_artifacts_table(spark, sf_dir):
+    return _artifacts(spark, sf_dir).cleaned
+
+
+@query("clean_artifacts_review", "dirty_customer", _TIDY_SEGMENTS + """
+SELECT c_custkey, fullname, new AS mkt_segment, c_acctbal, 'mkt_segment: ' || new || ' -> ' || upper(new) AS review
+FROM tidy WHERE length(new) <= 8 AND new <> upper(new)""")
+def clean_artifacts_review(spark, sf_dir):
+    described = F.transform("review", lambda p: F.concat(p["column"], F.lit(": "), p["old_value"], F.lit(" -> "), p["new_value"]))
+    return _artifacts(spark, sf_dir).review.withColumn("review", F.array_join(described, "; "))
+
+
+@query("clean_artifacts_audit", "dirty_customer", _TIDY_SEGMENTS + """
+SELECT c_custkey, 'cell' AS change, 'mkt_segment' AS "column", old AS old_value, new AS new_value, 'rules' AS source FROM tidy WHERE old <> new
+UNION ALL
+SELECT c_custkey, 'cell', 'mkt_segment', new, upper(new), 'proposals' FROM tidy WHERE length(new) > 8 AND new <> upper(new)""")
+def clean_artifacts_audit(spark, sf_dir):
+    return _artifacts(spark, sf_dir).audit
