@@ -62,3 +62,22 @@ def test_check_sql(spark, name):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     status, _, _, detail = compare(spark, engine, name, SF)
     assert status == "ok", detail
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Each stage by itself on nulls, empty and long texts, repeated rows and clashing names, and on no rows."""
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, SF)
+        rows = made.collect()
+        assert stage(spark, empty, SF).count() == 0, name
+        if name == "packing":
+            assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, None}
+            continue
+        assert tuple(made.columns) == DOCUMENT_COLUMNS, name
+        ids = sorted(r.doc_id for r in rows if r.doc_id is not None)
+        if name == "near_duplicates":
+            assert ids[0] == 1 and len(ids) == len(set(ids)) and not {3, 4, 7} & set(ids)  # 2, 3 and 4 share a fingerprint, 5 and 7 a text
+        elif name == "repeated_passages":
+            assert ids == [1, 1, 2, 5, 6]  # 7 repeats 5; 3 and 4 hold no word
+        else:
+            assert set(ids) <= {1, 2, 3, 4, 5, 6, 7}
