@@ -5,6 +5,9 @@ of a known stem are known too. Texts are cut into overlapping windows; both dire
 over each window, attention weighs its words, and the document's score comes from its highest window.
 Labels are of documents: after a round on all windows, of a toxic document only those windows count as
 toxic that the network finds about as toxic as its best one.
+
+The highest of many windows is high by chance alone. Highest windows of clean documents follow a Gumbel law whose
+middle grows with the logarithm of the number of windows; a document's height is counted from there.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import held_out
+from burnish.sources.shared import forget, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUT, ATTENTION = 8, 12, 8
 GRAMS = (3, 4, 5)
 LEAST_DOCUMENTS = 8  # of the sample that hold a word or n-gram, for it to have a row; all others share row 0
 SAMPLE = {1: 800, 0: 2000}  # documents learned from, by label, about; drawn by a hash of their id
-CALIBRATED = 4  # every so-manieth sampled document fits the final scale instead of the network
-SAMPLE_WINDOWS = {False: 12, True: 120}  # of each of them, evenly spaced, and of those that fit the scale
+CALIBRATED = 4  # every so-manieth sampled document fits the final scale, by all of its windows, instead of the network
+SAMPLE_WINDOWS = 12  # of each of the others, evenly spaced
 LOOSE_ROUNDS, STRICT_ROUNDS, BATCH, RATE, TABLE_RATE = 1, 4, 256, 0.01, 0.01
 NEAR_BEST = 1.0  # windows of a toxic document that count as toxic: within so much of its best one
 PREDICTED = 0.3
@@ -75,13 +79,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """The weights; ``scale`` and ``shift`` turn a document's highest window into a score."""
+    """The weights; ``scale``, ``shift`` and ``spread`` turn a document's highest window into a score."""
 
     weights: dict[str, np.ndarray]
     word_rows: dict[bytes, int]
     gram_keys: np.ndarray  # sorted; row i + 1 of the table is that of key i
     scale: float = 1.0
     shift: float = 0.0
+    spread: float = 0.0  # of the heights of clean windows
     cache: dict[bytes, int] = field(default_factory=dict)  # word -> row of ``known``
     known: dict[str, np.ndarray] = field(default_factory=dict)  # the gates of cached words, by direction
 
@@ -225,8 +230,8 @@ class Network:
     def forget_words(self) -> None:
         self.cache, self.known = {}, {}
 
-    def score(self, highest: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scale * highest + self.shift)
+    def score(self, highest: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.scale * (highest - self.spread * np.log(windows)) + self.shift)
 
 
 class _Optimiser:
@@ -271,21 +276,41 @@ def _round(network: Network, optimiser: _Optimiser, spans: list[list[bytes]], la
         optimiser.step(network.weights, grads)
 
 
-def _calibrated(network: Network, highest: np.ndarray, labels: np.ndarray) -> None:
-    """The scale and shift of least logarithmic loss on a grid."""
+def gumbel_spread(highest: np.ndarray, windows: np.ndarray) -> float:
+    """The most likely spread of window heights, from the highest of each document and its number of windows."""
+    if len(highest) < 2:
+        return 0.0
+    best, found = -np.inf, 0.0
+    top = highest.max()
+    for rate in np.geomspace(0.1, 10, 100):
+        mass = np.log(np.sum(windows * np.exp(-rate * (highest - top)))) - rate * top
+        likely = np.log(rate) - rate * highest.mean() - mass
+        if likely > best:
+            best, found = likely, 1 / rate
+    return float(found)
+
+
+def calibrate(network: Network, heights: pd.DataFrame) -> None:
+    """The spread of clean documents, then the scale and shift of least logarithmic loss on a grid.
+
+    ``heights(toxic, highest, windows)`` has a row for each document, from all of its windows."""
+    heights = heights.sort_values(["toxic", "windows", "highest"])
+    labels, highest, windows = (heights[k].to_numpy(dtype=float) for k in ("toxic", "highest", "windows"))
+    network.spread = gumbel_spread(highest[labels == 0], windows[labels == 0])
+    height = highest - network.spread * np.log(windows)
     target, best = np.where(labels == 1, 0.98, 0.02), np.inf
     for scale in (0.3, 0.5, 0.7, 1.0, 1.5):
-        for middle in np.linspace(-8, 8, 129):
-            p = np.clip(_sigmoid(scale * (highest - middle)), 1e-6, 1 - 1e-6)
+        for middle in np.linspace(-12, 8, 161):
+            p = np.clip(_sigmoid(scale * (height - middle)), 1e-6, 1 - 1e-6)
             loss = -(target * np.log(p) + (1 - target) * np.log(1 - p)).mean()
             if loss < best:
                 best, network.scale, network.shift = loss, scale, -scale * middle
 
 
 def trained(rows: pd.DataFrame) -> Network:
-    """A network from ``rows(doc_id, toxic, nth, spare, words)``, a row for each sampled window of a document.
+    """A network from ``rows(doc_id, toxic, nth, words)``, a row for each sampled window of a document.
 
-    The windows of ``spare`` documents fit the final scale only."""
+    Its scale is yet to be fitted, unless documents of both labels are wanting: then scores are a constant."""
     rows = rows.sort_values(["doc_id", "nth"])
     docs, owner = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
     labels = rows["toxic"].to_numpy()
@@ -294,26 +319,19 @@ def trained(rows: pd.DataFrame) -> Network:
     for nth, span in zip(owner, spans, strict=True):
         held[nth].update(span)
     network = Network.start(held)
-    if len(docs) < 8 or not 0 < labels.mean() < 1 or rows["spare"].all():
-        network.scale, network.shift = 0.01, -3.0 if not len(labels) or labels.mean() < 0.5 else 3.0
+    if len(docs) < 8 or not 0 < labels.mean() < 1:
+        network.scale, network.shift = 0.0, -3.0 if not len(labels) or labels.mean() < 0.5 else 3.0
         return network
-    spare_rows = rows["spare"].to_numpy(dtype=bool)
-    fit = np.flatnonzero(~spare_rows)
     draw, optimiser = np.random.default_rng(11), _Optimiser()
-    rounds = min(6, max(1, round(4000 / max(1, len(fit)))))  # more passes over very small samples
+    rounds = min(6, max(1, round(4000 / len(spans))))  # more passes over very small samples
     for turn in range((LOOSE_ROUNDS + STRICT_ROUNDS) * rounds):
-        use = fit
+        use = np.arange(len(spans))
         if turn >= LOOSE_ROUNDS * rounds:
-            logits = network.logits_of([spans[i] for i in fit])
+            logits = network.logits_of(spans)
             best = np.full(len(docs), -np.inf)
-            np.maximum.at(best, owner[fit], logits)
-            use = fit[(labels[fit] == 0) | (logits >= best[owner[fit]] - NEAR_BEST)]
+            np.maximum.at(best, owner, logits)
+            use = np.flatnonzero((labels == 0) | (logits >= best[owner] - NEAR_BEST))
         _round(network, optimiser, [spans[i] for i in use], labels[use].astype(np.float32), draw)
-    best, doc_labels, spare = np.full(len(docs), -np.inf), np.zeros(len(docs)), np.zeros(len(docs), dtype=bool)
-    np.maximum.at(best, owner, network.logits_of(spans))
-    doc_labels[owner], spare[owner] = labels, spare_rows
-    both = spare.any() and 0 < doc_labels[spare].mean() < 1
-    _calibrated(network, best[spare] if both else best, doc_labels[spare] if both else doc_labels)
     network.forget_words()
     return network
 
@@ -321,19 +339,31 @@ def trained(rows: pd.DataFrame) -> Network:
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
-        for doc_id, toxic, spare, text in zip(batch["doc_id"], batch["toxic"], batch["spare"], batch["text"], strict=True):
+        for doc_id, toxic, text in zip(batch["doc_id"], batch["toxic"], batch["text"], strict=True):
             words = tokens(text)
             starts = window_starts(len(words))
-            for nth in np.unique(np.linspace(0, len(starts) - 1, min(SAMPLE_WINDOWS[bool(spare)], len(starts))).astype(int)):
+            for nth in np.unique(np.linspace(0, len(starts) - 1, min(SAMPLE_WINDOWS, len(starts))).astype(int)):
                 part = words[starts[nth] : starts[nth] + WINDOW]
-                found.append((doc_id, int(toxic), int(nth), bool(spare), b" ".join(part).decode()))
-        yield pd.DataFrame(found, columns=["doc_id", "toxic", "nth", "spare", "words"])
+                found.append((doc_id, int(toxic), int(nth), b" ".join(part).decode()))
+        yield pd.DataFrame(found, columns=["doc_id", "toxic", "nth", "words"])
+
+
+def _heights(network: Network):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words = [tokens(t) for t in batch["text"]]
+            windows = [len(window_starts(len(w))) for w in words]
+            yield pd.DataFrame({"toxic": batch["toxic"], "highest": network.highest(words), "windows": windows})
+
+    return rows
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Network:
     """The network from a bounded sample of labelled documents that are not held out.
 
-    Collected are windows of WINDOW words of about 2,800 documents (SAMPLE), SAMPLE_WINDOWS of each at most.
+    The texts of about 2,800 documents (SAMPLE) go to the shared folder. Collected are windows of WINDOW words,
+    SAMPLE_WINDOWS of a document at most, and the heights of the spare documents, which the executors compute over
+    all of their windows. If the spare ones have not both labels, all of the sample fit the scale.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -343,7 +373,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network:
     drawn = known.withColumn("spare", draw % CALIBRATED == 0).where(draw < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
     # About sum(SAMPLE) ids at any size of the input, so they are broadcast and no text is shuffled.
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
-    return trained(sample.mapInPandas(_sampled, "doc_id long, toxic int, nth int, spare boolean, words string").toPandas())
+    sample = written(sample, "toxicity-sample")
+    fits = sample.where(~F.col("spare")).mapInPandas(_sampled, "doc_id long, toxic int, nth int, words string")
+    network = trained(fits.toPandas())
+    if network.scale:
+        spare = sample.where("spare")
+        both = spare.select("toxic").distinct().count() == 2
+        calibrate(network, (spare if both else sample).mapInPandas(_heights(network), "toxic int, highest double, windows long").toPandas())
+    forget(sample)
+    return network
 
 
 def _scored(network: Network):
@@ -351,7 +389,9 @@ def _scored(network: Network):
         for batch in batches:
             for a in range(0, len(batch), 512):
                 part = batch.iloc[a : a + 512]
-                score = network.score(network.highest([tokens(t) for t in part["text"]]).astype(float))
+                words = [tokens(t) for t in part["text"]]
+                windows = np.array([len(window_starts(len(w))) for w in words], dtype=float)
+                score = network.score(network.highest(words).astype(float), windows)
                 yield part[["doc_id", "held_out"]].assign(score=score, predicted=(score >= PREDICTED).astype(np.int32))
 
     return rows

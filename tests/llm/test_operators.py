@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -240,6 +241,65 @@ def test_windows_hold_phrases_whole():
         assert all(any(s <= i and i + 17 <= s + toxicity.WINDOW for s in starts) for i in range(n - 16))
 
 
+def plain_height(network, text):
+    """The highest window of a text, one window, word and n-gram at a time."""
+    w, sigmoid = network.weights, lambda x: 1 / (1 + np.exp(-x))
+    words = [x.encode() for x in re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", " ", text.lower()).split()]
+    rows = {int(k): i for i, k in enumerate(network.gram_keys, 1)}
+
+    def vector(word):
+        marked = b"^" + word + b"$"
+        grams = [rows.get(int.from_bytes(marked[i : i + n], "little") | n << 56, 0) for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+        return w["words"][network.word_rows.get(word, 0)] + np.mean([w["grams"][g] for g in grams], axis=0)
+
+    def states(vectors, way):
+        h, size, out = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN, []
+        for x in vectors:
+            gate, inner = x @ w["W" + way] + w["c" + way], h @ w["U" + way]
+            z, r = sigmoid(gate[:size] + inner[:size]), sigmoid(gate[size : 2 * size] + inner[size : 2 * size])
+            h = z * h + (1 - z) * np.tanh(gate[2 * size :] + r * inner[2 * size :])
+            out.append(h)
+        return out
+
+    heights = []
+    for start in sorted({*range(0, max(len(words) - 32, 0), 16), max(len(words) - 32, 0)}):
+        vectors = [vector(x) for x in words[start : start + 32]]
+        both = [np.concatenate(pair) for pair in zip(states(vectors, "f"), states(vectors[::-1], "b")[::-1], strict=True)]
+        weigh = np.array([np.exp(np.tanh(s @ w["A"]) @ w["a"]) for s in both])
+        context = sum((x * s for x, s in zip(weigh / weigh.sum(), both, strict=True)), np.zeros(2 * toxicity.HIDDEN)) if both else np.zeros(2 * toxicity.HIDDEN)
+        heights.append(float(context @ w["o"] + w["q"][0]))
+    return max(heights), len(heights)
+
+
+def test_whole_scores_against_a_plain_network(docs):
+    network = toxicity.Network.start([set(toxicity.tokens(d["text"])) for d in documents(60)])
+    draw = np.random.default_rng(4)
+    network.weights = {k: (v + 0.3 * draw.standard_normal(v.shape)).astype(np.float32) for k, v in network.weights.items()}
+    network.scale, network.shift, network.spread = 0.7, -0.2, 0.9
+    texts = [d["text"] or "" for d in documents(25)] + ["", "one", " ".join(f"wort{i % 91}" for i in range(700)), "\u00c9t\u00e9 l\u2019\u00e9t\u00e9!"]
+    plain = [plain_height(network, t) for t in texts]
+    made = next(toxicity._scored(network)(iter([pd.DataFrame({"doc_id": range(len(texts)), "held_out": False, "text": texts})])))
+    expected = [1 / (1 + math.exp(-(0.7 * (h - 0.9 * math.log(n)) - 0.2))) for h, n in plain]
+    assert np.allclose(made["score"], expected, atol=1e-4) and max(n for _, n in plain) > 40
+
+
+def test_heights_of_many_clean_windows_are_no_evidence():
+    draw = np.random.default_rng(9)
+    windows = np.array([1, 3, 10, 30, 100, 300] * 200)
+    clean = np.array([draw.exponential(1.3, n).max() for n in windows])
+    assert abs(toxicity.gumbel_spread(clean, windows) - 1.3) < 0.15
+    toxic = 9 + draw.exponential(1.3, 400)
+    network = toxicity.Network.start([])
+    rows = [(0, h, n) for h, n in zip(clean, windows, strict=True)] + [(1, h + 1.3 * math.log(n), n) for h, n in zip(toxic, windows[:400], strict=True)]
+    toxicity.calibrate(network, pd.DataFrame(rows, columns=["toxic", "highest", "windows"]))
+    level = network.score(np.array([3 * 1.3]), np.array([1.0]))[0]
+    for n in (1, 10, 300):  # that high by chance: 0.05, whatever the number of windows
+        of_n = clean[windows == n]
+        assert abs((network.score(of_n, np.full(len(of_n), n)) >= level).mean() - 0.05) < 0.05
+    assert (network.score(clean[windows == 300], np.ones(200)) >= level).mean() > 0.9  # if not corrected
+    assert toxicity.gumbel_spread(np.array([1.0]), np.array([1.0])) == 0
+
+
 def test_toxicity(spark, odd, empty, monkeypatch):
     draw = random.Random(5)
     plain = [f"w{i}" for i in range(60)]
