@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from burnish.functions.jsontext import array_items, extract_json, unwrap_json_list, validate_batch
 from burnish.operators.actions import nan_to_null
+from burnish.operators.answers import AnswerLog, answer_log
 from burnish.operators.columns import col, quoted
 from burnish.sources.shared import written
 
@@ -152,12 +153,18 @@ def _as_array(rows: list[str]) -> str:
     return "[" + ",".join(rows) + "]"
 
 
-def _call(fn: Transformer, rows: list[str], instruction: str) -> tuple[str | None, str | None]:
-    """(answer, failure) of one call. Any error of the transformer is a failed attempt."""
+def _call(fn: Transformer, rows: list[str], instruction: str, attempt: int, log: AnswerLog | None) -> tuple[str | None, str | None]:
+    """(answer, failure) of one call. Any error of the transformer is a failed attempt, which is not kept."""
+    payload = _as_array(rows)
+    if log and (kept := log.find(payload, instruction, attempt)) is not None:
+        return kept, None
     try:
-        return str(fn(_as_array(rows), instruction)), None
+        answer = str(fn(payload, instruction))
     except Exception as error:  # noqa: BLE001
         return None, f"{type(error).__name__}: {error}"
+    if log:
+        log.keep(payload, instruction, attempt, answer)
+    return answer, None
 
 
 def _table(calls: list[tuple]) -> pa.RecordBatch:
@@ -176,11 +183,11 @@ def _packed(calls: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield _table(pack)
 
 
-def _first_call(fn: Transformer, instruction: str, size: int):
+def _first_call(fn: Transformer, instruction: str, size: int, log: AnswerLog | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def calls():
             for _, _, rows in _grouped(batches, size):
-                raw, failure = _call(fn, rows, instruction)
+                raw, failure = _call(fn, rows, instruction, 1, log)
                 yield rows, raw, failure, None, 1
 
         yield from _packed(calls())
@@ -188,10 +195,10 @@ def _first_call(fn: Transformer, instruction: str, size: int):
     return run
 
 
-def _next_call(fn: Transformer, instruction: str):
+def _next_call(fn: Transformer, instruction: str, log: AnswerLog | None):
     def again(item: dict) -> tuple:
         stricter = f"{instruction}\n\n{RETRY_NOTE.format(n=item['n'])}"
-        raw, failure = _call(fn, item["rows"], stricter)
+        raw, failure = _call(fn, item["rows"], stricter, item["attempts"] + 1, log)
         return item["rows"], raw, failure, None, item["attempts"] + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +245,7 @@ def transform_batches(
     key: str | None = None,
     schema: T.StructType | str | None = None,
     on_failure: str = "pass",
+    answers: str | None = None,
 ) -> DataFrame:
     """``fn(json_array_of_rows, instruction) -> text`` for batches of rows.
 
@@ -252,14 +260,20 @@ def transform_batches(
     the same ``key div batch_size`` form a batch, which makes batches repeatable at the price of
     one shuffle. Spark may run a task again, so ``fn`` should give equal answers to equal calls; if
     answers depend on which rows share a batch and the input comes out of a shuffle, use ``key``.
+
+    ``answers`` is a folder that all executors reach. Each answer is kept there at once, under a hash of the batch,
+    the instruction and the number of the attempt, so a batch that was answered is not sent again when its task, the
+    job or a later run repeats it; equal batches share an answer. Errors are not kept, unusable answers are. A folder
+    belongs to one transformer; take a new one for fresh answers.
     """
     if on_failure not in ("pass", "fail"):
         raise ValueError("on_failure must be 'pass' or 'fail'")
+    log = answer_log(df.sparkSession, answers) if answers else None
     rows = to_json_records(df) if key is None else _keyed_rows(df, key, batch_size)
-    calls = rows.mapInArrow(_first_call(fn, instruction, batch_size), _BATCH_SCHEMA)
+    calls = rows.mapInArrow(_first_call(fn, instruction, batch_size, log), _BATCH_SCHEMA)
     state = _checked(calls)
     for _ in range(retries):
-        state = _checked(state.mapInArrow(_next_call(fn, instruction), _BATCH_SCHEMA))
+        state = _checked(state.mapInArrow(_next_call(fn, instruction, log), _BATCH_SCHEMA))
     passed = F.col("payload").isNull()
     items = F.when(passed, F.col("rows")).otherwise(array_items(F.col("payload")))
     if on_failure == "fail":

@@ -10,6 +10,7 @@ from burnish.functions import jsontext, routing
 from burnish.operators import batches, suggestions
 from burnish.plans.clean import clean
 from workload.checksql import literal
+from burnish.sources.shared import new_path
 from workload.registry import query
 from workload.views import view
 
@@ -188,6 +189,23 @@ def batch_transform(spark, sf_dir):
     ).drop("_extra")
 
 
+def sold_out(payload: str, instruction: str) -> str:
+    raise AssertionError("sold out")
+
+
+@query("batch_transform_kept", "dirty_orders", f"""
+SELECT o_orderkey, o_custkey, OrderStatus, CASE WHEN o_orderkey // 20 % 7 = 0 THEN order_priority ELSE upper(order_priority) || '!' END AS order_priority,
+  total_price, CASE WHEN o_orderkey // 20 % 7 = 0 THEN 'passed' ELSE 'ok' END AS _batch_status,
+  CASE WHEN o_orderkey // 20 % 7 = 0 OR o_orderkey // 20 % 3 = 0 THEN 2 ELSE 1 END::INT AS _attempts,
+  CASE WHEN o_orderkey // 20 % 7 = 0 THEN 'AssertionError: sold out' END AS _error, NULL::VARCHAR AS _unparsed FROM dirty_orders""")
+def batch_transform_kept(spark, sf_dir):
+    """A second run that asks nothing: all that was answered in the first one comes from the kept answers."""
+    orders, folder = view(spark, sf_dir, "dirty_orders"), new_path(spark, "answers")
+    first = batches.transform_batches(orders, unreliable_upper, "upper", key="o_orderkey", answers=folder)
+    first.write.format("noop").mode("overwrite").save()
+    return batches.transform_batches(orders, sold_out, "upper", key="o_orderkey", answers=folder).drop("_extra")
+
+
 @query("batch_transform_fallback", "dirty_orders", """
 SELECT o_orderkey, o_custkey, OrderStatus, order_priority, total_price, 'passed' AS _batch_status, 2::INT AS _attempts,
   'no JSON in the answer' AS _error, NULL::VARCHAR AS _unparsed FROM dirty_orders""")
