@@ -1,9 +1,9 @@
 """Licence scans with a positional index of rare words.
 
-Licence words are weighed by how few documents hold them. Each template is found through its rarest words: the
-index holds their positions in the templates, a file's occurrences vote for a template and a shift (position in
-the file less position in the template), and where votes agree the template's key phrases must stand nearby and
-enough of its words in their places.
+Licence words are weighed by how few documents hold them. The index holds the positions of every word of every
+template. Of each short stretch of a file the rarest licence words are looked up; their occurrences vote for a
+template and a shift (position in the file less position in the template), and where enough of the template's weight
+agrees, its key phrases must stand nearby and enough of its words in their places.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that name a licence, and openings of published licences with their key phrases.
+# Phrases that name a licence, and paragraphs of published licences with their key phrases.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
@@ -30,6 +30,18 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ["this permission notice shall be included in all copies"]),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", ["unless required by applicable law or agreed to in writing"]),
+    ("gpl-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", ["gnu general public license", "either version 2 of the license"]),
+    ("gpl-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ["gnu general public license", "either version 3 of the license"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["to endorse or promote products derived from this software"]),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["this permission notice appear in all copies"]),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["any person or organization obtaining a copy"]),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty in no event will the authors"]),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
@@ -37,7 +49,9 @@ TEMPLATES = [
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
 
-ANCHORS = 6  # rarest words of a template that go into the index
+BLOCK, STEP = 24, 12  # words of a file among which the rarest are looked up, and from one such stretch to the next
+RAREST = 8  # different words that are looked up in each
+LEAST_VOTED = 0.2  # share of a template's weight that the looked-up words must vote for
 DRIFT = 2  # words that may be added or lost between places that belong together
 LEAST_COVERED = 0.6
 BASE_SCORE = 0.5
@@ -73,15 +87,33 @@ def weights(docs: DataFrame) -> dict[bytes, float]:
     return {w: math.log((found.get(b"", 0) + 1) / (found.get(w, 0) + 1)) for w in _VOCABULARY}
 
 
-def positional_index(idf: dict[bytes, float]) -> dict[bytes, list[tuple[int, int]]]:
-    """word -> (template, position) of the rarest words of each template."""
+def positional_index() -> dict[bytes, list[tuple[int, int]]]:
+    """word -> (template, position), in this order, of all words of all templates."""
     index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
     for nth, (_, words, _) in enumerate(_PARSED):
-        for at in sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:ANCHORS]:
-            index[words[at]].append((nth, at))
+        for at, word in enumerate(words):
+            index[word].append((nth, at))
     return dict(index)
 
 
+def looked_up(words: list[bytes], idf: dict[bytes, float]) -> set[int]:
+    """Where the file's rarest licence words stand: of each stretch of BLOCK words, all places of the RAREST words."""
+    places = [i for i, w in enumerate(words) if w in idf]
+    chosen: set[int] = set()
+    first = last = 0
+    for start in range(0, max(len(words) - BLOCK, 0) + STEP, STEP):
+        while first < len(places) and places[first] < start:
+            first += 1
+        while last < len(places) and places[last] < start + BLOCK:
+            last += 1
+        here = places[first:last]
+        different = {words[i] for i in here}
+        if len(different) > RAREST:
+            different = set(sorted(different, key=lambda w: (-idf[w], w))[:RAREST])
+        chosen.update(i for i in here if words[i] in different)
+    return chosen
+
+
 def _stands(words: list[bytes], phrase: list[bytes], start: int, end: int) -> bool:
     n = len(phrase)
     return any(words[i : i + n] == phrase for i in range(max(0, start), min(end, len(words) - n + 1)))
@@ -106,16 +138,16 @@ def scan(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], idf: dic
             first = last - len(phrase) + 1
             if first >= 0 and tuple(words[first : last + 1]) == phrase:
                 base.append((first, label))
-    votes: dict[tuple[int, int], int] = defaultdict(int)
-    for at, word in enumerate(words):
-        if word in index:
-            for nth, place in index[word]:
-                votes[nth, at - place] += 1
+    votes: dict[tuple[int, int], float] = defaultdict(float)
+    for at in looked_up(words, idf):
+        weight = idf[words[at]] + 0.1
+        for nth, place in index[words[at]]:
+            votes[nth, at - place] += weight
+    needed = [LEAST_VOTED * sum(idf[w] + 0.1 for w in template) for _, template, _ in _PARSED]
     labels: dict[str, float] = {}
-    for (nth, shift), _ in votes.items():
-        need = min(2, len(_PARSED[nth][1]))
-        near = sum(votes.get((nth, shift + d), 0) for d in range(-DRIFT, DRIFT + 1))
-        if near >= need and (share := covered(words, nth, shift, idf)) >= LEAST_COVERED:
+    for nth, shift in list(votes):
+        near = sum(votes.get((nth, shift + d), 0.0) for d in range(-DRIFT, DRIFT + 1))
+        if near >= needed[nth] and (share := covered(words, nth, shift, idf)) >= LEAST_COVERED:
             labels[_PARSED[nth][0]] = max(share, labels.get(_PARSED[nth][0], 0.0))
     return base, labels
 
@@ -152,5 +184,5 @@ def licensed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no long beside nulls
     idf = weights(docs)
     schema = "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    scanned = docs.mapInPandas(_scanned(positional_index(idf), idf), schema)
+    scanned = docs.mapInPandas(_scanned(positional_index(), idf), schema)
     return scanned.withColumn("doc_id", F.col("doc_id").cast("long"))

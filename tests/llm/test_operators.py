@@ -495,6 +495,57 @@ def test_licenses(spark, docs, odd, empty):
     assert licenses.licensed(odd).count() == 10 and licenses.licensed(empty).count() == 0
 
 
+def aligned(words, idf):
+    """Labels of templates that stand anywhere, and the best share: every template at every shift, without an index."""
+    line, labels, best = b" " + b" ".join(words) + b" ", set(), 0.0
+    for label, text, phrases in licenses.TEMPLATES:
+        template = licenses.license_words(text)
+        keys = [b" ".join(licenses.license_words(p)) for p in phrases]
+        if not all(b" " + k + b" " in line for k in keys):
+            continue
+        for shift in range(-len(template), len(words) + 1):
+            near = b" " + b" ".join(words[max(0, shift - licenses.DRIFT) : max(0, shift + len(template) + licenses.DRIFT)])
+            if not all(b" " + k in near + b" " for k in keys):
+                continue
+            weight = hit = 0.0
+            for i, w in enumerate(template):
+                weight += idf[w] + 0.1
+                around = {words[k] for k in range(shift + i - 2, shift + i + 3) if 0 <= k < len(words)}
+                hit += (idf[w] + 0.1) * (w in around)
+            if hit / weight >= licenses.LEAST_COVERED:
+                labels.add(label)
+                best = max(best, hit / weight)
+    return labels, best
+
+
+def test_license_labels_against_an_aligner(spark, docs):
+    draw = random.Random(3)
+    plain = "the of and to in this is a software copy use with for any notice terms work".split()
+    rows = [(d["doc_id"], d["text"]) for d in documents(60)]
+    parts = [text for _, text, _ in licenses.TEMPLATES]
+    for i in range(120):
+        pieces = []
+        for text in draw.sample(parts, draw.choice([0, 1, 1, 2, 3])):
+            words = text.split()
+            for _ in range(draw.choice([0, 0, 1, 3, 6])):  # edits
+                at = draw.randrange(len(words))
+                words[at : at + draw.choice([0, 1])] = draw.choice([[], [draw.choice(plain)]])
+                words = words or ["x"]
+            pieces += [draw.choice(plain) for _ in range(draw.randrange(0, 30))] + words
+        rows.append((10_000 + i, " ".join(pieces + draw.choices(plain, k=draw.randrange(0, 40)))))
+    whole = "\n\n".join(text for label, text, _ in licenses.TEMPLATES if label.startswith("bsd"))
+    rows.append((20_000, f"Copyright (c) 2020, Somebody\n\n{whole}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got, idf = found(licenses.licensed(frame)), licenses.weights(frame)
+    for doc_id, text in rows:
+        labels, best = aligned(licenses.license_words(text), idf)
+        r = got[doc_id]
+        base = {x for x in r["base_labels"].split(",") if x}
+        assert r["labels"] == ",".join(sorted(base | labels)), (doc_id, text)
+        assert abs(r["score"] - max(best, licenses.BASE_SCORE if base else 0)) < 0.2
+    assert got[20_000]["labels"] == "bsd,bsd-3-clause"
+
+
 # -- 8 top-k
 
 
