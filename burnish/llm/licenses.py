@@ -66,6 +66,7 @@ def license_words(text: str | None) -> list[bytes]:
 # Every base phrase ends in the word "license".
 _BASE = [(tuple(license_words(p)), label) for p, label in BASE.items()]
 _PARSED = [(label, license_words(text), [license_words(p) for p in phrases]) for label, text, phrases in TEMPLATES]
+_KEY_WORDS = [frozenset(w for p in phrases for w in p) for _, _, phrases in _PARSED]
 _VOCABULARY = frozenset(w for _, words, _ in _PARSED for w in words)
 
 
@@ -138,12 +139,17 @@ def scan(words: list[bytes], index: dict[bytes, list[tuple[int, int]]], idf: dic
             first = last - len(phrase) + 1
             if first >= 0 and tuple(words[first : last + 1]) == phrase:
                 base.append((first, label))
+    present = _VOCABULARY.intersection(words)
+    possible = {nth for nth, keys in enumerate(_KEY_WORDS) if keys <= present}  # all others lack a key phrase
+    if not possible:
+        return base, {}
     votes: dict[tuple[int, int], float] = defaultdict(float)
     for at in looked_up(words, idf):
         weight = idf[words[at]] + 0.1
         for nth, place in index[words[at]]:
-            votes[nth, at - place] += weight
-    needed = [LEAST_VOTED * sum(idf[w] + 0.1 for w in template) for _, template, _ in _PARSED]
+            if nth in possible:
+                votes[nth, at - place] += weight
+    needed = {nth: LEAST_VOTED * sum(idf[w] + 0.1 for w in _PARSED[nth][1]) for nth in possible}
     labels: dict[str, float] = {}
     for nth, shift in list(votes):
         near = sum(votes.get((nth, shift + d), 0.0) for d in range(-DRIFT, DRIFT + 1))
