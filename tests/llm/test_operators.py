@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from burnish.llm import common, encoding, language, licenses, mixing, mtree, packing, passages, quality, simhash, toxicity, warc
 from burnish.llm.components import components
@@ -557,6 +558,14 @@ def test_top_k_of_repeated_ids(spark):
     assert got == [(0, 1, 1, 5 * unit), (0, 2, 1, 5 * unit), (0, 3, 2, 3 * unit), (0, 4, 1, unit)]
 
 
+def _plain_top_k(valid, k=10):
+    want = set()
+    for q in (i for i in valid if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(valid[q], v, strict=False)), i) for i, v in valid.items() if i != q)
+        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)}
+    return want
+
+
 def test_top_k(spark):
     draw = np.random.default_rng(4)
     base = draw.standard_normal((700, 6)).round(2)
@@ -565,14 +574,42 @@ def test_top_k(spark):
     rows += [(700, None), (800, [1.0, None, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, []), (1200, [3.0]), (None, [1.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     valid = {i: [math.floor(1024 * x) for x in v] for i, v in rows[:700]} | {1100: [], 1200: [3072]}
-    want = set()
-    for q in (i for i in valid if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(valid[q], v, strict=False)), i) for i, v in valid.items() if i != q)
-        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:10], 1)}
-    assert {tuple(r) for r in mtree.top_k(frame).collect()} == want
+    assert {tuple(r) for r in mtree.top_k(frame).collect()} == _plain_top_k(valid)
     assert mtree.top_k(frame.where("vec_id < 0")).count() == 0 and mtree.top_k(frame.where("vec_id = 0")).count() == 0
 
 
+def test_top_k_over_cells_of_cells(spark, monkeypatch):
+    """Small pages, so that cells are split twice and copies by hash, over several nodes, lanes and blocks."""
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 16)
+    monkeypatch.setattr(mtree, "QUERIES", 4)
+    monkeypatch.setattr(mtree, "SPLIT_ROWS", 100)
+    draw = np.random.default_rng(5)
+    base = draw.standard_normal((3000, 4)).round(2) + 6 * draw.integers(0, 3, (3000, 1))
+    base[::3] = base[0]  # a third are copies
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    pages = mtree._pages(mtree.integers(frame, "vec_id", "embedding").withColumn("row", F.col("vec_id")), 4).select("cell", "ids").collect()
+    assert sorted(i for p in pages for i in p["ids"]) == list(range(3000))
+    assert max(len(p["ids"]) for p in pages) < 64 and max(p["cell"] for p in pages) >= mtree.PIVOTS**2
+    assert {tuple(r) for r in mtree.top_k(frame).collect()} == _plain_top_k({i: [math.floor(1024 * x) for x in v] for i, v in enumerate(base)})
+
+
+def test_limits_of_nodes_hold():
+    """No bound lies below a score, and each member of a leaf is within its radius."""
+    draw = np.random.default_rng(6)
+    v = draw.integers(-900, 900, (300, 5)).astype(float)
+    balls = np.abs(draw.integers(0, 200, 300)).astype(float)
+    inside = v[:, None] + draw.uniform(-1, 1, (300, 20, 5)) * balls[:, None, None] / np.sqrt(5)
+    tops = np.maximum((inside**2).sum(2).max(1), (v * v).sum(1))
+    order, stored = mtree._node(v, balls, tops)
+    node = mtree._Node(pd.Series(stored), 5)
+    queries = draw.integers(-900, 900, (40, 5)).astype(float)
+    best = np.einsum("qd,nmd->qnm", queries, inside[order]).max(2)
+    assert (node.member_limits(queries, np.full(40, -np.inf)) >= best).all()
+    least = np.sort(best, axis=1)[:, -10]
+    limits = node.member_limits(queries, least)
+    assert (limits[best >= least[:, None]] > -np.inf).all() and (limits == -np.inf).mean() > 0.3
+
+
 # -- 9 WARC
 
 
