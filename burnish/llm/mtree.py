@@ -31,6 +31,7 @@ SPLIT_ROWS = 1 << 16  # rows of a cell that one task splits, about
 QUERIES = 512  # queries of a block, about
 LANES = 8  # of the pages of a directory node, at least; a lane is a key of the last join
 FIRST = 2  # pages a query visits, best bound first, before it meets the rest
+NONE = -((1 << 63) - 1)  # no score yet
 SLACK = 1e-6  # relative; bounds are rounded, scores are exact
 
 NODE = [T.StructField(name, T.BinaryType()) for name in ("vectors", "near", "leaves", "routes", "centre")] + [
@@ -220,38 +221,39 @@ class _Node:
             out[rows, a:b] = np.where(found >= least[rows, None], found, -np.inf)
         return out
 
-    def search(self, own: np.ndarray, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(place of the query, id, score) of the at most k best members, by ids ``own``, that score ``least`` or more."""
+    def search(self, own: np.ndarray, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, id and score of the at most k best members, by ids ``own``, that score ``least`` or more."""
         norms = (queries * queries).sum(1)
         limits, to_route = self.leaf_limits(queries, norms, least)
-        found = []
-        for i in np.flatnonzero((limits > -np.inf).any(1)):
-            floor, hits, scores = least[i], np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-            for n in np.argsort(-limits[i]):
-                if limits[i, n] < floor or limits[i, n] == -np.inf:
-                    break
-                a, b = int(self.leaves[n, 0]), int(self.leaves[n, 1])
-                d = np.abs(to_route[i, n] - self.to_route[a:b])
-                by_route = (norms[i] + self.route_squares[n] - to_route[i, n] ** 2) / 2 + np.sqrt(norms[i]) * self.to_route[a:b]
-                by_route += SLACK * (norms[i] + self.top + 1)
-                members = a + np.flatnonzero(np.minimum(self.limit(norms[i], d, 0, self.tops[a:b], self.squares[a:b]), by_route) >= floor)
-                members = members[own[members] != ids[i]]
-                if not len(members):
-                    continue
-                hits = np.concatenate((hits, members))
-                scores = np.concatenate((scores, _scores(queries[i : i + 1], self.v[members])[0]))
-                if len(hits) > k:
-                    keep = np.lexsort((own[hits], -scores))[:k]
-                    hits, scores = hits[keep], scores[keep]
-                if len(hits) == k:
-                    floor = max(floor, scores.min())
-            found += [(int(i), int(own[h]), int(s)) for h, s in zip(hits, scores, strict=True) if s >= least[i]]
-        return found
-
-
-def _hits(hits: list[tuple[int, int, int]], rows: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    made = [(int(rows[i]), int(ids[i]), vec_id, score) for i, vec_id, score in hits]
-    return pd.DataFrame(made, columns=HIT_COLUMNS, dtype="int64")
+        floors = least.copy()
+        scores, hits = np.full((len(queries), k), NONE), np.zeros((len(queries), k), dtype=np.int64)
+        for n in np.argsort(-limits.max(0, initial=-np.inf), kind="stable"):
+            rows = np.flatnonzero((limits[:, n] > -np.inf) & (limits[:, n] >= floors))
+            a, b = int(self.leaves[n, 0]), int(self.leaves[n, 1])
+            q2, d = norms[rows, None], to_route[rows, n][:, None]
+            by_route = (q2 + self.route_squares[n] - d * d) / 2 + np.sqrt(q2) * self.to_route[a:b] + SLACK * (q2 + self.top + 1)
+            stored = self.limit(q2, np.abs(d - self.to_route[a:b]), 0, self.tops[a:b], self.squares[a:b])
+            hopeful = np.minimum(by_route, stored) >= floors[rows, None]
+            some, members = np.flatnonzero(hopeful.any(1)), np.flatnonzero(hopeful.any(0))
+            if not len(some):
+                continue
+            rows, hopeful, found = rows[some], hopeful[np.ix_(some, members)], own[a + members]
+            reached = _scores(queries[rows], self.v[a + members])
+            hopeful &= (reached >= scores[rows, -1:]) & (found != ids[rows, None])
+            some = np.flatnonzero(hopeful.any(1))
+            rows = rows[some]
+            reached = np.concatenate((scores[rows], np.where(hopeful[some], reached[some], NONE)), axis=1)
+            found = np.concatenate((hits[rows], np.broadcast_to(found, (len(rows), len(found)))), axis=1)
+            order = np.lexsort((found, -reached))[:, :k]
+            scores[rows], hits[rows] = np.take_along_axis(reached, order, 1), np.take_along_axis(found, order, 1)
+            floors[rows] = np.where(scores[rows, -1] > NONE, np.maximum(floors[rows], scores[rows, -1]), floors[rows])
+        i, j = np.nonzero((scores > NONE) & (scores >= least[:, None]))
+        return i, hits[i, j], scores[i, j]
+
+
+def _hits(hits: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    i, found, scores = hits
+    return pd.DataFrame(dict(zip(HIT_COLUMNS, (rows[i], ids[i], found, scores), strict=True)))
 
 
 def _seeds(width: int, k: int, every: int):
@@ -278,8 +280,8 @@ def _visits(width: int, k: int):
                 some = np.flatnonzero(mask.reshape(-1, row.n_pages)[:, row.place - 1])
                 numbers, ids, floors = (np.asarray(c)[some] for c in (row.query_rows, row.query_ids, row.floors))
                 queries = np.frombuffer(b"".join(row.query_vectors)).reshape(-1, width)[some]
-                hits = _Node(row, width).search(np.asarray(row.ids), ids, queries, floors.astype(float), k) if len(some) else []
-                yield _hits(hits, numbers, ids)
+                if len(some):
+                    yield _hits(_Node(row, width).search(np.asarray(row.ids), ids, queries, floors.astype(float), k), numbers, ids)
 
     return rows
 
