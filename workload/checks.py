@@ -42,7 +42,7 @@ def quality_score_exact(spark, sf_dir):
 
 
 @query("quality_score_leading", "dirty_customer", score_sql(
-    "dirty_customer", ["c_custkey", "FullName", "mkt_segment", "c_acctbal"], ["FullName", "mkt_segment"], "leading"))
+    "dirty_customer", ["c_custkey", "FullName", "mkt_segment", "c_acctbal", "c_nationkey"], ["FullName", "mkt_segment"], "leading"))
 def quality_score_leading(spark, sf_dir):
     return quality.quality_score(view(spark, sf_dir, "dirty_customer"), edge="leading")
 

@@ -75,7 +75,7 @@ c_{column} AS (SELECT v, first_value(v) OVER (PARTITION BY form ORDER BY n DESC,
 
 
 _CUSTOMER_CANONICAL = f"""WITH {_canonical("dirty_customer", "FullName")}, {_canonical("dirty_customer", "mkt_segment")},
-fixed AS (SELECT c_custkey, a.best AS FullName, b.best AS mkt_segment, c_acctbal FROM dirty_customer
+fixed AS (SELECT c_custkey, a.best AS FullName, b.best AS mkt_segment, c_acctbal, c_nationkey FROM dirty_customer
   LEFT JOIN c_FullName a ON FullName = a.v LEFT JOIN c_mkt_segment b ON mkt_segment = b.v)"""
 
 
@@ -253,7 +253,7 @@ def value_map(customers):
 
 @query("apply_value_map", "dirty_customer", f"""
 WITH {_PROPOSALS_SQL}
-SELECT c_custkey, FullName, CASE WHEN confidence >= 0.95 THEN new_value ELSE mkt_segment END AS mkt_segment, c_acctbal
+SELECT c_custkey, FullName, CASE WHEN confidence >= 0.95 THEN new_value ELSE mkt_segment END AS mkt_segment, c_acctbal, c_nationkey
 FROM dirty_customer LEFT JOIN proposals ON mkt_segment = old_value""")
 def apply_value_map(spark, sf_dir):
     customers = view(spark, sf_dir, "dirty_customer")
@@ -274,7 +274,7 @@ def attach_skewed(spark, sf_dir):
 
 @query("review_queue", "dirty_customer", f"""
 WITH {_PROPOSALS_SQL}
-SELECT c_custkey, FullName, mkt_segment, c_acctbal, 'mkt_segment: ' || old_value || ' -> ' || new_value AS review
+SELECT c_custkey, FullName, mkt_segment, c_acctbal, c_nationkey, 'mkt_segment: ' || old_value || ' -> ' || new_value AS review
 FROM dirty_customer JOIN proposals ON mkt_segment = old_value WHERE confidence >= 0.75 AND confidence < 0.95""")
 def review_queue(spark, sf_dir):
     customers = view(spark, sf_dir, "dirty_customer")
@@ -300,7 +300,7 @@ def apply_value_map_numeric(spark, sf_dir):
 
 # Segments that a plain function would write in capitals; the short ones with less confidence.
 @query("propose_and_apply", "dirty_customer", """
-SELECT c_custkey, FullName, CASE WHEN length(trim(mkt_segment, {WS})) > 8 THEN upper(trim(mkt_segment, {WS})) ELSE mkt_segment END AS mkt_segment, c_acctbal
+SELECT c_custkey, FullName, CASE WHEN length(trim(mkt_segment, {WS})) > 8 THEN upper(trim(mkt_segment, {WS})) ELSE mkt_segment END AS mkt_segment, c_acctbal, c_nationkey
 FROM dirty_customer""")
 def propose_and_apply(spark, sf_dir):
     customers = view(spark, sf_dir, "dirty_customer")
@@ -361,7 +361,7 @@ def audit_projection(spark, sf_dir):
 
 
 _TIDY_SEGMENTS = """
-WITH tidy AS (SELECT c_custkey, FullName AS fullname, mkt_segment AS old, trim(mkt_segment, {WS}) AS new, c_acctbal FROM dirty_customer)
+WITH tidy AS (SELECT c_custkey, FullName AS fullname, mkt_segment AS old, trim(mkt_segment, {WS}) AS new, c_acctbal, c_nationkey FROM dirty_customer)
 """
 
 
@@ -370,13 +370,13 @@ def _artifacts(spark, sf_dir):
 
 
 @query("clean_artifacts_table", "dirty_customer", _TIDY_SEGMENTS + """
-SELECT c_custkey, fullname, CASE WHEN length(new) > 8 THEN upper(new) ELSE new END AS mkt_segment, c_acctbal FROM tidy""")
+SELECT c_custkey, fullname, CASE WHEN length(new) > 8 THEN upper(new) ELSE new END AS mkt_segment, c_acctbal, c_nationkey FROM tidy""")
 def clean_artifacts_table(spark, sf_dir):
     return _artifacts(spark, sf_dir).cleaned
 
 
 @query("clean_artifacts_review", "dirty_customer", _TIDY_SEGMENTS + """
-SELECT c_custkey, fullname, new AS mkt_segment, c_acctbal, 'mkt_segment: ' || new || ' -> ' || upper(new) AS review
+SELECT c_custkey, fullname, new AS mkt_segment, c_acctbal, c_nationkey, 'mkt_segment: ' || new || ' -> ' || upper(new) AS review
 FROM tidy WHERE length(new) <= 8 AND new <> upper(new)""")
 def clean_artifacts_review(spark, sf_dir):
     described = F.transform("review", lambda p: F.concat(p["column"], F.lit(": "), p["old_value"], F.lit(" -> "), p["new_value"]))

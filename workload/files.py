@@ -64,7 +64,7 @@ SELECT written, encoding, (SELECT sum(1 + length(text) - length(replace(text, ch
 FROM (VALUES ('{LATIN1}', '{LATIN1}'), ('{UTF8}', '{UTF8}')) v(written, encoding)""")
 def detect_encoding(spark, sf_dir):
     # Whole texts, each with a letter outside ASCII in front, so that every file shows its encoding.
-    rows = view(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("é "), "text").alias("text"))
+    rows = view(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit("é "), "text").alias("text"))
     parts = []
     for encoding in (LATIN1, UTF8):
         path = new_path(spark, "csv")
@@ -121,21 +121,22 @@ def _write_lines(df: DataFrame, columns: list[str], header: str, path: str) -> N
 
 
 @query("header_names", "", """
-SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::VARCHAR AS "Unnamed: 1", c_mktsegment AS name, c_mktsegment AS "name.1" FROM customer""")
+SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::VARCHAR AS "Unnamed: 1", c_mktsegment AS name, c_mktsegment AS "name.1",
+       c_name, c_acctbal::VARCHAR AS c_acctbal FROM customer""")
 def header_names(spark, sf_dir):
     path = new_path(spark, "csv")
-    columns = ["c_custkey", "c_nationkey", "c_mktsegment", "c_mktsegment"]
-    _write_lines(view(spark, sf_dir, "customer"), columns, "c_custkey,,name,name", path)
+    columns = ["c_custkey", "c_nationkey", "c_mktsegment", "c_mktsegment", "c_name", "c_acctbal"]
+    _write_lines(view(spark, sf_dir, "customer"), columns, "c_custkey,,name,name,c_name,c_acctbal", path)
     return read_delimited(spark, path)
 
 
 @query("read_mixed_folder", "", """
-SELECT doc_id::VARCHAR AS doc_id, lang AS "Unnamed: 1", source FROM documents""")
+SELECT doc_id::VARCHAR AS doc_id, lang AS "Unnamed: 1", source, n_chars::VARCHAR AS n_chars FROM documents""")
 def read_mixed_folder(spark, sf_dir):
     """Two folders with spaces in their names, whose headers have a blank and come in two orders."""
     documents, path = view(spark, sf_dir, "documents"), new_path(spark, "csv")
-    _write_lines(documents.where("doc_id % 2 = 0"), ["doc_id", "lang", "source"], "doc_id,,source", f"{path}/even ids")
-    _write_lines(documents.where("doc_id % 2 = 1"), ["source", "lang", "doc_id"], "source,,doc_id", f"{path}/odd ids")
+    _write_lines(documents.where("doc_id % 2 = 0"), ["doc_id", "lang", "source", "n_chars"], "doc_id,,source,n_chars", f"{path}/even ids")
+    _write_lines(documents.where("doc_id % 2 = 1"), ["source", "lang", "doc_id", "n_chars"], "source,,doc_id,n_chars", f"{path}/odd ids")
     return read_delimited(spark, [f"{path}/even ids", f"{path}/odd ids"])
 
 

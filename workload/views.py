@@ -46,7 +46,7 @@ SELECT c_custkey, c_name AS FullName,
        WHEN c_custkey % 11 = 0 THEN chr(160) || c_mktsegment
        WHEN c_custkey % 13 = 0 THEN c_mktsegment || ' '
        ELSE c_mktsegment END AS mkt_segment,
-  c_acctbal
+  c_acctbal, c_nationkey
 FROM customer
 """,
     "raw_responses": """
