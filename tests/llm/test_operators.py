@@ -593,6 +593,12 @@ def test_top_k_over_cells_of_cells(spark, monkeypatch):
     assert {tuple(r) for r in mtree.top_k(frame).collect()} == _plain_top_k({i: [math.floor(1024 * x) for x in v] for i, v in enumerate(base)})
 
 
+def test_top_k_of_empty_vectors_and_clashing_names(spark):
+    """Only empty vectors: all scores are 0 and ids decide. Further columns of any name are ignored."""
+    frame = spark.createDataFrame([(i, [], i, "x", 1) for i in (0, 5, 3, 100)], "vec_id long, embedding array<float>, row long, page string, cell int")
+    assert {tuple(r) for r in mtree.top_k(frame, k=2).collect()} == {(0, 1, 3, 0), (0, 2, 5, 0), (100, 1, 0, 0), (100, 2, 3, 0)}
+
+
 def test_limits_of_nodes_hold():
     """No bound lies below a score, and each member of a leaf is within its radius."""
     draw = np.random.default_rng(6)
