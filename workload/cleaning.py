@@ -123,7 +123,7 @@ def union_by_name(spark, sf_dir):
 
 
 _FILE_TOKENS = ", ".join("'" + t + "'" for t in text.FILE_NULL_TOKENS)
-_TEXT_COLUMNS = ("order_id", "part_id", "quantity", "discount", "is_returned", "is_open", "nothing", "ship_date", "tax")
+_TEXT_COLUMNS = ("order_id", "part_id", "quantity", "discount", "is_returned", "is_open", "nothing", "ship_date", "tax", "price")
 _TOKENS_TO_NULL = "SELECT " + ", ".join(
     f"CASE WHEN {c} NOT IN ({_FILE_TOKENS}) THEN {c} END AS {c}" for c in _TEXT_COLUMNS
 ) + " FROM text_lineitem"

@@ -99,7 +99,7 @@ def types_found(spark, sf_dir):
 @query("apply_types", "text_lineitem", f"""
 WITH cells AS ({_TOKENS_TO_NULL})
 SELECT trim(order_id)::BIGINT AS order_id, part_id::BIGINT AS part_id, quantity::DOUBLE AS quantity, discount::DOUBLE AS discount,
-  lower(is_returned) = 'true' AS is_returned, is_open, nothing::DOUBLE AS nothing, ship_date, tax FROM cells""")
+  lower(is_returned) = 'true' AS is_returned, is_open, nothing::DOUBLE AS nothing, ship_date, tax, price::DOUBLE AS price FROM cells""")
 def typed_table(spark, sf_dir):
     cells = null_tokens_to_null(view(spark, sf_dir, "text_lineitem"))
     types = {row["column"]: row["inferred_type"] for row in infer_types(cells).collect()}  # one row per column

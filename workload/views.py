@@ -91,7 +91,8 @@ SELECT CASE WHEN l_orderkey % 10 = 0 THEN ' ' || CAST(l_orderkey AS STRING) ELSE
        CASE WHEN l_linestatus = 'F' THEN 'NULL' ELSE 'true' END AS is_open,
        CASE WHEN l_suppkey % 2 = 0 THEN 'n/a' ELSE 'None' END AS nothing,
        date_format(l_shipdate, 'yyyy-MM-dd') AS ship_date,
-       CASE WHEN l_tax = 0 THEN 'exempt' ELSE CAST(l_tax AS STRING) END AS tax
+       CASE WHEN l_tax = 0 THEN 'exempt' ELSE CAST(l_tax AS STRING) END AS tax,
+       CAST(l_extendedprice AS STRING) AS price
 FROM lineitem
 """,
     # Whole texts of documents, some padded with Unicode spaces or written in capitals.
