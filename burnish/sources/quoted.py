@@ -22,6 +22,7 @@ from burnish.sources.shared import written
 
 BOM = "﻿"
 WHOLE, HEAD, THROUGH, TAIL = range(4)  # a record, or the part of one that a block holds
+PIECE_BYTES = 1 << 20  # of lines that become Python objects at a time
 RECORDS = "file long, start long, part int, header boolean, record string"
 _RECORDS = pa.schema([("file", pa.int64()), ("start", pa.int64()), ("part", pa.int32()), ("header", pa.bool_()), ("record", pa.string())])
 
@@ -49,6 +50,15 @@ def _opened(line: str, start: int, sep: str) -> int:
     return at if at < 0 else at + 2
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, which are cut by rows, in pieces of about PIECE_BYTES, or of one longer line."""
+    for batch in batches:
+        pieces = np.cumsum(pc.binary_length(batch.column("value")).to_numpy().astype(np.int64) + 1) // PIECE_BYTES
+        cuts = (np.flatnonzero(np.diff(pieces)) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
     """(file, start, first row, end) of the rows of each block in a batch."""
     file, start = batch.column("file").to_numpy(), batch.column("start").to_numpy()
@@ -64,7 +74,7 @@ def _block_ends(sep: str):
             return pa.RecordBatch.from_pylist([{"file": block[0], "start": block[1], "after_out": ends[0], "after_in": ends[1], "returns": returns}])
 
         block, ends, returns = None, [False, True], False
-        for batch in batches:
+        for batch in _pieces(batches):
             lines = batch.column("value")
             quoted = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
             for file, start, a, b in _runs(batch):
@@ -121,7 +131,7 @@ def _cut_records(sep: str, whole: bool):
             if block and (open_lines or part == HEAD):
                 add(block, THROUGH if part == HEAD else TAIL, not headed, "\n".join(open_lines))
 
-        for batch in batches:
+        for batch in _pieces(batches):
             lines, starts = batch.column("value"), batch.column("inside")
             quoted = pc.match_substring(lines, '"').to_numpy(zero_copy_only=False)
             for file, start, a, b in _runs(batch):

@@ -1,11 +1,14 @@
 """Records cut block by block against Spark's own reader, which gives a file to one task."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from burnish.sources import delimited, quoted
+from workload import files
 
 ODD = [
     'plain,x,y', '5" disc,"two\nlines","say ""hi"""', '"",,""', ',,', '"a ""b""\n\n"",c",2,"x"', 'short', '"""",q"q,""""""',
@@ -106,3 +109,35 @@ def test_larger_than_a_split(spark, tmp_path, blocks):
     for size, larger in (("2kb", True), ("3k", False), ("2999", True), ("1m", False)):
         blocks(size)
         assert quoted.larger_than_a_split(spark, str(tmp_path)) is larger
+
+
+def test_few_lines_at_a_time_in_python(spark):
+    """A batch of 10,000 lines of 3 KB: what a task holds as Python objects goes by bytes, not by rows."""
+    n, line = 10_000, '1,"' + "x" * 3000 + '"'
+    lines = {"file": [7] * n, "start": [0] * n, "value": [line] * n, "inside": [False] * n}
+    batch = pa.RecordBatch.from_pydict(lines | {"value": [*lines["value"][:-1], "y" * 3_000_000]})
+    sizes, made = [], 0
+    tracemalloc.start()
+    for out in quoted._cut_records(",", True)(iter([batch])):
+        made += len(out)
+        sizes.append(out.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == n and max(sizes) < 5_000_000 and peak < 12_000_000
+    pieces = list(quoted._pieces(iter([batch, batch.slice(0, 0), batch.slice(5, 3)])))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch, batch.slice(5, 3)])) and len(pieces) > 30
+    (told,) = quoted._block_ends(",")(iter([batch, batch]))
+    assert told.to_pylist() == [{"file": 7, "start": 0, "after_out": False, "after_in": False, "returns": False}]
+
+
+def test_lines_are_written_without_python(spark, tmp_path, monkeypatch):
+    """Every file starts with the header, and the texts do not pass through Python to get it."""
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(spark.range(1)), name, None)
+    rows = spark.range(0, 50, 1, 6).where("id > 20").select("id", F.concat(F.lit("n"), "id").alias("name"))
+    for table, n in ((rows, 29), (rows.where("id < 0"), 0)):
+        path = str(tmp_path / str(n))
+        files._write_lines(table, ["name", "id"], "name,,", path)
+        found = [p.read_text() for p in (tmp_path / str(n)).glob("part-*")]
+        assert all(t.startswith("name,,\n") and t.count("name,,") == 1 for t in found) and found
+        assert sorted(x for t in found for x in t.split("\n")[1:] if x) == sorted(f"n{i},{i}" for i in range(21, 50))[:n]
